@@ -2,17 +2,17 @@
 
 Spark's ``percentile`` keeps a value -> count map of the whole group in one
 reducer, which cannot hold a column of distinct doubles at cluster scale.  Here
-the wanted order statistics are narrowed down in two counting steps, each of
-which is an ordinary partially aggregated ``groupBy``:
+the wanted order statistics are narrowed down by counting, in three steps that
+are each an ordinary, partially aggregated ``groupBy``:
 
-1. every value falls into a cell of constant *relative* width, so the number of
-   cells is bounded by the range of a double, not by the data; running counts
-   over the cells tell which few cells hold the wanted ranks;
-2. values of those cells alone are counted by value, cut into finer cells the
-   same way, and only the finer cells that hold a wanted rank are put in order.
+1. count values per cell of constant *relative* width - the number of cells is
+   bounded by the range of a double, not by the data - and find the cells that
+   hold a wanted rank by running counts over the cells;
+2. cut those few cells into finer ones and do the same;
+3. count the values left, which are the only ones ever put in order.
 
-Equal values are counted, never listed, so a value that fills a third of the
-table costs one row.
+Every step reads one column and shuffles counts only.  Equal values are counted,
+never listed, so a value that fills a third of the table costs one row.
 """
 
 from __future__ import annotations
@@ -22,37 +22,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CELLS_PER_E_FOLD = 1024
-_FINE_CELLS = 4096
-_LOG_SHIFT = 746  # ln of the smallest double is about -745.1
-_LOG_TOP = 710  # ln of the largest double is about 709.8
+_PER_E_FOLD = 1024  # coarse cells per factor e
+_FINE = 4096  # finer cells per coarse cell
+_SHIFT = 746  # ln of the smallest double is about -745.1
+_TOP = 710  # ln of the largest double is about 709.8
 
+# Monotone number of the cell a value lies in: sign times the position of its
+# logarithm, so that 0 has a cell of its own.
+_COARSE = (
+    f"cast(signum(_v) * (floor((least(coalesce(ln(abs(_v)), 0D), {_TOP}D) + {_SHIFT}D) * {_PER_E_FOLD}D) + 1) as bigint)"
+)
+# Position inside the coarse cell, whose lower edge is exp((cell - 1) / n - shift).
+_EDGE = f"exp((abs(_coarse) - 1D) / {_PER_E_FOLD}D - {_SHIFT}D)"
+_INSIDE = f"coalesce(try_divide(abs(_v) - {_EDGE}, {_EDGE}), 0D) * {_PER_E_FOLD * _FINE}D"
+_FINE_CELL = f"cast(signum(_v) * floor(greatest(0D, least({_INSIDE}, {_FINE - 1}D))) as bigint)"
 
-def _coarse_cell(value: Column) -> Column:
-    """Monotone cell number of a double: equal relative width, 0 for zero."""
-    log = F.least(F.ln(F.abs(value)), F.lit(float(_LOG_TOP)))
-    step = F.floor((log + _LOG_SHIFT) * _CELLS_PER_E_FOLD) + 1
-    return F.when(value > 0, step).when(value < 0, -step).otherwise(F.lit(0)).cast("long")
 
+def _holding_ranks(cells: DataFrame, group: list[str], cell: str, base: str, ranks: Column | str) -> DataFrame:
+    """The cells of each ``group`` that hold a wanted rank.
 
-def _fine_cell(value: Column, cell: Column) -> Column:
-    """Position of ``value`` inside its coarse cell, 0.._FINE_CELLS-1."""
-    low = F.exp((F.abs(cell).cast("double") - 1) / _CELLS_PER_E_FOLD - _LOG_SHIFT)
-    inside = F.try_divide(F.abs(value) - low, low) * (_CELLS_PER_E_FOLD * _FINE_CELLS)
-    bounded = F.greatest(F.lit(0.0), F.least(F.coalesce(inside, F.lit(0.0)), F.lit(_FINE_CELLS - 1.0)))
-    return (F.floor(bounded) * F.signum(cell.cast("double"))).cast("long")
-
-
-def _cells_with_ranks(counted: DataFrame, keys: list[str], cell: str, start: Column, ranks: Column) -> DataFrame:
-    """Cells of ``counted`` (keys, cell, n) holding a wanted rank.
-
-    ``start`` is the rank of the first value of the key group; the result keeps
-    the rank at which each cell starts and the wanted ranks inside it.
-    """
-    running = Window.partitionBy(*keys).orderBy(cell)
-    placed = counted.withColumn("_end", start + F.sum("n").over(running)).withColumn("_start", F.col("_end") - F.col("n"))
-    inside = F.filter(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_end")))
-    return placed.withColumn("_wanted", inside).where(F.size("_wanted") > 0)
+    ``cells`` has one row per cell with its count ``_n``; ``base`` is the rank
+    of the group's first value.  ``_base`` and ``_ranks`` of the result belong
+    to the cell."""
+    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(cell))
+    placed = cells.select("*", (F.expr(base) + upto).alias("_end"), F.expr(base).alias("_first"), F.expr(ranks).alias("_all"))
+    keep = [*group, cell, "_total", "_end - _n AS _base", "filter(_all, r -> r >= _end - _n AND r < _end) AS _ranks"]
+    return placed.selectExpr(*keep).where("size(_ranks) > 0")
 
 
 def percentiles(
@@ -72,52 +67,39 @@ def percentiles(
     the table of wanted cells - at most two per group and probability - may be
     broadcast.  ``approx=True`` uses ``percentile_approx`` in one pass.
     """
-    by = list(by)
-    probs = [float(p) for p in probs]
-    base = df.select(*by, F.col(value).cast("double").alias("_v"))
-    base = base.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    by, probs = list(by), [float(p) for p in probs]
+    base = df.selectExpr(*by, f"cast({value} as double) as _v").where("_v IS NOT NULL AND NOT isnan(_v)")
     if approx:
-        q = F.percentile_approx("_v", probs, accuracy)
-        return base.groupBy(*by).agg(F.count("*").alias("n"), q.alias("_q")).select(
-            *by, "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))]
-        )
-
-    cells = base.groupBy(*by, _coarse_cell(F.col("_v")).alias("_cell")).agg(F.count("*").alias("n"))
-    cells = cells.withColumn("_total", F.sum("n").over(Window.partitionBy(*by)))
-    last = F.col("_total") - 1
-    wanted = F.array_distinct(
-        F.array(*[f(last * F.lit(p)).cast("long") for p in probs for f in (F.floor, F.ceil)])
-    )
-    hit = _cells_with_ranks(cells, by, "_cell", F.lit(0), wanted).select(
-        *by, "_cell", "_total", F.col("_start").alias("_base"), F.col("_wanted").alias("_ranks")
-    )
-    picked = base.withColumn("_cell", _coarse_cell(F.col("_v"))).join(
-        F.broadcast(hit) if few_groups else hit, by + ["_cell"]
-    )
-    group = by + ["_cell"]
-    counted = picked.groupBy(
-        *group, _fine_cell(F.col("_v"), F.col("_cell")).alias("_fine"), "_v", "_total", "_base", "_ranks"
-    ).agg(F.count("*").alias("n"))
-    fine = counted.groupBy(*group, "_fine", "_base", "_ranks").agg(F.sum("n").alias("n"))
-    fine_hit = _cells_with_ranks(fine, group, "_fine", F.col("_base"), F.col("_ranks")).select(
-        *group, "_fine", F.col("_start").alias("_fine_base"), F.col("_wanted").alias("_fine_ranks")
-    )
-    final = counted.join(fine_hit, group + ["_fine"])
-    running = Window.partitionBy(*group, "_fine").orderBy("_v")
-    placed = final.withColumn("_end", F.col("_fine_base") + F.sum("n").over(running))
-    found = placed.withColumn(
-        "_wanted", F.filter("_fine_ranks", lambda r: (r >= F.col("_end") - F.col("n")) & (r < F.col("_end")))
-    ).where(F.size("_wanted") > 0)
-    ranked = found.select(*by, "_total", "_v", F.explode("_wanted").alias("_rank"))
-
-    position = [(F.col("_total") - 1) * F.lit(p) for p in probs]
-    parts = []
-    for i, pos in enumerate(position):
-        parts.append(F.max(F.when(F.col("_rank") == F.floor(pos), F.col("_v"))).alias(f"_lo{i}"))
-        parts.append(F.max(F.when(F.col("_rank") == F.ceil(pos), F.col("_v"))).alias(f"_hi{i}"))
-    ends = ranked.groupBy(*by, "_total").agg(*parts)
-    out = []
-    for i, pos in enumerate(position):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (pos - F.floor(pos))).alias(f"q{i}"))
-    return ends.select(*by, F.col("_total").alias("n"), *out)
+        sketch = base.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_v", probs, accuracy).alias("_q"))
+        return sketch.selectExpr(*by, "n", *[f"_q[{i}] AS q{i}" for i in range(len(probs))])
+
+    def wanted(hits: DataFrame) -> DataFrame:
+        return F.broadcast(hits) if few_groups else hits
+
+    last = "(_total - 1)"
+    ranks = ", ".join(f"cast({f}({last} * {p}D) as bigint)" for p in probs for f in ("floor", "ceil"))
+    coarse = base.selectExpr("*", f"{_COARSE} AS _coarse")
+    cells = coarse.groupBy(*by, "_coarse").agg(F.count("*").alias("_n"))
+    cells = cells.withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
+    hits = _holding_ranks(cells, by, "_coarse", "0L", f"array_distinct(array({ranks}))")
+
+    group, carried = [*by, "_coarse"], ["_total", "_base", "_ranks"]
+    fine = coarse.join(wanted(hits), group).selectExpr(*group, *carried, f"{_FINE_CELL} AS _fine")
+    cells = fine.groupBy(*group, "_fine", *carried).agg(F.count("*").alias("_n"))
+    hits = _holding_ranks(cells, group, "_fine", "_base", "_ranks")
+
+    group = [*group, "_fine"]
+    near = coarse.selectExpr("*", f"{_FINE_CELL} AS _fine").join(wanted(hits), group)
+    cells = near.groupBy(*group, "_v", *carried).agg(F.count("*").alias("_n"))
+    found = _holding_ranks(cells, group, "_v", "_base", "_ranks")
+
+    at = found.selectExpr(*by, "_total", "_v", "explode(_ranks) AS _rank")
+    ends = []
+    for i, p in enumerate(probs):
+        ends.append(F.expr(f"max(_v) FILTER (WHERE _rank = floor({last} * {p}D)) AS lo{i}"))
+        ends.append(F.expr(f"max(_v) FILTER (WHERE _rank = ceil({last} * {p}D)) AS hi{i}"))
+    between = [
+        f"CASE WHEN lo{i} = hi{i} THEN lo{i} ELSE lo{i} + (hi{i} - lo{i}) * ({last} * {p}D - floor({last} * {p}D)) END AS q{i}"
+        for i, p in enumerate(probs)
+    ]
+    return at.groupBy(*by, "_total").agg(*ends).selectExpr(*by, "_total AS n", *between)

@@ -8,6 +8,7 @@ current table.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -23,13 +24,9 @@ ALERT_COLUMNS = (
 )
 
 
-def _baseline_struct(baseline: DataFrame, metrics: list[str]) -> Column:
-    """The baseline as one struct with ``<metric>_mean/std/median`` fields."""
-    fields = [
-        F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}")
-        for m in metrics
-        for s in ("mean", "std", "median")
-    ]
+def _baseline_struct(baseline: DataFrame, metrics: list[str], stats: Sequence[str] = ("mean", "std")) -> Column:
+    """The baseline as one struct with ``<metric>_<statistic>`` fields."""
+    fields = [F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}") for m in metrics for s in stats]
     wide = baseline.agg(*fields)
     return wide.select(F.struct(*wide.columns).alias("b")).scalar()
 
@@ -84,10 +81,9 @@ def _drift_alert(m: str, limit: float, medians: bool) -> Column:
         F.format_string(f"{m.upper()} increased %.1f%% - verify data quality", size)
     )
     spread = {"baseline_std": F.col("_b")[f"{m}_std"], "current_std": F.col(f"{m}_std")}
-    middle = {
-        "baseline_median": F.col("_b")[f"{m}_median"],
-        "current_median": F.col(f"{m}_median") if medians else F.lit(None),
-    }
+    middle = {}
+    if medians:
+        middle = {"baseline_median": F.col("_m")[f"{m}_baseline"], "current_median": F.col("_m")[f"{m}_current"]}
     details = F.when(drop, _number_map({**spread, **middle})).otherwise(_number_map(spread))
     affected = F.when(drop, F.col(f"{m}_below")).otherwise(F.lit(0).cast("long"))
     return _alert(m, "drift", severity, base_mean, now, change * 100, affected, message, details)
@@ -110,11 +106,22 @@ def _outlier_alert(m: str) -> Column:
     return _alert(m, "outlier", severity, F.col("_b")[f"{m}_mean"], mean, F.lit(0.0), count, message, details)
 
 
-def _with_medians(wide: DataFrame, current: DataFrame, metrics: list[str], approx: bool) -> DataFrame:
+def _with_medians(
+    wide: DataFrame, current: DataFrame, baseline: DataFrame, metrics: list[str], approx: bool
+) -> DataFrame:
+    """Add the baseline and current medians as the struct ``_m``."""
     halves = percentiles(metric_rows(current, metrics), "value", [0.5], ["metric"], approx, few_groups=True)
-    row = halves.agg(*[F.max(F.when(F.col("metric") == m, F.col("q0"))).alias(f"{m}_median") for m in metrics])
-    packed = row.select(F.struct(*row.columns).alias("m")).scalar()
-    return wide.withColumn("_m", packed).select("*", "_m.*")
+    both = halves.select("metric", F.col("q0").alias("v"), F.lit("current").alias("side")).unionByName(
+        baseline.select("metric", F.col("median").alias("v"), F.lit("baseline").alias("side"))
+    )
+    row = both.agg(
+        *[
+            F.max(F.when((F.col("metric") == m) & (F.col("side") == side), F.col("v"))).alias(f"{m}_{side}")
+            for m in metrics
+            for side in ("baseline", "current")
+        ]
+    )
+    return wide.withColumn("_m", row.select(F.struct(*row.columns).alias("m")).scalar())
 
 
 def _alerts(wide: DataFrame, structs: list[Column]) -> DataFrame:
@@ -136,7 +143,7 @@ def metric_drift(
     """
     wide, metrics = _scan(current, baseline, limits, OUTLIER_Z)
     if medians:
-        wide = _with_medians(wide, current, metrics, approx)
+        wide = _with_medians(wide, current, baseline, metrics, approx)
     return _alerts(wide, [_drift_alert(m, limits[m], medians) for m in metrics])
 
 
@@ -182,7 +189,7 @@ def detect_drift(
     """Drift alerts followed by outlier alerts, from one scan (plus medians)."""
     wide, metrics = _scan(current, baseline, limits, z)
     if medians:
-        wide = _with_medians(wide, current, metrics, approx)
+        wide = _with_medians(wide, current, baseline, metrics, approx)
     drifted = [_drift_alert(m, limits[m], medians) for m in metrics]
     return _alerts(wide, drifted + [_outlier_alert(m) for m in metrics])
 

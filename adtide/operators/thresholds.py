@@ -116,9 +116,10 @@ def historical_threshold(
     if lookback_days is not None:
         end = F.lit(as_of).cast("date") if as_of else F.current_date()
         data = data.where(F.col("date") > F.date_sub(end, lookback_days))
-    value = F.col(metric).cast("double")
-    finite = data.where(F.abs(value) < F.lit(float("inf"))).withColumn("metric", F.lit(metric))
-    pct = percentiles(finite, metric, [percentile / 100.0], by + ["metric"], approx=approx, few_groups=not by)
+    # stack() hands on the value as a plain column, however costly its expression
+    rows = data.selectExpr(*by, f"stack(1, '{metric}', cast(`{metric}` as double)) as (metric, value)")
+    finite = rows.where(F.abs("value") < F.lit(float("inf")))
+    pct = percentiles(finite, "value", [percentile / 100.0], by + ["metric"], approx=approx, few_groups=not by)
     enough = F.when(F.col("n") >= min_samples, F.col("q0"))
     if by:
         return pct.select(*by, "metric", F.col("n").alias("samples"), enough.alias("threshold"))

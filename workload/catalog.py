@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import metric_queries  # noqa: F401
+from workload import insight_queries, metric_queries, quality_queries  # noqa: F401
 from workload.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
