@@ -65,7 +65,7 @@ def baseline_stats(
 def write_baseline(baseline: DataFrame, path: str) -> None:
     """Append a baseline version; earlier versions stay, the latest one counts."""
     rows = baseline.select(*BASELINE_SCHEMA.fieldNames()).withColumn("created_day", F.to_date("created_at"))
-    rows.coalesce(1).write.mode("append").partitionBy("created_day").parquet(path)
+    rows.repartition(1).write.mode("append").partitionBy("created_day").parquet(path)
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame | None:

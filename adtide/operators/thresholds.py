@@ -62,13 +62,14 @@ def resolve_thresholds(
     is small, and splits hot campaigns otherwise.
     """
     metric = F.col("metric")
+    if overrides is None and config.campaigns:
+        rows = [(c, m, float(v)) for c, ms in config.campaigns.items() for m, v in ms.items()]
+        overrides = requests.sparkSession.createDataFrame(rows, "campaign_id string, metric string, threshold double")
     if overrides is not None:
         unique = overrides.groupBy("campaign_id", "metric").agg(F.max("threshold").cast("double").alias("_override"))
         joined = requests.join(unique, ["campaign_id", "metric"], "left")
     else:
-        flat = {f"{c}|{m}": v for c, ms in config.campaigns.items() for m, v in ms.items()}
-        key = F.concat(F.col("campaign_id"), F.lit("|"), metric)
-        joined = requests.withColumn("_override", _lookup(flat, key))
+        joined = requests.withColumn("_override", F.lit(None).cast("double"))
     own = _lookup({m: config.metric_default(m) for m in config.metrics}, metric)
     shared = _lookup(config.global_defaults, metric)
     override = F.col("_override")

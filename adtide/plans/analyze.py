@@ -13,6 +13,7 @@ from adtide.operators import insights as insight_ops
 from adtide.operators import quality, rank
 from adtide.operators.report import report_sections
 from adtide.operators.thresholds import assess_data_quality
+from adtide.plans.staging import settle
 from adtide.plans.tasks import TaskResult, default_tasks, run_tasks, trend_results
 from adtide.schema import ThresholdConfig
 
@@ -40,23 +41,26 @@ def analyze(
     """Compose the operators over one fact table.
 
     ``baseline`` is a stored baseline to compare with (see
-    ``drift.check_or_create_baseline`` for the version that keeps one).  All
-    parts are lazy: a caller that wants only the report pays only for it.  The
-    level of the data quality reaches the evaluation as a scalar subquery.
+    ``drift.check_or_create_baseline`` for the version that keeps one).  The
+    results that later parts build on - health rows, quality level, trends and
+    the worst pairs, a few rows each - are computed once here; everything else
+    stays lazy.
     """
-    health = quality.run_health_checks(df, as_of)
+    health = settle(quality.run_health_checks(df, as_of))
     drift = drift_ops.detect_drift(df, baseline) if baseline is not None else None
-    level = assess_data_quality(df, config)
+    level = settle(assess_data_quality(df, config))
     results = run_tasks(df, tasks if tasks is not None else default_tasks(config), config)
     trends = trend_results(results)
     if trends is None:
         schema = "task_id string, metric string, change_pct double, recent_avg double"
         trends = df.sparkSession.createDataFrame([], schema)
+    else:
+        trends = settle(trends)
     insights = insight_ops.fallback_insights(trends)
     evaluation = insight_ops.evaluate(insights, trends, level.select("quality_level").scalar(), config=config)
     worst = [r.data.top for r in results if isinstance(r.data, rank.Underperformers)]
     if worst:
-        creatives = insight_ops.fallback_creatives(worst[-1])
+        creatives = settle(insight_ops.fallback_creatives(worst[-1]))
     else:
         creatives = df.sparkSession.createDataFrame([], insight_ops.CREATIVE_TYPE)
     raised = alert_ops.make_alerts(insight_ops.low_confidence(insights), evaluation.report, health, ts=as_of)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adtide.operators import baseline, drift, rank, requests, rollups, thresholds, trends
+from adtide.plans.staging import settle
 from adtide.plans.tasks import Trend, default_tasks, run_tasks
 from adtide.schema import BASE_METRICS, MetricBounds, ThresholdConfig
 from adtide.sources.ads import sample_rows
@@ -557,7 +558,8 @@ def _drift_out(df):
 
 
 def _drift_inputs(spark, d, **factors):
-    base = baseline.baseline_stats(t.ads(spark, d, ["date", "ctr", "roas", "cvr"]), ["roas", "ctr", "cvr"], CREATED)
+    # four rows, kept as a stored baseline would be
+    base = settle(baseline.baseline_stats(t.ads(spark, d, ["date", "ctr", "roas", "cvr"]), ["roas", "ctr", "cvr"], CREATED))
     current = t.ads(spark, d, ["date", "campaign_name", "ctr", "roas", "cvr"], **{m: f"{m} * {f}" for m, f in factors.items()})
     return current, base
 
