@@ -47,7 +47,7 @@ def _holding_ranks(cells: DataFrame, group: list[str], cell: str, base: str, ran
     upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(cell))
     placed = cells.select("*", (F.expr(base) + upto).alias("_end"), F.expr(base).alias("_first"), F.expr(ranks).alias("_all"))
     keep = [*group, cell, "_total", "_end - _n AS _base", "filter(_all, r -> r >= _end - _n AND r < _end) AS _ranks"]
-    return placed.selectExpr(*keep).where("size(_ranks) > 0")
+    return placed.selectExpr(*keep, *[c for c in ("_low", "_high") if c in cells.columns]).where("size(_ranks) > 0")
 
 
 def percentiles(
@@ -84,12 +84,14 @@ def percentiles(
     hits = _holding_ranks(cells, by, "_coarse", "0L", f"array_distinct(array({ranks}))")
 
     group, carried = [*by, "_coarse"], ["_total", "_base", "_ranks"]
-    fine = coarse.join(wanted(hits), group).selectExpr(*group, *carried, f"{_FINE_CELL} AS _fine")
-    cells = fine.groupBy(*group, "_fine", *carried).agg(F.count("*").alias("_n"))
+    fine = coarse.join(wanted(hits), group).selectExpr(*group, *carried, "_v", f"{_FINE_CELL} AS _fine")
+    spread = [F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    cells = fine.groupBy(*group, "_fine", *carried).agg(*spread)
     hits = _holding_ranks(cells, group, "_fine", "_base", "_ranks")
 
+    # a finer cell is the values between its smallest and largest one
+    near = coarse.join(wanted(hits), group).where("_v BETWEEN _low AND _high")
     group = [*group, "_fine"]
-    near = coarse.selectExpr("*", f"{_FINE_CELL} AS _fine").join(wanted(hits), group)
     cells = near.groupBy(*group, "_v", *carried).agg(F.count("*").alias("_n"))
     found = _holding_ranks(cells, group, "_v", "_base", "_ranks")
 

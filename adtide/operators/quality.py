@@ -66,21 +66,53 @@ def _named(**columns: Column) -> Column:
 
 
 # --- profile ---------------------------------------------------------------------
+def _profile_key(df: DataFrame, position: int, name: str) -> Column:
+    """A column value as (position, text, whole number, fraction) with one of the
+    last three set; a narrow key that needs no text form of numbers and dates."""
+    value, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    whole = value.cast("long") if isinstance(kind, T.IntegralType) else None
+    if isinstance(kind, T.DateType):
+        whole = F.unix_date(value).cast("long")
+    fraction = value.cast("double") if isinstance(kind, (T.DoubleType, T.FloatType)) else None
+    text = value.cast("string") if whole is None and fraction is None else None
+    parts = {"s": (text, "string"), "l": (whole, "long"), "d": (fraction, "double")}
+    return F.struct(
+        F.lit(position).alias("i"), *[(F.lit(None) if v is None else v).cast(k).alias(n) for n, (v, k) in parts.items()]
+    )
+
+
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Per column: type, non-null, null and distinct counts.
+    """Per column: type, non-null, null and distinct counts, from one scan.
 
-    ``approx`` counts distinct values with a sketch, which keeps the scan free
-    of any shuffle of values.
+    Exact distinct counts group by (column, value), which each task does for
+    its own rows first, so a frequent value is shuffled once per task.
+    ``approx`` uses a sketch instead and shuffles no values at all.
     """
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    aggs = []
-    for i, c in enumerate(df.columns):
-        col = F.col(f"`{c}`")
-        aggs += [
-            F.count(col).alias(f"set_{i}"),
-            F.count_if(col.isNull()).alias(f"null_{i}"),
-            distinct(col).alias(f"distinct_{i}"),
-        ]
+    names = df.columns
+    if approx:
+        aggs = []
+        for i, c in enumerate(names):
+            col = F.col(f"`{c}`")
+            aggs += [
+                F.count(col).alias(f"set_{i}"),
+                F.count_if(col.isNull()).alias(f"null_{i}"),
+                F.approx_count_distinct(col).alias(f"distinct_{i}"),
+            ]
+        wide = df.agg(*aggs)
+    else:
+        cells = df.select(F.inline(F.array(*[_profile_key(df, i, c) for i, c in enumerate(names)])))
+        values = cells.groupBy("i", "s", "l", "d").agg(F.count("*").alias("n"))
+        is_set = F.col("s").isNotNull() | F.col("l").isNotNull() | F.col("d").isNotNull()
+        n = F.col("n")
+        aggs = []
+        for i in range(len(names)):
+            mine = F.col("i") == i
+            aggs += [
+                F.coalesce(F.sum(F.when(mine & is_set, n)), F.lit(0)).alias(f"set_{i}"),
+                F.coalesce(F.sum(F.when(mine & ~is_set, n)), F.lit(0)).alias(f"null_{i}"),
+                F.count_if(mine & is_set).alias(f"distinct_{i}"),
+            ]
+        wide = values.agg(*aggs)
     rows = [
         _named(
             column_name=F.lit(c),
@@ -89,9 +121,9 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
             null_count=F.col(f"null_{i}"),
             unique_count=F.col(f"distinct_{i}"),
         )
-        for i, c in enumerate(df.columns)
+        for i, c in enumerate(names)
     ]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    return wide.select(F.inline(F.array(*rows)))
 
 
 # --- schema checks ----------------------------------------------------------------

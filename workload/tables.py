@@ -12,25 +12,37 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PRICE = "CAST(l_extendedprice AS DECIMAL(12,2))"
+# Money in units of 1/10000 as whole numbers: price in cents times a rate in
+# hundredths.  Sums and ratios of these are exact and cheap.
+_CENTS = "CAST(floor(l_extendedprice*100 + 0.5) AS BIGINT)"
+_SPENT = f"{_CENTS} * CAST(floor(l_discount*100 + 0.5) AS BIGINT)"
+_EARNED = f"CASE WHEN l_returnflag='R' THEN CAST(0 AS BIGINT) ELSE {_CENTS} * CAST(floor(l_tax*100 + 0.5) AS BIGINT) END"
+
+
+def _money(units: str) -> str:
+    return f"CAST(CAST({units} AS DECIMAL(18,0)) * 0.0001 AS DECIMAL(18,4))"
+
+
 BASE = {
     "date": "CAST(l_shipdate AS DATE)",
     "campaign_name": "p_brand",
     "adset_name": "p_type",
-    "spend": f"CAST({_PRICE} * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,4))",
+    "spend": _money(_SPENT),
     "impressions": "CAST(l_quantity*1000 AS BIGINT)",
     "clicks": "CAST(l_quantity*(l_orderkey % 40) AS BIGINT)",
     "purchases": "CAST(floor(l_quantity*(l_orderkey % 40)*(l_linenumber % 4)/20) AS BIGINT)",
-    "revenue": f"CAST(CASE WHEN l_returnflag='R' THEN 0 ELSE {_PRICE}*CAST(l_tax AS DECIMAL(4,2)) END AS DECIMAL(18,4))",
+    "revenue": _money(_EARNED),
     "creative_type": "o_orderpriority",
     "creative_message": "p_name",
     "audience_type": "c_mktsegment",
     "platform": "l_linestatus",
     "country": "n_name",
 }
+# Expressions the row ratios divide.
+_PARTS = {"clicks": BASE["clicks"], "impressions": BASE["impressions"], "purchases": BASE["purchases"], "spent": _SPENT, "earned": _EARNED}
 RATIOS = {
     "ctr": ("clicks", "impressions"),
-    "roas": ("revenue", "spend"),
+    "roas": ("earned", "spent"),
     "cvr": ("purchases", "clicks"),
 }
 ADS_FIELDS = (
@@ -60,7 +72,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _ratio(name: str) -> str:
     top, bottom = RATIOS[name]
-    return f"CAST({top} AS DOUBLE) / nullif(CAST({bottom} AS DOUBLE), CAST(0 AS DOUBLE))"
+    return f"CAST(part_{top} AS DOUBLE) / nullif(CAST(part_{bottom} AS DOUBLE), CAST(0 AS DOUBLE))"
 
 
 def _joined(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFrame:
@@ -78,10 +90,10 @@ def ads(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ADS_FIELDS, *
     """The fact table with the given columns; ``replace`` puts another
     expression in place of a column's own."""
     needed = set(columns)
-    for name, pair in RATIOS.items():
-        if name in needed:
-            needed.update(pair)
-    base = _joined(spark, sf_dir, needed).selectExpr(*[f"{BASE[c]} AS {c}" for c in BASE if c in needed])
+    parts = {p for name, pair in RATIOS.items() if name in needed for p in pair}
+    base = _joined(spark, sf_dir, needed).selectExpr(
+        *[f"{BASE[c]} AS {c}" for c in BASE if c in needed], *[f"{e} AS part_{p}" for p, e in _PARTS.items() if p in parts]
+    )
     out = base.selectExpr("*", *[f"{_ratio(r)} AS {r}" for r in RATIOS if r in needed])
     return out.selectExpr(*[f"{replace.get(c, c)} AS {c}" for c in columns])
 
@@ -94,7 +106,7 @@ _FROM = (
 
 def ads_sql(**replace: str) -> str:
     """WITH clause defining ``ads`` (same ``replace`` meaning as in :func:`ads`)."""
-    base = ", ".join(f"{e} AS {c}" for c, e in BASE.items())
+    base = ", ".join([f"{e} AS {c}" for c, e in BASE.items()] + [f"{e} AS part_{p}" for p, e in _PARTS.items()])
     ratios = ", ".join(f"{_ratio(r)} AS {r}" for r in RATIOS)
     final = ", ".join(f"{replace.get(c, c)} AS {c}" for c in ADS_FIELDS)
     return (
