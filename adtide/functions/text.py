@@ -11,15 +11,18 @@ def squeeze_spaces(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
 
 
+# Stands for "a word starts here" while the text is being capitalised.
+_MARK = "\u0001 "
+
+
 def title_case(text: Column) -> Column:
     """Upper-case the first letter after any non-letter, lower-case the rest.
 
-    ``initcap`` only looks at blanks, so the text is cut into letter and
-    non-letter runs instead.
+    ``initcap`` starts words at blanks only, so a marked blank is put before
+    every letter that follows a non-letter and taken out again afterwards.
     """
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(0))
-    capital = F.transform(runs, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2))))
-    return F.array_join(capital, "")
+    marked = F.regexp_replace(text, r"(?<=[^\p{L}])(?=\p{L})", _MARK)
+    return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
 
 
 def clean_campaign_name(name: Column) -> Column:

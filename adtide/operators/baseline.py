@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,12 +69,16 @@ def write_baseline(baseline: DataFrame, path: str) -> None:
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame | None:
-    """The latest baseline version, or None when there is none to be read."""
+    """The latest baseline version, or None when there is none to be read.
+
+    Damaged files are skipped; other failures of the job are not taken for a
+    missing baseline.
+    """
     try:
-        stored = spark.read.schema(BASELINE_SCHEMA).parquet(path)
-        if stored.isEmpty():
-            return None
-    except PySparkException:
+        stored = spark.read.schema(BASELINE_SCHEMA).option("ignoreCorruptFiles", "true").parquet(path)
+    except AnalysisException:
+        return None
+    if stored.isEmpty():
         return None
     newest = stored.agg(F.max("created_at")).scalar()
     fields = BASELINE_SCHEMA.fieldNames()

@@ -7,20 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SETTING = "spark.checkpoint.dir"
-
 
 def staging_dir(spark: SparkSession) -> str | None:
     """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    A local session without one gets a temporary folder for its life; on a
-    cluster without one there is none, as a machine-local folder would not
-    survive the loss of an executor.
+    A local session without one gets a temporary folder; on a cluster without
+    one there is none, as a machine-local folder would not survive the loss of
+    an executor.
     """
-    folder = spark.conf.get(_SETTING, None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="adtide-")
-        spark.conf.set(_SETTING, folder)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="adtide-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

@@ -376,6 +376,26 @@ def _(spark, d):
     return report.report_sections(rows, None, insights.evaluate(rows, t.results(spark, d)).report)
 
 
+@query(
+    "creative_sections",
+    ADS
+    + "SELECT 2 AS section_order, 'creative' AS section, concat(campaign_name, ' / ', adset_name) AS key, "
+    + _NL.join(
+        [
+            "'### Campaign: ' || campaign_name", "''", "printf('**Current Issue:** Low CTR: %.2f%%', ctr * 100)", "''", "'**New Creative Variations:**'", "''",
+            "'#### Variation fallback_1'", "''", "'- **Type:** UGC'", "'- **Headline:** Try our best-selling product'",
+            "'- **Message:** Join thousands of satisfied customers'", "'- **CTA:** Shop Now'",
+            "'- **Rationale:** Generic recommendation - requires manual refinement'", "'- **Expected Impact:** Unknown - test required'", "''",
+            "'**Testing Strategy:** A/B test with $50/day budget'", "''", "'---'",
+        ]
+    )
+    + f" AS body FROM (SELECT * FROM ({PAIRS}) WHERE ctr < 0.0195 ORDER BY ctr, campaign_name, adset_name LIMIT 3)",
+)
+def _(spark, d):
+    top = rank.underperformers(t.ads(spark, d, ["campaign_name", "adset_name", *BASES]), "ctr", 0.0195).top
+    return report.creative_sections(insights.fallback_creatives(top))
+
+
 # --- end to end ------------------------------------------------------------------------------------------
 @query(
     "analyze_evaluation",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from adtide.operators import baseline, drift, rank, requests, rollups, thresholds, trends
-from adtide.plans.staging import settle
+from adtide.operators.alerts import drift_digest
+from adtide.plans.staging import settle, staging_dir
 from adtide.plans.tasks import Trend, default_tasks, run_tasks
 from adtide.schema import BASE_METRICS, MetricBounds, ThresholdConfig
 from adtide.sources.ads import sample_rows
@@ -602,3 +605,27 @@ def _(spark, d):
 def _(spark, d):
     current, base = _drift_inputs(spark, d, roas=0.4, ctr=0.6)
     return drift.drift_summary(drift.detect_drift(current, base, medians=False))
+
+
+@query("stored_baseline_drift", _drift_rows_sql({"roas": 0.4, "ctr": 0.6}) + _DRIFT_OUT)
+def _(spark, d):
+    path = f"{staging_dir(spark)}/baseline-{uuid.uuid4().hex}"
+    facts = t.ads(spark, d, ["date", "campaign_name", "ctr", "roas", "cvr"])
+    first = drift.check_or_create_baseline(facts, path, created_at=CREATED)
+    assert first.created
+    current = t.ads(spark, d, ["date", "ctr", "roas", "cvr"], roas="roas * 0.4", ctr="ctr * 0.6")
+    return _drift_out(drift.check_or_create_baseline(current, path).alerts)
+
+
+@query(
+    "drift_digest",
+    _drift_rows_sql({"roas": 2.5, "cvr": 1.7})
+    + "SELECT CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END AS rank, metric, kind, CASE WHEN kind = 'drift' THEN "
+    "printf('%s increased %.1f%% - verify data quality', upper(metric), change_pct) || printf(chr(10) || '   Baseline: %.3f' || chr(10) || '   Current: %.3f' || chr(10) || "
+    "'   Change: %+.1f%%', baseline_value, current_value, change_pct) "
+    "ELSE printf('%d rows (%.1f%%) have outlier %s values', affected_rows, f, upper(metric)) || CASE WHEN severity = 'INFO' THEN '' "
+    "ELSE printf(chr(10) || '   Affected: %d rows', affected_rows) END END AS text FROM alerts",
+)
+def _(spark, d):
+    current, base = _drift_inputs(spark, d, roas=2.5, cvr=1.7)
+    return drift_digest(drift.detect_drift(current, base, medians=False))

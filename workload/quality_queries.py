@@ -255,7 +255,7 @@ def _(spark, d):
 
 @query("health_metric_ranges", BAD + _HEALTH_ROUND.format(HEALTH_SQL) + " WHERE check_name = 'metric_ranges'")
 def _(spark, d):
-    return _health_out(quality.check_metric_ranges(_bad(spark, d, ["roas", "ctr", "spend"])))
+    return _health_out(quality.check_metric_ranges(_bad(spark, d, ["roas", "ctr", "spend", "clicks"])))
 
 
 @query(
