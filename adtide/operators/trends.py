@@ -1,8 +1,12 @@
 """Recent-versus-previous comparison of daily metric values.
 
 Periods are counted in *days that have data*, newest first: the recent period
-is days 1..N, the previous one days N+1..2N.  Only these 2N daily rows are
-ranked, so the ordering window never sees the fact table.
+is days 1..N, the previous one days N+1..2N.
+
+The first of these days is looked up from the date column alone and reaches the
+scan as a filter, so a long history is pruned by partition or row-group
+statistics before any metric column is read.  Only the 2N daily rows are ranked;
+the ordering window never sees the fact table.
 """
 
 from __future__ import annotations
@@ -14,8 +18,15 @@ from adtide.functions.ratios import pct_change, trend_label
 from adtide.operators.rollups import daily_metric
 
 
+def _newest_days(df: DataFrame, metric: str, count: int) -> DataFrame:
+    """(date, value) of the newest ``count`` days that have data."""
+    days = df.where(F.col("date").isNotNull()).select("date").distinct()
+    first = days.orderBy(F.col("date").desc()).limit(count).agg(F.min("date")).scalar()
+    return daily_metric(df.where(F.col("date") >= first), metric)
+
+
 def _ranked_days(df: DataFrame, metric: str, days: int) -> DataFrame:
-    newest = daily_metric(df, metric).orderBy(F.col("date").desc()).limit(2 * days)
+    newest = _newest_days(df, metric, 2 * days).orderBy(F.col("date").desc()).limit(2 * days)
     return newest.withColumn("rn", F.row_number().over(Window.orderBy(F.col("date").desc())))
 
 
@@ -59,5 +70,5 @@ def time_series_summary(df: DataFrame, metric: str = "roas", window: int = 7) ->
 
 def daily_values(df: DataFrame, metric: str = "roas", days: int = 7) -> DataFrame:
     """The last min(7, ``days``) daily values in date order."""
-    newest = daily_metric(df, metric).orderBy(F.col("date").desc()).limit(min(7, days))
+    newest = _newest_days(df, metric, min(7, days))
     return newest.withColumnRenamed("value", metric).orderBy("date")
