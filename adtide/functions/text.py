@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def squeeze_spaces(text: Column) -> Column:
     """Trim and collapse every run of (Unicode) white space to one blank."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 # Stands for "a word starts here" while the text is being capitalised.

@@ -32,13 +32,14 @@ class MissingSourceError(FileNotFoundError):
 
 
 def _number(text: Column, target: T.DataType) -> Column:
-    """Text to number; anything that is no finite number of the type is NULL."""
+    """Text to number; anything that is no number of the type is NULL.
+
+    Whole numbers and decimals are read as such first and by way of a double
+    (exponents, fractions) only where that fails.
+    """
     wide = text.try_cast("double")
-    wide = F.when(~F.isnan(wide), wide)
     if isinstance(target, T.DoubleType):
-        return wide
-    if isinstance(target, T.LongType):
-        return F.coalesce(text.try_cast(target), F.floor(wide).try_cast(target))
+        return F.nullif(wide, F.lit(float("nan")))
     return F.coalesce(text.try_cast(target), wide.try_cast(target))
 
 
