@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from workload import catalog
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -31,7 +32,7 @@ def _key(value):
     return f"decimal {value}" if isinstance(value, decimal.Decimal) else repr(value)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = entry_points.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
