@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtide.llm import decontamination, pii, secrets, sharding
+from adtide.llm import decontamination, language, near_dup, packing, pii, secrets, sharding, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,3 +61,37 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size("secret_" + k).cast("long").alias("n_" + k) for k in ("assign", "access", "hex")]
     base = secrets.spans_text(secrets.KINDS[:3], "secret_", by_start=True)
     return docs.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.spans_text(secrets.KINDS, "secret_", by_start=True).alias("spans"))
+
+
+#: Where the public vocabulary files are; a parameter of the operators.
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def held_out() -> Column:
+    """Documents that language identification must not learn from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@_query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), docs.filter(~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@_query
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
