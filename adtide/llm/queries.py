@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtide.llm import decontamination, language, near_dup, packing, pii, secrets, sharding, vectors
+from adtide.llm import decontamination, html, language, licenses, near_dup, packing, pii, secrets, sharding, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +95,13 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@_query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(_table(spark, sf_dir, "documents"))

@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from adtide.llm import decontamination, secrets
+from adtide.llm import decontamination, language, near_dup, packing, secrets
+from adtide.llm.queries import held_out, tokenizer_path
 from adtide.llm.staging import settle
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told (operator 3); those without a
+    letter, or with no text, are rejected.  A missing ``lang`` is filled in."""
+    found = language.identify(docs, docs.filter(~held_out()))
+    found = found.filter(F.col("lang_pred") != language.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def leave_out_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (operator 10)."""
+    return near_dup.drop_near_duplicates(docs)
+
+
 def leave_out_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (operator 6)."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -22,9 +37,17 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.redact(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in token sequences (operator 4)."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language", known_language),
+    ("near-duplicates", leave_out_copies),
     ("decontamination", leave_out_benchmark),
     ("secrets", mask_secrets),
+    ("packing", pack),
 ]
 
 #: Model fitting, near-duplicate components and packing are not expressible in SQL.
