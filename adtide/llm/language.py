@@ -41,7 +41,8 @@ class Model:
 
     A state is one of the suffix automaton of the language's sample.  Where the
     automaton has no such step the phrase ends, and the entry is the step from
-    the start, marked by the lowest bit.
+    the start.  The lowest two bits count the phrases that end at a step: the
+    open one, and a symbol that the sample lacks, which is one of its own.
     """
 
     def __init__(self, texts: dict[str, str]) -> None:
@@ -93,12 +94,13 @@ class Model:
         live = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
         for n, start in enumerate(self.starts):
             state = np.full(len(pieces), start * SYMBOLS, np.int32)
-            ends = np.ones(len(pieces), np.int64)
+            ends = np.zeros(len(pieces), np.int64)
             for i in range(length[0]):
                 k = live[i]
                 step = self.table[state[:k] + grid[i, :k]]
-                ends[:k] += step & 1
-                state[:k] = (step >> 1) * SYMBOLS
+                ends[:k] += step & 3
+                state[:k] = (step >> 2) * SYMBOLS
+            ends += state != start * SYMBOLS  # the phrase still open
             counts[n] = np.bincount(owner, ends, texts).astype(np.int64)
         return counts
 
@@ -116,7 +118,7 @@ class Model:
 
 
 def _automaton(codes: np.ndarray, offset: int) -> np.ndarray:
-    """The suffix automaton of ``codes`` as rows of a step table (state * 2 + phrase end), states from ``offset``."""
+    """The suffix automaton of ``codes`` as rows of a step table (state * 4 + phrases ended), states from ``offset``."""
     nexts: list[dict[int, int]] = [{}]
     link, size, last = [-1], [0], 0
     for c in codes.tolist():
@@ -143,13 +145,14 @@ def _automaton(codes: np.ndarray, offset: int) -> np.ndarray:
                 link[q] = link[new] = twin
         last = new
     table = np.zeros((len(nexts), SYMBOLS), np.int32)
-    first = np.full(SYMBOLS, offset * 2 + 1, np.int32)  # a symbol the sample lacks: a phrase of its own
-    for c, q in nexts[0].items():
-        first[c] = (q + offset) * 2 + 1
-    table[:] = first
+    known = [*nexts[0].items()]
+    table[:] = offset * 4 + 2  # a symbol the sample lacks ends the open phrase and is one itself
+    table[0] = offset * 4 + 1
+    for c, q in known:
+        table[1:, c] = (q + offset) * 4 + 1
     for s, steps in enumerate(nexts):
         for c, q in steps.items():
-            table[s, c] = (q + offset) * 2
+            table[s, c] = (q + offset) * 4
     return table
 
 

@@ -142,10 +142,10 @@ def pack(table: DataFrame, length: int = LENGTH, group: int = GROUP, rounds: int
     by hash into groups of about ``group`` pieces, which no key can make hot,
     and each group is packed by best-fit decreasing.  The group's bound by
     dual-feasible functions certifies its count: without a gap it is done.
-    Groups with a gap keep their bins that are at least 15/16 full, and
-    exchange the pieces of all others: these are dealt anew into fewer, mixed
-    groups and packed again.  After ``rounds`` rounds, or when one group is
-    left, the packing stands.  A sequence is named by its least piece.
+    Groups with a gap keep their full bins and exchange the pieces of all
+    others: these are dealt anew into half as many, mixed groups and packed
+    again.  After ``rounds`` rounds, or when one group is left, the packing
+    stands.  A sequence is named by its least piece.
     """
     table = settle(table.withColumn("tie", F.monotonically_increasing_id()), "pieces")
     full = table.filter(F.col("length") == length)
@@ -156,13 +156,12 @@ def pack(table: DataFrame, length: int = LENGTH, group: int = GROUP, rounds: int
     for n in range(rounds):
         dealt = short.withColumn("grp", F.pmod(F.xxhash64(F.lit(n), "row", "piece", "tie"), F.lit(groups)))
         packed = settle(_pack_groups(dealt, length), "packed").withColumn("bin", F.concat_ws("-", F.lit(n), "grp", "bin"))
-        # room that the bins may waste before the gap costs a bin: bins emptier than that are opened again
-        again = (F.col("gap") > 0) & (F.col("fill") < length - length // 16) & F.lit(groups > 1 and n < rounds - 1)
+        again = (F.col("gap") > 0) & (F.col("fill") < length) & F.lit(groups > 1 and n < rounds - 1)
         done.append(packed.filter(~again).select("tie", "bin", "length"))
         short = packed.filter(again).select("tie", "row", "piece", "length")
         if groups == 1 or n == rounds - 1 or not (count := short.count()):
             break
-        groups = max(1, min(groups - 1, -(-count // group)))
+        groups = max(1, min(groups // 2, -(-count // group)))
     bins = done[0]
     for more in done[1:]:
         bins = bins.union(more)

@@ -111,7 +111,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             s, t = a[at : at + 200_000], b[at : at + 200_000]
             both = (perm[s][:, :, None] == perm[t][:, None, :]).any(2)
             lowest = np.where(both, perm[s], np.iinfo(np.int32).max).min(1)
-            sure = (both.sum(1) >= SHARED) & (lowest == p)
+            sure = (both.sum(1) >= min(SHARED, perm.shape[1])) & (lowest == p)
             s, t = s[sure], t[sure]
             np.add.at(links, s, copies[t])
             np.add.at(links, t, copies[s])
