@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adtide.functions.quantiles import percentiles
 from adtide.schema import BASELINE_METRICS, BASELINE_SCHEMA
 
 
+def number(df: DataFrame, name: str) -> Column:
+    """Column as double; NaN, and text that is no number, count as missing."""
+    value = F.col(f"`{name}`")
+    value = value.try_cast("double") if isinstance(df.schema[name].dataType, T.StringType) else value.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def metric_rows(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """(metric, value) rows of the named columns, values as double."""
-    pairs = ", ".join(f"'{m}', cast(`{m}` as double)" for m in metrics)
-    return df.select(F.expr(f"stack({len(metrics)}, {pairs}) as (metric, value)"))
+    pairs = ", ".join(f"'{m}', `{m}`" for m in metrics)
+    return df.select(*[number(df, m).alias(m) for m in metrics]).select(F.expr(f"stack({len(metrics)}, {pairs}) as (metric, value)"))
 
 
 def _timestamp(value: str | None) -> Column:
@@ -36,7 +45,7 @@ def baseline_stats(
     for name, fn in (("start_date", F.min), ("end_date", F.max)):
         aggs.append((fn("date") if "date" in df.columns else F.lit(None).cast("date")).alias(name))
     for m in present:
-        x = F.col(m).cast("double")
+        x = number(df, m)
         aggs += [
             F.avg(x).alias(f"{m}_mean"),
             F.stddev_samp(x).alias(f"{m}_std"),
@@ -71,18 +80,23 @@ def write_baseline(baseline: DataFrame, path: str) -> None:
 def read_baseline(spark: SparkSession, path: str) -> DataFrame | None:
     """The latest baseline version, or None when there is none to be read.
 
-    Damaged files are skipped; other failures of the job are not taken for a
-    missing baseline.
+    A damaged file makes the store count as unreadable as a whole: comparing
+    with an older version, or with a part of the metrics, would go unnoticed.
+    Other failures of the job are not taken for a missing baseline.
     """
     try:
-        stored = spark.read.schema(BASELINE_SCHEMA).option("ignoreCorruptFiles", "true").parquet(path)
+        stored = spark.read.schema(BASELINE_SCHEMA).parquet(path)
+        newest = stored.agg(F.max("created_at")).first()[0]  # reads every file of the store
     except AnalysisException:
         return None
-    if stored.isEmpty():
+    except Py4JJavaError as error:
+        if "FAILED_READ_FILE" not in str(error.java_exception):
+            raise
+        return None
+    if newest is None:
         return None
-    newest = stored.agg(F.max("created_at")).scalar()
     fields = BASELINE_SCHEMA.fieldNames()
-    latest = stored.where(F.col("created_at") == newest).groupBy("metric").agg(F.max(F.struct(*fields)).alias("_row"))
+    latest = stored.where(F.col("created_at") == F.lit(newest)).groupBy("metric").agg(F.max(F.struct(*fields)).alias("_row"))
     return latest.select("_row.*")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adtide.functions.quantiles import percentiles
-from adtide.operators.baseline import baseline_stats, metric_rows, read_baseline, write_baseline
+from adtide.operators.baseline import baseline_stats, metric_rows, number, read_baseline, write_baseline
 from adtide.schema import CRITICAL_DROP, DRIFT_DROP_LIMITS, OUTLIER_WARNING_PCT, OUTLIER_Z
 
 ALERT_COLUMNS = (
@@ -31,9 +31,9 @@ def _baseline_struct(baseline: DataFrame, metrics: list[str], stats: Sequence[st
     return wide.select(F.struct(*wide.columns).alias("b")).scalar()
 
 
-def _zscore(metric: str, base: Column) -> Column:
+def _zscore(value: Column, metric: str, base: Column) -> Column:
     std = base[f"{metric}_std"]
-    return (F.col(metric).cast("double") - base[f"{metric}_mean"]) / F.when(std != 0, std)
+    return (value - base[f"{metric}_mean"]) / F.when(std != 0, std)
 
 
 def _scan(current: DataFrame, baseline: DataFrame, limits: dict[str, float], z: float) -> tuple[DataFrame, list[str]]:
@@ -41,11 +41,11 @@ def _scan(current: DataFrame, baseline: DataFrame, limits: dict[str, float], z:
     use are pruned from the aggregate by the optimizer."""
     metrics = [m for m in limits if m in current.columns]
     base, packed = F.col("_b"), _baseline_struct(baseline, metrics)
-    facts = current.select(*metrics).withColumn("_b", packed)
+    facts = current.select(*[number(current, m).alias(m) for m in metrics]).withColumn("_b", packed)
     aggs = [F.count("*").alias("total_rows")]
     for m in metrics:
-        x = F.col(m).cast("double")
-        score = F.abs(_zscore(m, base))
+        x = F.col(m)
+        score = F.abs(_zscore(x, m, base))
         out = F.when(score > z, x)
         aggs += [
             F.avg(x).alias(f"{m}_mean"),
@@ -167,8 +167,8 @@ def outlier_rows(
         *[
             F.struct(
                 F.lit(m).alias("outlier_metric"),
-                F.col(m).cast("double").alias("outlier_value"),
-                _zscore(m, base).alias("z_score"),
+                number(current, m).alias("outlier_value"),
+                _zscore(number(current, m), m, base).alias("z_score"),
             )
             for m in present
         ]

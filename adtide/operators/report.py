@@ -45,7 +45,7 @@ def insight_sections(insights: DataFrame) -> DataFrame:
 def _variation(v: Column) -> Column:
     lines = (
         ("Type", "creative_type"), ("Headline", "headline"), ("Message", "message"), ("CTA", "cta"),
-        ("Rationale", "rationale"), ("Expected Impact", "expected_improvement"),
+        ("Rationale", "rationale"), ("Expected effect", "expected_improvement"),
     )
     return F.concat_ws(
         "\n",
@@ -59,15 +59,15 @@ def creative_sections(creatives: DataFrame) -> DataFrame:
     variations = F.array_join(F.transform("creative_variations", _variation), "\n\n")
     body = F.concat_ws(
         "\n",
-        F.concat(F.lit("### Campaign: "), _text(F.col("campaign"))),
+        F.concat(F.lit("### "), _text(F.col("campaign"))),
         F.lit(""),
-        F.concat(F.lit("**Current Issue:** "), _text(F.col("current_issue"))),
+        F.concat(F.lit("**Problem:** "), _text(F.col("current_issue"))),
         F.lit(""),
-        F.lit("**New Creative Variations:**"),
+        F.lit("**Proposed creatives:**"),
         F.lit(""),
         F.coalesce(variations, F.lit("")),
         F.lit(""),
-        F.concat(F.lit("**Testing Strategy:** "), _text(F.col("testing_strategy"))),
+        F.concat(F.lit("**How to test:** "), _text(F.col("testing_strategy"))),
         F.lit(""),
         F.lit("---"),
     )
@@ -78,15 +78,15 @@ def creative_sections(creatives: DataFrame) -> DataFrame:
 
 
 def quality_section(report: DataFrame) -> DataFrame:
-    status = F.when(F.coalesce(F.col("pass_threshold"), F.lit(False)), "Passed").otherwise("Needs Review")
+    status = F.when(F.coalesce(F.col("pass_threshold"), F.lit(False)), "Passed").otherwise("Below the bar")
     body = F.concat_ws(
         "\n",
-        F.lit("## Analysis Quality Metrics"),
+        F.lit("## Quality of the insights"),
         F.lit(""),
-        F.format_string("- **Total Insights Generated:** %d", F.col("total_insights")),
-        F.format_string("- **Validated Insights:** %d", F.col("validated_count")),
-        F.format_string("- **Quality Score:** %.2f/1.00", F.col("overall_quality")),
-        F.concat(F.lit("- **Evaluation Status:** "), status),
+        F.format_string("- **Insights:** %d", F.col("total_insights")),
+        F.format_string("- **Accepted:** %d", F.col("validated_count")),
+        F.format_string("- **Mean quality:** %.2f/1.00", F.col("overall_quality")),
+        F.concat(F.lit("- **Result:** "), status),
     )
     return report.select(
         F.lit(3).alias("section_order"), F.lit("quality").alias("section"), F.lit("").alias("key"), body.alias("body")

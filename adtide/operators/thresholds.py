@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adtide.operators.baseline import number
 from adtide.functions.quantiles import percentiles
 from adtide.schema import MetricBounds, ThresholdConfig
 
@@ -178,7 +179,7 @@ def _quality_level(variance: Column, campaigns: Column, config: ThresholdConfig)
 def coefficient_of_variation(df: DataFrame, metrics: Sequence[str] = ("ctr", "roas", "cvr")) -> DataFrame:
     """One row with ``<metric>_cv`` per present metric and their mean ``avg_cv``."""
     present = [m for m in metrics if m in df.columns]
-    cvs = [F.try_divide(F.stddev_samp(m), F.avg(m)).alias(f"{m}_cv") for m in present]
+    cvs = [F.try_divide(F.stddev_samp(number(df, m)), F.avg(number(df, m))).alias(f"{m}_cv") for m in present]
     return _with_mean_cv(df.agg(F.count("*").alias("total_rows"), *cvs), present)
 
 
@@ -195,10 +196,10 @@ def assess_data_quality(
 ) -> DataFrame:
     """One row: CV per metric, mean CV, campaign count, variance and quality level."""
     present = [m for m in metrics if m in df.columns]
-    cvs = [F.try_divide(F.stddev_samp(m), F.avg(m)).alias(f"{m}_cv") for m in present]
+    cvs = [F.try_divide(F.stddev_samp(number(df, m)), F.avg(number(df, m))).alias(f"{m}_cv") for m in present]
     size = F.count_distinct("campaign_name") if "campaign_name" in df.columns else F.lit(0).cast("long")
     wide = _with_mean_cv(df.agg(size.alias("sample_size"), *cvs), present)
-    cv = F.col("avg_cv")
+    cv = F.nullif(F.col("avg_cv"), F.lit(float("nan")))  # an infinite value leaves no usable variation: medium
     variance = F.when(cv > config.high_variance_cv, "high").when(cv < config.low_variance_cv, "low").otherwise("medium")
     return wide.withColumn("variance_level", variance).withColumn(
         "quality_level", _quality_level(F.col("variance_level"), F.col("sample_size"), config)

@@ -48,7 +48,8 @@ def _metric(params: dict, task_type: str) -> str:
 def _days(params: dict) -> int:
     parts = str(params.get("timeframe", "")).split("last_", 1)
     digits = parts[1].split("_")[0] if len(parts) > 1 else ""
-    return int(digits) if digits.isdigit() else DEFAULT_TREND_DAYS
+    days = int(digits) if digits.isascii() and digits.isdigit() else DEFAULT_TREND_DAYS
+    return days if days < 1 << 31 else DEFAULT_TREND_DAYS  # as for request tables
 
 
 def _threshold(value: Any, metric: str, config: ThresholdConfig) -> float:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 4)
+MONEY = T.DecimalType(38, 10)  # exact sums; 28 digits before the point
 
 # --- metric vocabulary (fixed values) ---------------------------------------
 BASE_METRICS = ("spend", "impressions", "clicks", "purchases", "revenue")

@@ -20,7 +20,10 @@ _NUMERIC = {
     "purchases": T.LongType(),
     "ctr": T.DoubleType(),
     "roas": T.DoubleType(),
+    "cvr": T.DoubleType(),
 }
+#: Date forms that are tried in order after ISO dates and timestamps.
+DATE_FORMATS = ("yyyy/MM/dd", "M/d/yyyy")
 
 
 class EmptySourceError(ValueError):
@@ -43,15 +46,16 @@ def _number(text: Column, target: T.DataType) -> Column:
     return F.coalesce(text.try_cast(target), wide.try_cast(target))
 
 
-def parse_dates(df: DataFrame, column: str = "date") -> DataFrame:
-    """ISO date text to date; a bad date becomes NULL and is counted by the
-    quality report."""
+def parse_dates(df: DataFrame, column: str = "date", formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """Date text to date: ISO first, then ``formats`` in order; a bad date becomes
+    NULL and is counted by the quality report."""
     if column not in df.columns or isinstance(df.schema[column].dataType, T.DateType):
         return df
     if not isinstance(df.schema[column].dataType, T.StringType):
         return df.withColumn(column, F.col(column).cast("date"))
     text = F.trim(F.col(column))
-    return df.withColumn(column, F.coalesce(F.try_to_date(text), text.try_cast("timestamp").cast("date")))
+    other = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
+    return df.withColumn(column, F.coalesce(F.try_to_date(text), text.try_cast("timestamp").cast("date"), *other))
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str] = tuple(_NUMERIC)) -> DataFrame:
@@ -85,19 +89,33 @@ def clean_ads(df: DataFrame) -> DataFrame:
     return with_clean_campaign_name(fill_metrics(coerce_numeric(parse_dates(df))))
 
 
-def read_ads(spark: SparkSession, path: str | list[str], format: str = "csv") -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """All columns as text.  Spark matches columns by place, so the header of
+    every file is held against that of the first; another order fails the read."""
+    options = {"header": True, "escape": '"', "multiLine": multiline}
+    first = spark.read.options(**options, inferSchema=False).csv(path)
+    if not first.columns:
+        raise EmptySourceError(f"source is empty: {path}")
+    return spark.read.options(**options, enforceSchema=False).schema(first.schema).csv(path)
+
+
+def read_ads(spark: SparkSession, path: str | list[str], format: str = "csv", multiline: bool = True) -> DataFrame:
     """The cleaned fact table from CSV (header row) or parquet files.
 
-    ``path`` may be a file, a directory, a glob or a list of these.  CSV columns
-    are matched by header name; columns outside the schema are kept as text.
-    A missing path raises :class:`MissingSourceError`, a CSV source without a
+    ``path`` may be a file, a directory, a glob or a list of these.  Each entry
+    of a list may have a header of its own: the entries are brought together by
+    column name, and a column that one lacks is NULL there.  Files under one
+    entry need equal headers; reading fails where they differ, as columns would
+    be mixed up.  ``multiline`` lets quoted fields hold line breaks; without it
+    large files are split over tasks.  Columns outside the schema are kept as
+    text.  A missing path raises :class:`MissingSourceError`, a CSV source without a
     header :class:`EmptySourceError`.
     """
     try:
         if format == "csv":
-            raw = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
-            if not raw.columns:
-                raise EmptySourceError(f"source is empty: {path}")
+            raw, *others = [_read_csv(spark, p, multiline) for p in ([path] if isinstance(path, str) else path)]
+            for other in others:
+                raw = raw.unionByName(other, allowMissingColumns=True)
         else:
             raw = spark.read.format(format).load(path)
     except AnalysisException as error:
@@ -120,6 +138,6 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, keys: Sequence[str] | Non
     depend on partitioning.  Only each task's best ``n`` rows are shuffled.
     """
     keys = list(keys or df.columns)
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("~")) for k in keys])
-    order = [F.md5(text.cast("binary")), *[F.col(c).asc_nulls_last() for c in df.columns]]
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("~")) for k in keys])
+    order = [F.md5(text.cast("binary")), *[F.col(f"`{c}`").asc_nulls_last() for c in df.columns]]
     return df.orderBy(*order).limit(n)

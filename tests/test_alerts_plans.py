@@ -39,7 +39,7 @@ def test_health_alerts(spark):
     assert made["missing_data"].details["days_missing"] == "8" and made["data_freshness"].severity == "WARNING"
     empty = quality.run_health_checks(task_frame(spark).where("false"), "2025-01-13 00:00:00")
     (only,) = alerts.make_alerts(health=empty, ts="2025-01-13").collect()
-    assert only.message == "No data in last 999 days" and only.details["last_data_date"] == "unknown"
+    assert only.message == "The newest row is older than 999 days" and only.details["last_data_date"] == "unknown"
     reports = spark.createDataFrame([(0.55, 4, 1), (0.2, 4, 4), (0.9, 4, 0)], "overall_quality double, total_insights long, rejected_count long")
     got = [(r.severity, r.details["rejected"]) for r in alerts.quality_alerts(reports).collect()]
     assert got == [("WARNING", "1/4"), ("CRITICAL", "4/4")]
@@ -52,13 +52,13 @@ def test_analyze_end_to_end(spark, tmp_path):
     ]
     out = analyze(task_frame(spark), tasks=tasks, as_of="2025-01-06 06:00:00")
     assert out.health_summary.first().total_checks == 5 and out.drift is None
-    assert out.insights.first().hypothesis == "Metric roas changed by 25.0%"
+    assert out.insights.first().hypothesis == "roas moved by 25.0% against the days before"
     assert [r.campaign for r in out.creatives.collect()] == ["c0", "c2", "c4"]
     assert out.evaluation.report.first().total_insights == 1
     assert out.alerts.where("alert_id = 'quality_below_threshold'").count() == 1
     files.write_report(out.report, str(tmp_path / "report"))
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
-    assert "### Campaign: c0" in text and "**Confidence:** 50%" in text and "Needs Review" in text
+    assert "### c0" in text and "**Confidence:** 50%" in text and "Below the bar" in text
     files.write_creatives(out.creatives, str(tmp_path / "creatives"))
     assert files.read_creatives(spark, str(tmp_path / "creatives")).count() == 3
 

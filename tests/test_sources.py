@@ -86,3 +86,27 @@ def test_insight_and_snapshot_sinks(spark, tmp_path):
     files.write_schema_snapshot(task_frame(spark), str(tmp_path / "snap"), approx=False)
     snap = {r.column_name: r for r in spark.read.json(str(tmp_path / "snap")).collect()}
     assert snap["ctr"].unique_count == 3 and snap["ctr"].column_type == "double" and snap["date"].non_null_count == 5
+
+
+def test_csv_headers_are_not_mixed_up(spark, tmp_path):
+    for name, header, row in (("a", "campaign_name,spend,revenue", "x,1,2"), ("b", "campaign_name,revenue,spend", '"y\nz",2,1')):
+        (tmp_path / f"{name}.csv").write_text(f"{header}\n{row}\n")
+    one, two = (str(tmp_path / f"{n}.csv") for n in "ab")
+    rows = {r.campaign_name: (float(r.spend), float(r.revenue)) for r in ads.read_ads(spark, [one, two]).collect()}
+    assert rows == {"x": (1.0, 2.0), "y\nz": (1.0, 2.0)}
+    with pytest.raises(Exception, match="header"):
+        ads.read_ads(spark, str(tmp_path / "*.csv")).collect()
+
+
+def test_wide_numbers_dates_and_cvr(spark):
+    raw = spark.createDataFrame(
+        [("12/31/2024", "1e15", "n/a"), ("2024/01/05", "0.00004", "0.5"), ("2024-02-03", "NaN", "nan")], "date string, spend string, cvr string"
+    )
+    rows = ads.clean_ads(raw).collect()
+    assert [str(r.date) for r in rows] == ["2024-12-31", "2024-01-05", "2024-02-03"]
+    assert [float(r.spend) for r in rows] == [1e15, 0.00004, 0.0] and [r.cvr for r in rows] == [None, 0.5, None]
+
+
+def test_sample_of_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], ["cost.usd", "two words"])
+    assert ads.sample_rows(df, 1).count() == 1

@@ -145,8 +145,8 @@ def _changed_sql() -> str:
 @query(
     "fallback_insights",
     _changed_sql()
-    + "SELECT 'fallback_1' AS id, 'metric_change' AS category, printf('Metric %s changed by %.1f%%', metric, change_pct) AS hypothesis, "
-    "printf('Recent average: %.2f', recent_avg) AS evidence, CAST(0.5 AS DOUBLE) AS confidence FROM (SELECT * FROM t_roas UNION ALL SELECT * FROM t_ctr UNION ALL SELECT * FROM t_cvr)",
+    + "SELECT 'fallback_1' AS id, 'metric_change' AS category, printf('%s moved by %.1f%% against the days before', metric, change_pct) AS hypothesis, "
+    "printf('mean of the recent days %.2f', recent_avg) AS evidence, CAST(0.5 AS DOUBLE) AS confidence FROM (SELECT * FROM t_roas UNION ALL SELECT * FROM t_ctr UNION ALL SELECT * FROM t_cvr)",
 )
 def _(spark, d):
     facts = t.ads(spark, d, ["date", *BASES])
@@ -160,7 +160,7 @@ def _(spark, d):
 @query(
     "fallback_creatives",
     ADS
-    + "SELECT campaign_name AS campaign, adset_name AS adset, printf('Low CTR: %.2f%%', ctr * 100) AS current_issue, 1 AS variations, "
+    + "SELECT campaign_name AS campaign, adset_name AS adset, printf('click-through rate of %.2f%%', ctr * 100) AS current_issue, 1 AS variations, "
     f"'Shop Now' AS cta FROM (SELECT * FROM ({PAIRS}) WHERE ctr < 0.0195 ORDER BY ctr, campaign_name, adset_name LIMIT 3)",
 )
 def _(spark, d):
@@ -319,10 +319,10 @@ _MADE_HOURS = "(epoch(TIMESTAMP '2001-11-16 12:00:00') - epoch(CAST(max(date) AS
     + f", low AS ({_LOW}), reports AS (SELECT batch, count(*) AS n, count(*) FILTER (WHERE NOT is_valid) AS rej, "
     f"coalesce(avg({_QUALITY}) FILTER (WHERE is_valid), 0) - 0.5 AS q FROM valid GROUP BY batch), ads AS (SELECT CAST(l_shipdate AS DATE) AS date FROM lineitem) "
     "SELECT 'WARNING' AS severity, 'insight_agent' AS source, concat('low_confidence_', id) AS alert_id, "
-    "printf('Insight ''%s'' has low confidence (%.2f < 0.50)', id, confidence) AS message, reason AS detail FROM low UNION ALL "
-    "SELECT CASE WHEN q < 0.5 THEN 'CRITICAL' ELSE 'WARNING' END, 'evaluator', 'quality_below_threshold', printf('Quality score %.2f below threshold 0.60', q), "
+    "printf('Insight ''%s'' is weakly supported (%.2f < 0.50)', id, confidence) AS message, reason AS detail FROM low UNION ALL "
+    "SELECT CASE WHEN q < 0.5 THEN 'CRITICAL' ELSE 'WARNING' END, 'evaluator', 'quality_below_threshold', printf('Mean insight quality %.2f is under 0.60', q), "
     "concat(rej, '/', n) FROM reports WHERE q < 0.6 UNION ALL "
-    f"SELECT 'CRITICAL', 'health_checker', 'missing_data', concat('No data in last ', {_MADE_DAYS}, ' days'), CAST({_MADE_DAYS} AS VARCHAR) FROM ads HAVING {_MADE_DAYS} >= 7 UNION ALL "
+    f"SELECT 'CRITICAL', 'health_checker', 'missing_data', concat('The newest row is older than ', {_MADE_DAYS}, ' days'), CAST({_MADE_DAYS} AS VARCHAR) FROM ads HAVING {_MADE_DAYS} >= 7 UNION ALL "
     f"SELECT 'WARNING', 'health_checker', 'data_freshness', printf('data is %.1f hours old (limit 24)', {_MADE_HOURS}), printf('%.1f', {_MADE_HOURS}) FROM ads HAVING {_MADE_HOURS} > 24",
 )
 def _(spark, d):
@@ -364,9 +364,9 @@ _NL = " || chr(10) || "
     + " AS body FROM insights UNION ALL SELECT 3, 'quality', '', "
     + _NL.join(
         [
-            "'## Analysis Quality Metrics'", "''", "'- **Total Insights Generated:** ' || count(*)", "'- **Validated Insights:** ' || count(*) FILTER (WHERE is_valid)",
-            f"printf('- **Quality Score:** %.2f/1.00', coalesce(avg({_QUALITY}) FILTER (WHERE is_valid), 0))",
-            f"'- **Evaluation Status:** ' || CASE WHEN coalesce(avg({_QUALITY}) FILTER (WHERE is_valid), 0) >= 0.7 THEN 'Passed' ELSE 'Needs Review' END",
+            "'## Quality of the insights'", "''", "'- **Insights:** ' || count(*)", "'- **Accepted:** ' || count(*) FILTER (WHERE is_valid)",
+            f"printf('- **Mean quality:** %.2f/1.00', coalesce(avg({_QUALITY}) FILTER (WHERE is_valid), 0))",
+            f"'- **Result:** ' || CASE WHEN coalesce(avg({_QUALITY}) FILTER (WHERE is_valid), 0) >= 0.7 THEN 'Passed' ELSE 'Below the bar' END",
         ]
     )
     + " FROM valid",
@@ -382,11 +382,11 @@ def _(spark, d):
     + "SELECT 2 AS section_order, 'creative' AS section, concat(campaign_name, ' / ', adset_name) AS key, "
     + _NL.join(
         [
-            "'### Campaign: ' || campaign_name", "''", "printf('**Current Issue:** Low CTR: %.2f%%', ctr * 100)", "''", "'**New Creative Variations:**'", "''",
-            "'#### Variation fallback_1'", "''", "'- **Type:** UGC'", "'- **Headline:** Try our best-selling product'",
-            "'- **Message:** Join thousands of satisfied customers'", "'- **CTA:** Shop Now'",
-            "'- **Rationale:** Generic recommendation - requires manual refinement'", "'- **Expected Impact:** Unknown - test required'", "''",
-            "'**Testing Strategy:** A/B test with $50/day budget'", "''", "'---'",
+            "'### ' || campaign_name", "''", "printf('**Problem:** click-through rate of %.2f%%', ctr * 100)", "''", "'**Proposed creatives:**'", "''",
+            "'#### Variation fallback_1'", "''", "'- **Type:** UGC'", "'- **Headline:** See what customers pick first'",
+            "'- **Message:** Rated by people who wear it every day'", "'- **CTA:** Shop Now'",
+            "'- **Rationale:** Template text, to be adapted to the product by hand'", "'- **Expected effect:** Not estimated'", "''",
+            "'**How to test:** Run next to the current creative with an even split'", "''", "'---'",
         ]
     )
     + f" AS body FROM (SELECT * FROM ({PAIRS}) WHERE ctr < 0.0195 ORDER BY ctr, campaign_name, adset_name LIMIT 3)",
@@ -419,8 +419,8 @@ def _(spark, d):
     + "), worst AS (SELECT * FROM ("
     + PAIRS
     + ") WHERE ctr < 0.0195 ORDER BY ctr, campaign_name, adset_name LIMIT 3) "
-    "SELECT 1 AS section_order, 'fallback_1' AS key, printf('### Metric roas changed by %.1f%%', change_pct) AS headline FROM t_roas UNION ALL "
-    "SELECT 2, concat(campaign_name, ' / ', adset_name), concat('### Campaign: ', campaign_name) FROM worst UNION ALL SELECT 3, '', '## Analysis Quality Metrics'",
+    "SELECT 1 AS section_order, 'fallback_1' AS key, printf('### roas moved by %.1f%% against the days before', change_pct) AS headline FROM t_roas UNION ALL "
+    "SELECT 2, concat(campaign_name, ' / ', adset_name), concat('### ', campaign_name) FROM worst UNION ALL SELECT 3, '', '## Quality of the insights'",
 )
 def _(spark, d):
     tasks = [

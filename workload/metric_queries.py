@@ -250,7 +250,7 @@ _TASKS = default_tasks() + [
     f"SELECT 'best', creative_message, creative_type, ctr, NULL FROM (SELECT * FROM ({CREATIVE}) ORDER BY ctr DESC NULLS LAST, creative_type, creative_message LIMIT 5)",
 )
 def _(spark, d):
-    picked = rank.creative_inputs(run_tasks(t.ads(spark, d), _TASKS))
+    picked = rank.creative_inputs(run_tasks(t.ads(spark, d, ["date", "campaign_name", "adset_name", "creative_type", "creative_message", *BASES]), _TASKS))
     worst = picked.worst_campaigns.select(
         F.lit("worst").alias("side"), F.col("campaign").alias("name"), F.col("adset").alias("part"), "ctr", "spend"
     )
@@ -263,7 +263,7 @@ def _(spark, d):
 
 @query("default_task_trend", _trend_sql("roas", 7))
 def _(spark, d):
-    results = run_tasks(t.ads(spark, d), default_tasks())
+    results = run_tasks(t.ads(spark, d, ["date", "campaign_name", "adset_name", "creative_type", "creative_message", *BASES]), default_tasks())
     out = next(r.data for r in results if isinstance(r.data, Trend)).summary
     return rounded(rounded(out, 9, "recent_avg", "previous_avg"), 6, "change_pct")
 
@@ -403,6 +403,16 @@ def _(spark, d):
     return rounded(out, 6, "ctr_cv", "roas_cv", "cvr_cv", "avg_cv")
 
 
+@query(
+    "cv_quality_dirty",
+    ADS.rstrip() + ", n AS (SELECT count(DISTINCT campaign_name) AS sample_size FROM ads) SELECT sample_size, 'medium' AS variance_level, 'medium' AS quality_level FROM n",
+)
+def _(spark, d):
+    """One infinite value leaves no usable variation."""
+    facts = t.ads(spark, d, ["campaign_name", "impressions", "ctr", "roas"], roas="CASE WHEN impressions % 7000 = 0 THEN double('infinity') ELSE roas END")
+    return thresholds.assess_data_quality(facts).select("sample_size", "variance_level", "quality_level")
+
+
 @query(
     "coefficient_of_variation",
     ADS + ", " + _CV + "SELECT (SELECT count(*) FROM ads) AS total_rows, round(ctr_cv, 6) AS ctr_cv, round(roas_cv, 6) AS roas_cv, "
@@ -510,9 +520,9 @@ def _(spark, d):
     return baseline.with_baseline_age(stats, "2024-03-31 06:00:00").select("metric", "cnt", "age_days")
 
 
-def _drift_rows_sql(factors: dict[str, float]) -> str:
-    """Drift and outlier alerts of ``ads`` with scaled metrics against ``ads``."""
-    now = "now AS (SELECT " + ", ".join(f"{m} * {factors.get(m, 1.0)} AS {m}" for m in ("roas", "ctr", "cvr")) + " FROM ads)"
+def _drift_rows_sql(factors: dict[str, float], known: str = "true") -> str:
+    """Drift and outlier alerts of ``ads`` with scaled metrics against ``ads``; metrics count where ``known``."""
+    now = "now AS (SELECT " + ", ".join(f"CASE WHEN {known} THEN {m} * {factors.get(m, 1.0)} END AS {m}" for m in ("roas", "ctr", "cvr")) + " FROM ads)"
     parts = []
     for m, limit in (("roas", 0.5), ("ctr", 0.3), ("cvr", 0.3)):
         parts.append(
@@ -560,10 +570,10 @@ def _drift_out(df):
     return rounded(out, 6, "baseline_value", "current_value", "change_pct", *[f"detail_{i}" for i in range(1, 5)])
 
 
-def _drift_inputs(spark, d, **factors):
+def _drift_inputs(spark, d, columns=("ctr", "roas", "cvr"), **factors):
     # four rows, kept as a stored baseline would be
     base = settle(baseline.baseline_stats(t.ads(spark, d, ["date", "ctr", "roas", "cvr"]), ["roas", "ctr", "cvr"], CREATED))
-    current = t.ads(spark, d, ["date", "campaign_name", "ctr", "roas", "cvr"], **{m: f"{m} * {f}" for m, f in factors.items()})
+    current = t.ads(spark, d, columns, **{m: f"{m} * {f}" for m, f in factors.items()})
     return current, base
 
 
@@ -572,6 +582,21 @@ def _(spark, d):
     return _drift_out(drift.metric_drift(*_drift_inputs(spark, d, roas=0.4)))
 
 
+_DIRTY = "impressions % 7000 <> 0"
+
+
+@query("drift_dirty", _drift_rows_sql({"roas": 0.4, "ctr": 0.9}, _DIRTY) + _DRIFT_OUT)
+def _(spark, d):
+    """Roas partly not a number, ctr and cvr as text that partly is no number."""
+    _, base = _drift_inputs(spark, d)
+    current = t.ads(spark, d, ["impressions", "roas", "ctr", "cvr"]).selectExpr(
+        f"CASE WHEN {_DIRTY} THEN roas * 0.4 ELSE double('NaN') END AS roas",
+        f"CASE WHEN {_DIRTY} THEN cast(ctr * 0.9 AS string) ELSE 'n/a' END AS ctr",
+        f"CASE WHEN {_DIRTY} THEN cast(cvr AS string) ELSE 'NaN' END AS cvr",
+    )
+    return _drift_out(drift.detect_drift(current, base))
+
+
 @query("drift_mixed", _drift_rows_sql({"roas": 2.5, "ctr": 0.6, "cvr": 1.7}) + _DRIFT_OUT)
 def _(spark, d):
     return _drift_out(drift.detect_drift(*_drift_inputs(spark, d, roas=2.5, ctr=0.6, cvr=1.7)))
@@ -592,7 +617,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    out = drift.outlier_rows(*_drift_inputs(spark, d))
+    out = drift.outlier_rows(*_drift_inputs(spark, d, ("date", "campaign_name", "ctr", "roas", "cvr")))
     return rounded(out.select(day(), "campaign_name", "outlier_metric", "outlier_value", "z_score"), 6, "z_score")
 
 
@@ -610,7 +635,7 @@ def _(spark, d):
 @query("stored_baseline_drift", _drift_rows_sql({"roas": 0.4, "ctr": 0.6}) + _DRIFT_OUT)
 def _(spark, d):
     path = f"{staging_dir(spark)}/baseline-{uuid.uuid4().hex}"
-    facts = t.ads(spark, d, ["date", "campaign_name", "ctr", "roas", "cvr"])
+    facts = t.ads(spark, d, ["date", "ctr", "roas", "cvr"])
     first = drift.check_or_create_baseline(facts, path, created_at=CREATED)
     assert first.created
     current = t.ads(spark, d, ["date", "ctr", "roas", "cvr"], roas="roas * 0.4", ctr="ctr * 0.6")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from adtide.operators import quality
+from adtide.plans.staging import staging_dir
 from adtide.schema import RENAME_KEYWORDS
 from adtide.sources import ads as source
 from workload import tables as t
@@ -29,6 +32,43 @@ _PARSED = (
 
 
 # --- ingest --------------------------------------------------------------------------
+_CSV = {  # odd ones among the facts: large and small money, as text
+    "spend": "CASE WHEN impressions % 7000 = 0 THEN '1e15' WHEN impressions % 11000 = 0 THEN '0.00004' ELSE CAST(spend AS {0}) END",
+    "revenue": "CAST(revenue AS {0})",
+}
+
+
+@query(
+    "read_ads_csv",
+    t.ads_sql()
+    + "SELECT campaign_name || chr(10) || adset_name AS campaign_name, CAST(min(date) AS VARCHAR) AS first_day, CAST(max(date) AS VARCHAR) AS last_day, count(*) AS row_count, "
+    "CAST(sum(CAST(CASE WHEN impressions % 7000 = 0 THEN 1000000000000000 WHEN impressions % 11000 = 0 THEN 0 ELSE spend END AS DECIMAL(38,10))) AS DOUBLE) AS spend, "
+    "count(*) FILTER (WHERE impressions % 7000 <> 0 AND impressions % 11000 = 0) AS small_spend, CAST(sum(revenue) AS DOUBLE) AS revenue, "
+    "CAST(sum(clicks) AS BIGINT) AS clicks, round(avg(cvr), 9) AS cvr FROM ads GROUP BY 1",
+)
+def _(spark, d):
+    """Facts written as CSV by two systems (other column order, date form and a
+    quoted line break) and read back."""
+    facts = t.ads(spark, d, ["date", "campaign_name", "adset_name", "spend", "impressions", "clicks", "revenue", "cvr"])
+    text = facts.selectExpr(
+        "date", "concat(campaign_name, '\n', adset_name) AS campaign_name", *[f"{e.format('string')} AS {c}" for c, e in _CSV.items()],
+        "cast(impressions AS string) AS impressions", "cast(clicks AS string) AS clicks", "coalesce(cast(cvr AS string), 'n/a') AS cvr",
+    )
+    folder = f"{staging_dir(spark)}/csv-{uuid.uuid4().hex}"
+    iso = text.where("cast(clicks AS long) % 2 = 0").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    iso.write.option("header", True).option("escape", '"').csv(f"{folder}/a")
+    other = text.where("cast(clicks AS long) % 2 = 1").select("revenue", "spend", F.date_format("date", "MM/dd/yyyy").alias("date"), "campaign_name", "cvr", "clicks", "impressions")
+    other.write.option("header", True).option("escape", '"').csv(f"{folder}/b")
+    ads = source.read_ads(spark, [f"{folder}/a", f"{folder}/b"])
+    small = (F.col("spend") == F.lit("0.00004").cast("decimal(38,10)"))
+    out = ads.groupBy("campaign_name").agg(
+        F.min(day()).alias("first_day"), F.max(day()).alias("last_day"), F.count("*").alias("row_count"),
+        F.sum(F.when(small, 0).otherwise(F.col("spend"))).cast("double").alias("spend"), F.count_if(small).alias("small_spend"),
+        F.sum("revenue").cast("double").alias("revenue"), F.sum("clicks").alias("clicks"), F.avg("cvr").alias("cvr"),
+    )
+    return rounded(out, 9, "cvr")
+
+
 @query("coerce_numeric", TEXT + f"SELECT row_key, {', '.join(_PARSED)} FROM text_ads")
 def _(spark, d):
     raw = t.text_ads(spark, d, ["row_key", *_LONGS, *_MONEY, "ctr", "roas"])
