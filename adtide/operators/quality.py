@@ -144,7 +144,7 @@ def catalog_drift(columns: DataFrame, name: str = "column_name", by: Sequence[st
     """Schema drift over a *table of column names*: ``by`` + (kind, column_name)
     with kind ``new``, ``missing_required`` or ``removed_optional``."""
     expected = [r.name for r in rules]
-    known = columns.where(F.col(name).isNotNull())
+    known = columns.select(name).where(F.col(name).isNotNull()).distinct()  # edit distance once per name
     new = known.where(~F.col(name).isin(expected)).select(*by, F.lit("new").alias("kind"), F.col(name).alias("column_name"))
     present = known.groupBy(*by).agg(*[F.coalesce(F.max(F.col(name) == c), F.lit(False)).alias(f"has_{c}") for c in expected])
     rows = [
@@ -195,7 +195,7 @@ def rename_candidates(
         )
         for e in expected
     ]
-    known = columns.where(F.col(name).isNotNull())
+    known = columns.select(name).where(F.col(name).isNotNull()).distinct()  # edit distance once per name
     return known.agg(*best).select(F.inline(F.array(*rows))).where(F.col("candidate").isNotNull())
 
 
@@ -262,8 +262,8 @@ def column_missing_pct(df: DataFrame) -> DataFrame:
     rows = [
         _named(
             column_name=F.lit(c),
-            missing=F.col(f"null_{c}"),
-            missing_pct=F.try_divide(F.col(f"null_{c}") * 100.0, F.col("total_rows")),
+            missing=F.col(f"`null_{c}`"),
+            missing_pct=F.try_divide(F.col(f"`null_{c}`") * 100.0, F.col("total_rows")),
         )
         for c in df.columns
     ]
@@ -284,7 +284,7 @@ def _rule_structs(df: DataFrame, limits: QualityLimits) -> list[Column]:
 
     out = [rule("min_rows", None, total, limits.min_rows, total < limits.min_rows)]
     for c in df.columns:
-        pct = F.try_divide(F.col(f"null_{c}") * 100.0, total)
+        pct = F.try_divide(F.col(f"`null_{c}`") * 100.0, total)
         limit = limits.max_missing_pct_per_column
         out.append(rule("max_missing_percentage", c, pct, limit, pct > limit))
     out.append(rule("date_range_max_days", "date", span, limits.max_date_span_days, span > limits.max_date_span_days))
@@ -398,7 +398,7 @@ def _freshness(as_of: str | None, limits: QualityLimits) -> Column:
 def _completeness(df: DataFrame, limits: QualityLimits) -> Column:
     nulls = F.lit(0).cast("long")
     for c in df.columns:
-        nulls = nulls + F.col(f"null_{c}")
+        nulls = nulls + F.col(f"`null_{c}`")
     pct = F.try_divide(nulls * 100.0, F.col("total_rows") * len(df.columns))
     empty = F.col("total_rows") == 0
     passed = ~empty & (pct <= limits.max_missing_pct_overall)

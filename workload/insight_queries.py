@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from adtide.operators import alerts as alert_ops
@@ -9,6 +11,8 @@ from adtide.operators import contracts, insights, quality, rank, report, trends
 from adtide.operators import logs as log_ops
 from adtide.operators.thresholds import assess_data_quality
 from adtide.plans.analyze import analyze
+from adtide.plans.staging import staging_dir
+from adtide.sources import files
 from workload import quality_queries as qq
 from workload import tables as t
 from workload.metric_queries import _CV, ADS, BASES, PAIRS, _trend_sql
@@ -347,6 +351,28 @@ def _(spark, d):
     return rounded(log_ops.log_summary(t.execution_log(spark, d)), 9, "avg_duration")
 
 
+@query(
+    "log_summary_read",
+    f"SELECT agent, event, count(*) AS cnt, round(avg(dur), 9) AS avg_duration, max(dur) AS max_duration, count(*) FILTER (WHERE event = 'error') AS error_count "
+    f"FROM (SELECT event_type AS agent, {t.LOG_EVENT} AS event, value AS dur FROM events) GROUP BY 1, 2",
+)
+def _(spark, d):
+    """The log written as JSON lines and read back by the log source."""
+    path = f"{staging_dir(spark)}/log-{uuid.uuid4().hex}"
+    t.execution_log(spark, d).write.json(path)
+    return rounded(log_ops.log_summary(files.read_execution_log(spark, path)), 9, "avg_duration").drop("retry_count")
+
+
+@query(
+    "insights_written",
+    t.INSIGHTS_SQL + "SELECT id, category, hypothesis, len(evidence) AS evidence_count, confidence, reasoning, recommendation FROM insights",
+)
+def _(spark, d):
+    path = f"{staging_dir(spark)}/insights-{uuid.uuid4().hex}"
+    files.write_insights(t.insights(spark, d), path)
+    return files.read_insights(spark, path).withColumn("evidence_count", F.size("evidence").cast("long")).drop("evidence")
+
+
 _NL = " || chr(10) || "
 
 

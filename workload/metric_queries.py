@@ -520,6 +520,16 @@ def _(spark, d):
     return baseline.with_baseline_age(stats, "2024-03-31 06:00:00").select("metric", "cnt", "age_days")
 
 
+@query("baseline_updated", ADS + f"SELECT metric, cnt, round(mean, 9) AS mean, round(median, 9) AS median FROM ({_baseline_sql()})")
+def _(spark, d):
+    """A second version stored over a first one of fewer rows; the newest counts."""
+    path = f"{staging_dir(spark)}/baseline-{uuid.uuid4().hex}"
+    facts = t.ads(spark, d, _BASE_COLUMNS)
+    baseline.update_baseline(facts.where("date < '1995-01-01'"), path, created_at="2024-01-01 00:00:00")
+    stored = baseline.update_baseline(facts, path, created_at=CREATED)
+    return rounded(stored.select("metric", "cnt", "mean", "median"), 9, "mean", "median")
+
+
 def _drift_rows_sql(factors: dict[str, float], known: str = "true") -> str:
     """Drift and outlier alerts of ``ads`` with scaled metrics against ``ads``; metrics count where ``known``."""
     now = "now AS (SELECT " + ", ".join(f"CASE WHEN {known} THEN {m} * {factors.get(m, 1.0)} END AS {m}" for m in ("roas", "ctr", "cvr")) + " FROM ads)"

@@ -168,6 +168,19 @@ def _(spark, d):
     return quality.column_missing_pct(_bad(spark, d))
 
 
+@query(
+    "column_missing_dotted",
+    BAD
+    + " UNION ALL ".join(
+        f"SELECT '{shown}' AS column_name, count(*) - count({c}) AS missing, (count(*) - count({c})) * CAST(100 AS DOUBLE) / count(*) AS missing_pct FROM ads"
+        for c, shown in (("spend", "cost.usd"), ("roas", "return on spend"))
+    ),
+)
+def _(spark, d):
+    odd = _bad(spark, d).select(F.col("spend").alias("cost.usd"), F.col("roas").alias("return on spend"))
+    return quality.column_missing_pct(odd)
+
+
 _RANGES = (
     [("spend", "below", 0), ("impressions", "below", 0), ("clicks", "below", 0), ("purchases", "below", 0), ("revenue", "below", 0)]
     + [("ctr", "below", 0), ("ctr", "above", 1), ("roas", "below", 0)]
