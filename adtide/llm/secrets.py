@@ -20,13 +20,12 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # UUIDs
     r"^sha(1|256|384|512)-",  # integrity values
     r"(?i)example|placeholder|changeme|xxxx|0123456789|abcdefgh",  # samples
-    r"^[A-Za-z0-9]{0,15}([/_-][A-Za-z0-9]{0,15})+$",  # paths and names of short parts
+    r"^[A-Za-z0-9]{0,15}+(?:[/_-][A-Za-z0-9]{0,15}+)++$",  # paths and names of short parts
 )
 #: Characters of each class, the least entropy of a window in bits per character, and what a token of the class must hold.
 ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_-="
 WINDOW = 20
 CLASSES = {"hex": (r"^([0-9a-f]+|[0-9A-F]+)$", 3.0), "alphanumeric": (r"^[0-9A-Za-z]+$", 3.8), "base64": (r"^[0-9A-Za-z+/_=-]+$", 3.9)}
-_MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"
 
 
 def window_entropy(token: str, window: int = WINDOW) -> str:
@@ -57,7 +56,7 @@ def _entropy_spans(text: str, taken: str) -> Column:
     level = "case " + " ".join(f"when t.m rlike r'{p}' then {low}D" for p, low in CLASSES.values()) + " else 9D end"
     clear = " and ".join(f"not t.m rlike r'{p}'" for p in ALLOWED)
     free = "not exists(taken, k -> k.a < t.b and t.a < k.b)"
-    keep = f"length(t.m) >= {WINDOW} and t.m rlike '{_MIXED}' and {clear} and {free}"
+    keep = f"length(t.m) >= {WINDOW} and t.m rlike '[0-9]' and t.m rlike '[A-Za-z]' and {clear} and {free}"
     tokens = f"filter({text}, t -> {keep})"
     return F.expr(bound(taken, "taken", f"filter({tokens}, t -> {window_entropy('t.m')} >= {level})", f"array<{SPAN}>"))
 

@@ -24,6 +24,12 @@ def plain(text):
     return [f"{k}:{a}:{b}" for a, _, k, b in sorted(spans)]
 
 
+def highest(token):
+    """Highest window entropy by counting every window anew."""
+    windows = [token[i : i + 20] for i in range(len(token) - 19)]
+    return max((-sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) for w in windows), default=0.0)
+
+
 def test_query_equals_plain_search(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.QUERIES["op9_secrets"](spark, sf_dir).collect():
@@ -37,15 +43,14 @@ def test_edge_texts(documents):
     base = secrets.spans_text(secrets.KINDS[:3], "secret_", by_start=True)
     got = rows.select("doc_id", base.alias("s"), F.col("secret_entropy.m").alias("e")).collect()
     assert [r.s for r in got] == [",".join(plain(t)) for t in TEXTS]
-    assert got[11].e == ["zQ8xK2mN7vB4tR9wL5pJ"] and got[12].e == [] and got[13].e == []
+    high = [t for t in TEXTS[11].split(" and ") if highest(t) >= secrets.CLASSES["alphanumeric"][1]]
+    assert got[11].e == high and "zQ8xK2mN7vB4tR9wL5pJ" in high and got[12].e == [] and got[13].e == []
 
 
 def test_window_entropy_by_counting(spark):
     for token in ("abc", "a" * 25, "abcdefghij0123456789KLMNO", "aab1" * 9):
         got = spark.createDataFrame([(token,)], "t string").select(F.expr(secrets.window_entropy("t"))).first()[0]
-        windows = [token[i : i + 20] for i in range(len(token) - 19)]
-        want = max((-sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) for w in windows), default=0.0)
-        assert abs(got - want) < 1e-9
+        assert abs(got - highest(token)) < 1e-9
 
 
 def test_redact_masks_and_keeps(spark):
