@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     )
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``docs`` with one document of each component; rows with a null key stay, of rows with equal keys all."""
-    kept = near_duplicates(docs, key, text).filter("not kept").select(key).distinct()
+    kept = near_duplicates(docs, key, text, words).filter("not kept").select(key).distinct()
     return docs.join(kept.filter(F.col(key).isNotNull()), key, "left_anti")

@@ -11,6 +11,9 @@ from adtide.llm import decontamination, language, near_dup, packing, secrets
 from adtide.llm.queries import held_out, tokenizer_path
 from adtide.llm.staging import settle
 
+#: Words of a shingle in the near-duplicate stage (the query of that operator takes four).
+SHINGLE_WORDS = 5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -24,7 +27,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def leave_out_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 10)."""
-    return near_dup.drop_near_duplicates(docs)
+    return near_dup.drop_near_duplicates(docs, words=SHINGLE_WORDS)
 
 
 def leave_out_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,14 +9,14 @@ from adtide.llm import near_dup, queries
 from adtide.llm.components import components
 
 
-def sets_of(text):
+def sets_of(text, n=4):
     words = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return frozenset(tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))) if words else frozenset()
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
 
 
-def plain(rows):
+def plain(rows, words=4):
     """(n_shingles, component) by comparing all pairs; keys are distinct."""
-    sets = [(i, sets_of(t)) for i, t in rows]
+    sets = [(i, sets_of(t, words)) for i, t in rows]
     up = {i: i for i, _ in sets}
 
     def top(i):

@@ -19,7 +19,7 @@ def test_stages(spark, sf_dir):
             assert docs.columns == columns
     lang = {i for i, r in rows.items() if any(c.isalpha() for c in r.text)}
     assert set(seen["language"]) == lang
-    low = plain([(i, rows[i].text) for i in lang])
+    low = plain([(i, rows[i].text) for i in lang], corpus_pipeline.SHINGLE_WORDS)
     assert set(seen["near-duplicates"]) == {i for i, (_, c) in low.items() if c == i}
     bench = [re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in bench]
