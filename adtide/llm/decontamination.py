@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adtide.llm.spans import bound
-from adtide.llm.staging import settle
+from adtide.llm.staging import leave_out, settle
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -14,8 +14,8 @@ CONTAINMENT = 0.8
 SIZE_CLASSES = ((16, 8), (64, 12), (1 << 62, 16))
 #: Signature values that are sent to all tasks at once; a larger benchmark is searched in several blocks.
 BLOCK_ROWS = 500_000
-#: Candidate documents whose keys may be sent to all tasks (16 bytes each); more are joined by shuffle.
-BROADCAST_DOCS = 500_000
+#: Keys of candidate documents and of their items that may be sent to all tasks; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def _words(text: Column) -> Column:
@@ -106,8 +106,8 @@ def contaminated(
     for more in hits[1:]:
         pairs = pairs.union(more)
     pairs = settle(pairs.groupBy("doc", "id").agg(F.collect_set("item").alias("items")), "candidates")
-    count = pairs.count()
-    wanted = F.broadcast(pairs) if count <= BROADCAST_DOCS else pairs
+    keys = pairs.agg(F.sum(F.size("items") + 1)).first()[0] or 0
+    wanted = F.broadcast(pairs) if keys <= BROADCAST_KEYS else pairs
     near = body.withColumn("id2", F.xxhash64("txt")).join(
         wanted.select(F.col("doc").alias("doc2"), "id", "items"), F.expr("doc <=> doc2 and id2 = id")).drop("doc2", "id2")
     shared = []
@@ -133,5 +133,4 @@ def _empty(docs: DataFrame, items: DataFrame, key: str, item_key: str) -> DataFr
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", **more) -> DataFrame:
     """``docs`` without the documents that :func:`contaminated` names; rows with a null key stay."""
-    named = contaminated(docs, items, key, **more).select(key).distinct()
-    return docs.join(named, key, "left_anti")
+    return leave_out(docs, contaminated(docs, items, key, **more), key)

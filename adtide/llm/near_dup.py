@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adtide.llm.components import components
-from adtide.llm.staging import settle, ship
+from adtide.llm.staging import BROADCAST_KEYS, leave_out, settle, ship
 
 WORDS = 4
 #: Links have 100 * shared >= PERCENT * union.
@@ -25,8 +25,6 @@ HOT = 50
 LEADERS = 2
 #: Estimate from the union sketch below which a pair is not verified (0.8 is 5 standard deviations above).
 LEAST_ESTIMATE = 0.4
-#: Keys (8 bytes each) that may be sent to all tasks; more are joined by shuffle.
-BROADCAST_KEYS = 500_000
 #: Documents of one side of a block in the exact comparison of hot lists.
 BLOCK = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # any odd 64-bit numbers do
@@ -236,5 +234,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``docs`` with one document of each component; rows with a null key stay, of rows with equal keys all."""
-    kept = near_duplicates(docs, key, text, words).filter("not kept").select(key).distinct()
-    return docs.join(kept.filter(F.col(key).isNotNull()), key, "left_anti")
+    return leave_out(docs, near_duplicates(docs, key, text, words).filter("not kept"), key)

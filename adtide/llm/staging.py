@@ -8,8 +8,12 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SETTING = "spark.checkpoint.dir"
+#: Whole-number keys (8 bytes each) that may be sent to all tasks; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +40,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def leave_out(docs: DataFrame, named: DataFrame, key: str, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``named``; rows with a null key stay.
+
+    Up to ``most`` whole-number keys are sent to all tasks, so that documents
+    go through no shuffle.  More keys, or keys of another type, are joined by shuffle.
+    """
+    named = settle(named.select(key).filter(F.col(key).isNotNull()).distinct(), "left-out")
+    if isinstance(named.schema[key].dataType, T.IntegralType) and named.count() <= most:
+        named = F.broadcast(named)
+    return docs.join(named, key, "left_anti")
+
+
 _shipped: set[str] = set()
 
 

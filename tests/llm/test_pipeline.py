@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from adtide.llm.staging import settle
+from adtide.llm.staging import leave_out, settle
 from test_near_dup import plain
 
 
@@ -33,5 +33,15 @@ def test_stages(spark, sf_dir):
     assert clean and all(seen["secrets"][i].text == rows[i].text for i in clean)
 
 
+def test_leave_out(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (3, None)], "doc_id long, text string")
+    named = spark.createDataFrame([(2,), (2,), (None,), (9,)], "doc_id long")
+    for most in (10, 1):  # sent to all tasks, and by shuffle
+        kept = leave_out(docs, named, "doc_id", most)
+        assert sorted(map(str, kept.toPandas()["text"])) == ["None", "a", "d"] and kept.columns == docs.columns
+    text = docs.select("text", "doc_id")
+    assert leave_out(text, text.filter("doc_id = 2"), "text").count() == 3
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
