@@ -74,14 +74,21 @@ def sketches(docs: DataFrame, key: str, text: str, words: int = WORDS, size: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Words()
-        for batch in batches:
-            sets = [shingle_hashes(t, seen, words) for t in batch.column(1).to_pylist()]
-            marks = [(_mix(s.view(np.uint64)), _mix(s.view(np.uint64) ^ _ODD)) for s in sets]
-            sums = [np.array([m[i].sum(dtype=np.uint64) for m in marks], np.uint64).view(np.int64) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0]), pa.array(sums[1]), _arrays([s[:size] for s in sets])],
-                names=["doc", "n", "f1", "f2", "sketch"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sizes, f1, f2, low = [], [], [], []
+                for t in batch.column(1).to_pylist():
+                    own = shingle_hashes(t, seen, words)
+                    bits = own.view(np.uint64)
+                    sizes.append(len(own))
+                    f1.append(_mix(bits).sum(dtype=np.uint64))
+                    f2.append(_mix(bits ^ _ODD).sum(dtype=np.uint64))
+                    low.append(own[:size].copy())  # not a view, which would keep the whole set
+                sums = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f1, f2)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes, pa.int64()), *sums, _arrays(low)], names=["doc", "n", "f1", "f2", "sketch"]
+                )
 
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("txt")).mapInArrow(run, "doc long, n long, f1 long, f2 long, sketch array<long>")
 
