@@ -59,13 +59,14 @@ class Model:
         for n, c in enumerate(own):
             codes[ord(c)] = n + 1
         self.codes = codes
-        tables, self.starts, at = [], [], 0
-        for lang in self.langs:
-            table = _automaton(self.encode(texts[lang].lower()), at)
+        coded = [self.encode(texts[lang].lower()) for lang in self.langs]
+        # an automaton has at most twice as many states as symbols; pages that stay empty take no memory
+        table = np.empty((sum(2 * len(c) + 1 for c in coded), SYMBOLS), np.int32)
+        self.starts, at = [], 0
+        for codes in coded:
             self.starts.append(at)
-            at += len(table)
-            tables.append(table)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            at += _automaton(codes, at, table)
+        self.table = table[:at].ravel()
 
     def encode(self, text: str) -> np.ndarray:
         """Symbols of a text, runs of non-letters as one."""
@@ -88,7 +89,7 @@ class Model:
         counts = np.zeros((len(self.langs), texts), np.int64)
         length = np.array([p[0] for p in pieces])
         owner = np.array([p[1] for p in pieces])
-        grid = np.zeros((length[0], len(pieces)), np.int32)
+        grid = np.zeros((length[0], len(pieces)), np.uint8)
         for n, (size, _, codes) in enumerate(pieces):
             grid[:size, n] = codes
         live = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
@@ -117,8 +118,9 @@ class Model:
         return pd.DataFrame({"lang_pred": names, "score": score})
 
 
-def _automaton(codes: np.ndarray, offset: int) -> np.ndarray:
-    """The suffix automaton of ``codes`` as rows of a step table (state * 4 + phrases ended), states from ``offset``."""
+def _automaton(codes: np.ndarray, offset: int, tables: np.ndarray) -> int:
+    """Write the suffix automaton of ``codes`` to the rows of ``tables`` from ``offset`` on, as steps
+    (state * 4 + phrases ended); returns its number of states."""
     nexts: list[dict[int, int]] = [{}]
     link, size, last = [-1], [0], 0
     for c in codes.tolist():
@@ -144,7 +146,7 @@ def _automaton(codes: np.ndarray, offset: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.zeros((len(nexts), SYMBOLS), np.int32)
+    table = tables[offset : offset + len(nexts)]
     known = [*nexts[0].items()]
     table[:] = offset * 4 + 2  # a symbol the sample lacks ends the open phrase and is one itself
     table[0] = offset * 4 + 1
@@ -153,7 +155,7 @@ def _automaton(codes: np.ndarray, offset: int) -> np.ndarray:
     for s, steps in enumerate(nexts):
         for c, q in steps.items():
             table[s, c] = (q + offset) * 4
-    return table
+    return len(nexts)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, str]:
