@@ -80,3 +80,23 @@ def test_components_of_a_long_chain(spark, order):
     got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     low = min(0, order * 300)
     assert got == {**{order * n: low for n in range(301)}, 5000: 5000, 5001: 5000}
+
+
+def test_components_of_chains_of_shuffled_ids(spark):
+    rng = random.Random(11)
+    chains = [list(range(1_000, 1_200)), rng.sample(range(10_000, 90_000), 2_000), [200_000 + n + (n % 2) * 100_000 for n in range(64)]]
+    chains[0].insert(100, 999)  # the smallest stands inside; the next smallest at an end
+    links = [pair for chain in chains for pair in zip(chain, chain[1:])]
+    links += [(500_000 + n, 600_000 + n // 7) for n in range(70)] + [(600_000 + n, 600_001 + n) for n in range(0, 9, 2)]
+    rng.shuffle(links)
+    want = {}
+    for a, b in links:
+        want.setdefault(a, {a}), want.setdefault(b, {b})
+    for a, b in links:
+        if want[a] is not want[b]:
+            small, big = sorted((want[a], want[b]), key=len)
+            big |= small
+            for n in small:
+                want[n] = big
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(want) and {r.node: r.comp for r in got} == {n: min(group) for n, group in want.items()}
