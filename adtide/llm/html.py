@@ -131,10 +131,7 @@ def _host(url: str) -> Column:
 
 
 def _tokens(pages: DataFrame, url: str, page: str) -> DataFrame:
-    """``(host, token, path, times, page, chars)``: the tokens of each page, those of equal main text under one page hash.
-
-    A token is a container path, or a block's text at its path (as a hash).
-    """
+    """``(host, token, path, times, page)``: the unmarked texts of each page as hashes with their paths; pages of equal main text under one page hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,19 +140,14 @@ def _tokens(pages: DataFrame, url: str, page: str) -> DataFrame:
                 found = list(blocks(body or ""))
                 # pages of one host with the same unmarked and main text are copies: they say the same once
                 mark = zlib.crc32("\n".join(t for p, t in found if "-" not in _marks(p)).encode("utf-8", "surrogatepass"))
-                times = Counter()
-                chars: Counter = Counter()
-                for path, text in found:
-                    times["", path] += 1
-                    chars["", path] += len(text)
-                    if not _marks(path):
-                        times[_text_token(text), path] += 1
-                out += [(host, token, path, n, mark, chars[token, path]) for (token, path), n in times.items()]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "token", "path", "times", "page", "chars"])
+                times = Counter((_text_token(text), path) for path, text in found if not _marks(path))
+                times["", ""] = 1  # the page itself
+                out += [(host, token, path, n, mark) for (token, path), n in times.items()]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "token", "path", "times", "page"])
 
-    return pages.select(_host(url).alias("host"), F.col(page).alias("html")).mapInArrow(run, "host string, token string, path string, times long, page long, chars long")
+    return pages.select(_host(url).alias("host"), F.col(page).alias("html")).mapInArrow(run, "host string, token string, path string, times long, page long")
 
 
 def _text_token(text: str) -> str:
@@ -168,45 +160,40 @@ def _marks(path: str) -> str:
 
 
 def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``(host, fixed, slot)``: each host's template texts ``path|token``, and the slot that holds its main text.
+    """``(host, fixed)``: each host's template texts ``path|token``.
 
     A token's occurrence vector says how often it stands on each page of the
     host.  Tokens with equal vectors form an equivalence class; vectors are
     compared by a sum of page hashes times counts, so a class is a group of an
     aggregate and no vector is ever built.  A class of unmarked texts is valid,
     and part of the template, if it stands exactly once on each of its pages and
-    on enough different pages; ordered nesting is given by the paths.  What
-    stays are slots, the paths; of those that are not outside by name, the one
-    with most text that is not of the template is the main one.
+    on enough different pages; ordered nesting is given by the paths.  What the
+    template does not hold are its slots.
 
     Every page of every host is counted.  Pages with one main text (copies)
     count once.
     """
-    tokens = _tokens(pages, url, page).groupBy("host", "token", "path", "page").agg(F.max("times").alias("times"), F.max("chars").alias("chars"))
+    tokens = _tokens(pages, url, page).groupBy("host", "token", "path", "page").agg(F.max("times").alias("times"))
     vector = F.sum(F.xxhash64("page").bitwiseAND(F.lit((1 << 40) - 1)) * F.col("times"))
-    seen = tokens.groupBy("host", "token", "path").agg(F.count(F.lit(1)).alias("pages"), F.max("times").alias("most"), vector.alias("vector"), F.sum("chars").alias("chars"))
+    seen = tokens.groupBy("host", "token", "path").agg(F.count(F.lit(1)).alias("pages"), F.max("times").alias("most"), vector.alias("vector"))
     seen = settle(seen.filter((F.col("token") == "") | (F.col("pages") >= TEMPLATE_PAGES)), "tokens")
-    number = tokens.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    texts = seen.filter("token <> ''").join(settle(number, "hosts"), "host").filter((F.col("most") == 1) & (F.col("pages") >= TEMPLATE_SHARE * F.col("all")))
+    number = seen.filter("token = ''").select("host", F.col("pages").alias("all"))
+    texts = seen.filter("token <> ''").join(number, "host").filter((F.col("most") == 1) & (F.col("pages") >= TEMPLATE_SHARE * F.col("all")))
     classes = texts.groupBy("host", "vector").agg(F.collect_set(F.concat_ws("|", "path", "token")).alias("class"))
-    fixed = classes.groupBy("host").agg(F.flatten(F.collect_list("class")).alias("fixed"))
-    free = ~F.col("path").rlike("(^|>)-")
-    slot = seen.filter((F.col("token") == "") & free).groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("slot"))
-    return slot.join(fixed, "host", "full")
+    return classes.groupBy("host").agg(F.flatten(F.collect_list("class")).alias("fixed"))
 
 
-def main_text(page: str, fixed: frozenset[str] | set[str], slot: str | None) -> str:
+def main_text(page: str, fixed: frozenset[str] | set[str], deduced: bool | None) -> str:
     """Blocks of the page's main slots, joined by line breaks.
 
-    Main are the parts marked so by element or name; on a page without any, the
-    host's main slot and what is nested in it; without that either, every slot
-    that is not outside.  Template texts are left out.
+    With a template ``deduced``, main is every slot it leaves that is not outside
+    by name: all containers with text of their own, on pages of other layouts of
+    the host too.  Without one, names decide: the parts marked as main, or else
+    all that is not outside.
     """
     found = [(p, t) for p, t in blocks(page) if "-" not in _marks(p)]
-    found = [(p, t) for p, t in found if _marks(p) or not fixed or f"{p}|{_text_token(t)}" not in fixed]
-    main = [t for p, t in found if "+" in _marks(p)]
-    if not main and slot is not None:
-        main = [t for p, t in found if p == slot or p.startswith(slot + ">")]
+    found = [(p, t) for p, t in found if not fixed or f"{p}|{_text_token(t)}" not in fixed]
+    main = [] if deduced else [t for p, t in found if "+" in _marks(p)]
     return "\n".join(main or [t for _, t in found])
 
 
@@ -223,14 +210,14 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     table = settle(templates(pages, url, page), "templates")
     rows = pages.select(*kept, _host(url).alias("host_")).join(table.withColumnRenamed("host", "host_"), "host_", "left")
-    rows = rows.select(*kept, F.col(page).alias("html_"), "fixed", "slot")
+    rows = rows.select(*kept, F.col(page).alias("html_"), "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body, fixed, slot = (batch.column(batch.num_columns - n).to_pylist() for n in (3, 2, 1))
-            texts = [main_text(b, set(f or ()), s) if b else "" for b, f, s in zip(body, fixed, slot, strict=True)]
+            body, fixed = (batch.column(batch.num_columns - n).to_pylist() for n in (2, 1))
+            texts = [main_text(b, set(f or ()), bool(f)) if b else "" for b, f in zip(body, fixed, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-3], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64(), size=len(texts))], names=[*batch.schema.names[:-3], "text", "n_chars"]
+                [*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64(), size=len(texts))], names=[*batch.schema.names[:-2], "text", "n_chars"]
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema.fields)

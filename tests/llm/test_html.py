@@ -45,3 +45,12 @@ def test_template_of_a_host(spark):
     assert [t for _, t in got[:30]] == [f"Story number {n} tells {'more ' * n}".strip() for n in range(30)]
     assert got[30:] == [(100, ""), (101, "x"), (102, "single"), (102, "single")]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_every_slot_is_read(spark):
+    body = "<body><div class=top>The same long words stand on every page of this site, again and again</div>{}<h1>Title {}</h1><div class=intro>Intro {}</div><div class=text>Text {}</div></body>"
+    rows = [(n, f"http://h.example/{n}", body.format("", n, n, n)) for n in range(12)] + [(20, "http://h.example/b", "<table><tr><td>Other layout</td></tr></table><div class=text>Its text</div>")]
+    rows += [(30, "http://one.example", "<body><h1>Title</h1><div class=intro>Intro</div><div class=text>Text longer than both</div></body>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[n] for n in range(12)] == [f"Title {n}\nIntro {n}\nText {n}" for n in range(12)]
+    assert got[20] == "Other layout\nIts text" and got[30] == "Title\nIntro\nText longer than both"
