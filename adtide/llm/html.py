@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,13 +31,15 @@ OUTSIDE_WORDS = re.compile(
 )
 MAIN = frozenset(("article", "main"))
 MAIN_WORDS = re.compile(r"(^|[^a-z])(article|post|entry|story|main|content)([^a-z]|$)")
-#: A text that stands on at least this share of a host's pages, of at least this many different ones, belongs to the template.
+#: A class of the template stands on at least this share of a host's different pages, on at least so many, and has at least so many words.
 TEMPLATE_SHARE = 0.5
 TEMPLATE_PAGES = 10
+CLASS_WORDS = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"[\u3040-\u9fff\uac00-\ud7af]|[^\W\u3040-\u9fff\uac00-\ud7af]+")
 _WITH = re.compile(r"\b(has|with|without|no|is)-[\w-]+")
 _NO_ARTICLE = re.compile(r"(^|[^a-z])(ad|ads|advert\w*|sponsor\w*|promo\w*|comment\w*|reply|related|teaser)([^a-z]|$)")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
@@ -130,24 +132,39 @@ def _host(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _tokens(pages: DataFrame, url: str, page: str) -> DataFrame:
-    """``(host, token, path, times, page)``: the unmarked texts of each page as hashes with their paths; pages of equal main text under one page hash."""
+    """``(host, page, tokens, seq)``: a row per different page with text: its tokens (a block's path and text, from
+    all parts of the page) with their words and counts, and their order as places in ``tokens``."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("token", pa.string()), ("words", pa.int32()), ("times", pa.int64())])), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for host, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = list(blocks(body or ""))
+                if not found:
+                    continue
+                place: dict[str, int] = {}
+                tokens, seq = [], []
+                for path, text in found:
+                    token = f"{path}|{_text_token(text)}"
+                    if (n := place.setdefault(token, len(tokens))) == len(tokens):
+                        tokens.append({"token": token, "words": len(_WORD.findall(text)), "times": 0})
+                    tokens[n]["times"] += 1
+                    seq.append(n)
                 # pages of one host with the same unmarked and main text are copies: they say the same once
-                mark = zlib.crc32("\n".join(t for p, t in found if "-" not in _marks(p)).encode("utf-8", "surrogatepass"))
-                times = Counter((_text_token(text), path) for path, text in found if not _marks(path))
-                times["", ""] = 1  # the page itself
-                out += [(host, token, path, n, mark) for (token, path), n in times.items()]
+                out.append((host, _hash("\n".join(t for p, t in found if "-" not in _marks(p))), _hash("\n".join(tokens[n]["token"] for n in seq)), tokens, seq))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "token", "path", "times", "page"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "copy", "tokens", "seq"])
 
-    return pages.select(_host(url).alias("host"), F.col(page).alias("html")).mapInArrow(run, "host string, token string, path string, times long, page long")
+    found = pages.select(_host(url).alias("host"), F.col(page).alias("html")).mapInArrow(
+        run, "host string, page long, copy long, tokens array<struct<token:string,words:int,times:long>>, seq array<int>"
+    )
+    return found.groupBy("host", "page").agg(F.min_by(F.struct("tokens", "seq"), "copy").alias("one")).select("host", "page", "one.*")
 
 
 def _text_token(text: str) -> str:
@@ -159,28 +176,66 @@ def _marks(path: str) -> str:
     return "".join(s[0] for s in path.split(">") if s[:1] in ("+", "-"))
 
 
+def _places(pages: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(host, a, b, low, high)``: for classes of a host that meet on a page, in which gap of class ``a`` the first
+    and the last token of ``b`` stand there; for ``a`` = ``b``, a hash of the class's tokens in order."""
+    known = classes.groupBy("host").agg(F.collect_list(F.struct("token", "vector")).alias("known"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: set[tuple] = set()
+            for host, tokens, seq, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                vector = {k["token"]: k["vector"] for k in known}
+                order = [(vector[t], t) for t in (tokens[n]["token"] for n in seq) if t in vector]
+                at: dict[int, list[int]] = {}
+                for n, (v, _) in enumerate(order):
+                    at.setdefault(v, []).append(n)
+                for a, own in at.items():
+                    mark = _hash("\n".join(order[n][1] for n in own))
+                    out.add((host, a, a, mark, mark))
+                    out |= {(host, a, b, sum(n < other[0] for n in own), sum(n < other[-1] for n in own)) for b, other in at.items() if a != b}
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            types = [pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "a", "b", "low", "high"])
+
+    return pages.join(known, "host").select("host", "tokens", "seq", "known").mapInArrow(run, "host string, a long, b long, low long, high long")
+
+
 def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """``(host, fixed)``: each host's template texts ``path|token``.
 
     A token's occurrence vector says how often it stands on each page of the
     host.  Tokens with equal vectors form an equivalence class; vectors are
     compared by a sum of page hashes times counts, so a class is a group of an
-    aggregate and no vector is ever built.  A class of unmarked texts is valid,
-    and part of the template, if it stands exactly once on each of its pages and
-    on enough different pages; ordered nesting is given by the paths.  What the
-    template does not hold are its slots.
-
+    aggregate and no vector is ever built.  A class is valid if it has enough
+    words, stands on enough different pages, has its tokens in one order on all
+    of them, and is nested: where two classes meet, one stands in the same gap of
+    the other each time; else the rarer, then smaller one is left out.  Valid
+    classes make up the template; what it does not hold are its slots.
+
+    Names only break ties: a class on two pages may be a quoted passage as well
+    as a template, so there its texts inside of a main part are not taken.
     Every page of every host is counted.  Pages with one main text (copies)
     count once.
     """
-    tokens = _tokens(pages, url, page).groupBy("host", "token", "path", "page").agg(F.max("times").alias("times"))
+    rows = settle(_tokens(pages, url, page), "pages")
+    number = rows.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    each = rows.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
     vector = F.sum(F.xxhash64("page").bitwiseAND(F.lit((1 << 40) - 1)) * F.col("times"))
-    seen = tokens.groupBy("host", "token", "path").agg(F.count(F.lit(1)).alias("pages"), F.max("times").alias("most"), vector.alias("vector"))
-    seen = settle(seen.filter((F.col("token") == "") | (F.col("pages") >= TEMPLATE_PAGES)), "tokens")
-    number = seen.filter("token = ''").select("host", F.col("pages").alias("all"))
-    texts = seen.filter("token <> ''").join(number, "host").filter((F.col("most") == 1) & (F.col("pages") >= TEMPLATE_SHARE * F.col("all")))
-    classes = texts.groupBy("host", "vector").agg(F.collect_set(F.concat_ws("|", "path", "token")).alias("class"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("class")).alias("fixed"))
+    seen = each.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.max("words").alias("words"), vector.alias("vector")).filter(F.col("pages") >= TEMPLATE_PAGES)
+    often = settle(seen.join(number, "host").filter(F.col("pages") >= TEMPLATE_SHARE * F.col("all")).drop("all"), "tokens")
+    sizes = often.groupBy("host", "vector").agg(F.max("pages").alias("support"), F.sum("words").alias("size")).filter(F.col("size") >= CLASS_WORDS)
+    classes = settle(often.join(sizes, ["host", "vector"]), "classes")
+    places = _places(rows, classes).groupBy("host", "a", "b").agg(*[f(c).alias(f"{n}_{c}") for c in ("low", "high") for n, f in (("min", F.min), ("max", F.max))])
+    places = settle(places.withColumn("steady", F.expr("min_low = max_low and min_high = max_high and min_low = min_high")), "places")
+    ordered = settle(places.filter("a = b and steady").select("host", F.col("a").alias("vector")).join(sizes, ["host", "vector"]), "ordered")
+    one, two = (ordered.select("host", F.col("vector").alias(c), F.struct("support", "size", "vector").alias("rank_" + c)) for c in "ab")
+    pairs = places.filter("a <> b").select("host", "a", "b", "steady").join(one, ["host", "a"]).join(two, ["host", "b"])
+    pairs = pairs.select("host", F.least("rank_a", "rank_b").alias("less"), F.greatest("rank_a", "rank_b").alias("more"), "steady")
+    crossed = pairs.groupBy("host", "less", "more").agg(F.max("steady").alias("nested")).filter(~F.col("nested")).select("host", F.col("less.vector").alias("vector")).distinct()
+    valid = ordered.select("host", "vector").join(crossed, ["host", "vector"], "left_anti")
+    sure = (F.col("pages") > 2) | ~F.col("token").rlike(r"(^|>)\+")
+    return classes.join(valid, ["host", "vector"]).filter(sure).groupBy("host").agg(F.collect_set("token").alias("fixed"))
 
 
 def main_text(page: str, fixed: frozenset[str] | set[str], deduced: bool | None) -> str:

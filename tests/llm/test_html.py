@@ -54,3 +54,18 @@ def test_every_slot_is_read(spark):
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[n] for n in range(12)] == [f"Title {n}\nIntro {n}\nText {n}" for n in range(12)]
     assert got[20] == "Other layout\nIts text" and got[30] == "Title\nIntro\nText longer than both"
+
+
+def test_classes_are_valid_by_size_order_and_nesting(spark):
+    fixed = "<div class=a>First line of the site</div><div class=b>Second line of it</div>"
+    rows = []
+    for n in range(12):
+        turned = ["<p>Alpha beta gamma delta</p>", "<p>Epsilon zeta eta theta</p>"][:: 1 if n % 2 else -1]
+        rows.append((n, f"http://h.example/{n}", f"{fixed}<main><p>Buy our very good soap</p><p>Story {n}</p>{''.join(turned)}<p>Yes</p></main>" if n else f"{fixed}<main><p>Buy our very good soap</p><p>Story 0</p></main>"))
+    for n in range(12):  # a class that stands now before, now around the other one
+        two = "<p>In the middle stands this</p>"
+        rows.append((50 + n, f"http://g.example/{n}", f"{fixed}<div>{two * (n < 6)}<p>Text {n}</p></div><div class=c>Third line of the site</div>{two * (5 < n < 9)}"))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # the advert inside <main> goes; texts in changing order and a class of one word stay
+    assert got[1] == "Story 1\nAlpha beta gamma delta\nEpsilon zeta eta theta\nYes" and got[2] == "Story 2\nEpsilon zeta eta theta\nAlpha beta gamma delta\nYes" and got[0] == "Story 0"
+    assert got[51] == "Text 1" and got[57].startswith("Text 7") and got[60] == "Text 10"
