@@ -33,7 +33,7 @@ MAIN = frozenset(("article", "main"))
 MAIN_WORDS = re.compile(r"(^|[^a-z])(article|post|entry|story|main|content)([^a-z]|$)")
 #: A class of the template stands on at least this share of a host's different pages, on at least so many, and has at least so many words.
 TEMPLATE_SHARE = 0.5
-TEMPLATE_PAGES = 10
+TEMPLATE_PAGES = 2
 CLASS_WORDS = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)", re.S)
@@ -137,9 +137,10 @@ def _hash(text: str) -> int:
 
 
 def _tokens(pages: DataFrame, url: str, page: str) -> DataFrame:
-    """``(host, page, tokens, seq)``: a row per different page with text: its tokens (a block's path and text, from
-    all parts of the page) with their words and counts, and their order as places in ``tokens``."""
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("token", pa.string()), ("words", pa.int32()), ("times", pa.int64())])), pa.list_(pa.int32())]
+    """``(host, page, layout, tokens, seq)``: a row per different page with text: its tokens (a block's path and text,
+    from all parts of the page) with their words and counts, and their order as places in ``tokens``; ``layout`` is a
+    hash of its container paths."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("token", pa.string()), ("words", pa.int32()), ("times", pa.int64())])), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,14 +158,14 @@ def _tokens(pages: DataFrame, url: str, page: str) -> DataFrame:
                     tokens[n]["times"] += 1
                     seq.append(n)
                 # pages of one host with the same unmarked and main text are copies: they say the same once
-                out.append((host, _hash("\n".join(t for p, t in found if "-" not in _marks(p))), _hash("\n".join(tokens[n]["token"] for n in seq)), tokens, seq))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "copy", "tokens", "seq"])
+                out.append((host, _hash("\n".join(t for p, t in found if "-" not in _marks(p))), _hash("\n".join(tokens[n]["token"] for n in seq)), _hash("\n".join(sorted({p for p, _ in found}))), tokens, seq))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "copy", "layout", "tokens", "seq"])
 
     found = pages.select(_host(url).alias("host"), F.col(page).alias("html")).mapInArrow(
-        run, "host string, page long, copy long, tokens array<struct<token:string,words:int,times:long>>, seq array<int>"
+        run, "host string, page long, copy long, layout long, tokens array<struct<token:string,words:int,times:long>>, seq array<int>"
     )
-    return found.groupBy("host", "page").agg(F.min_by(F.struct("tokens", "seq"), "copy").alias("one")).select("host", "page", "one.*")
+    return found.groupBy("host", "page").agg(F.min_by(F.struct("layout", "tokens", "seq"), "copy").alias("one")).select("host", "page", "one.*")
 
 
 def _text_token(text: str) -> str:
@@ -204,7 +205,8 @@ def _places(pages: DataFrame, classes: DataFrame) -> DataFrame:
 def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """``(host, fixed)``: each host's template texts ``path|token``.
 
-    A token's occurrence vector says how often it stands on each page of the
+    Hosts of one different page are taken together with those of the same
+    layout (set of container paths), and "host" means this group below.  A token's occurrence vector says how often it stands on each page of the
     host.  Tokens with equal vectors form an equivalence class; vectors are
     compared by a sum of page hashes times counts, so a class is a group of an
     aggregate and no vector is ever built.  A class is valid if it has enough
@@ -219,6 +221,12 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
     count once.
     """
     rows = settle(_tokens(pages, url, page), "pages")
+    groups = rows.groupBy("host").agg(F.count(F.lit(1)).alias("all"), F.min("layout").alias("layout"))
+    alone = F.concat(F.lit("layout "), F.col("layout").cast("string"))
+    groups = settle(groups.select("host", (F.col("all") == 1).alias("alone"), F.when(F.col("all") > 1, F.concat(F.lit("host "), F.col("host"))).otherwise(alone).alias("group")), "groups")
+    rows = rows.join(groups, "host").select(F.col("group").alias("host"), "alone", "page", "tokens", "seq")
+    mirrors = rows.filter("alone").groupBy("host", "page").agg(F.min(F.struct("tokens", "seq")).alias("one")).select("host", "page", "one.*")
+    rows = settle(rows.filter("not alone").select("host", "page", "tokens", "seq").unionByName(mirrors), "grouped-pages")
     number = rows.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     each = rows.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
     vector = F.sum(F.xxhash64("page").bitwiseAND(F.lit((1 << 40) - 1)) * F.col("times"))
@@ -235,7 +243,8 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
     crossed = pairs.groupBy("host", "less", "more").agg(F.max("steady").alias("nested")).filter(~F.col("nested")).select("host", F.col("less.vector").alias("vector")).distinct()
     valid = ordered.select("host", "vector").join(crossed, ["host", "vector"], "left_anti")
     sure = (F.col("pages") > 2) | ~F.col("token").rlike(r"(^|>)\+")
-    return classes.join(valid, ["host", "vector"]).filter(sure).groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    fixed = classes.join(valid, ["host", "vector"]).filter(sure).groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    return groups.join(settle(fixed, "fixed").withColumnRenamed("host", "group"), "group").select("host", "fixed")
 
 
 def main_text(page: str, fixed: frozenset[str] | set[str], deduced: bool | None) -> str:

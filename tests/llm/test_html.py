@@ -69,3 +69,14 @@ def test_classes_are_valid_by_size_order_and_nesting(spark):
     # the advert inside <main> goes; texts in changing order and a class of one word stay
     assert got[1] == "Story 1\nAlpha beta gamma delta\nEpsilon zeta eta theta\nYes" and got[2] == "Story 2\nEpsilon zeta eta theta\nAlpha beta gamma delta\nYes" and got[0] == "Story 0"
     assert got[51] == "Text 1" and got[57].startswith("Text 7") and got[60] == "Text 10"
+
+
+def test_templates_of_few_pages_and_of_layouts(spark):
+    body = "<div class=text><div>Read our house rules before you write</div><p>Own words {0} of page {0}</p></div>"
+    rows = [(n, "http://two.example/", body.format(n)) for n in range(2)] + [(10 + n, f"http://single{n}.example/", body.format(10 + n)) for n in range(3)]
+    rows += [(20 + n, "http://quote.example/", f"<article><p>Quoted by both of these pages</p><p>Page {n}</p></article>") for n in range(2)]
+    rows += [(30, "http://alone.example/", "<section><p>Read our house rules before you write</p></section>"), (31, "http://alone.example/", "<section><p>Read our house rules before you write</p></section>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[n] for n in (0, 1, 10, 11, 12)] == [f"Own words {n} of page {n}" for n in (0, 1, 10, 11, 12)]
+    assert got[20] == "Quoted by both of these pages\nPage 0"  # two pages tell no quote from a template: the name does
+    assert got[30] == got[31] == "Read our house rules before you write"
