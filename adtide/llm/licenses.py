@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -80,6 +81,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
 _LINE = re.compile(r"\n")
+#: Where a run of pieces can begin and end: at sentences, also over line breaks, and at lines.
+_PIECE = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _BLANK = re.compile(r"\n[ \t]*(?:\n[ \t]*)+")
 
 
@@ -166,12 +169,67 @@ class Matcher:
         if not self._possible(text):
             return []
         hits = [(a, b, name, d) for a, b in segments(text) if (m := self.best(text[a:b])) for d, name in [m]]
-        hits.sort(key=lambda h: (-h[3], h[0] - h[1], h[0]))
-        out: list[tuple[int, int, str, float]] = []
+        hits += self.runs(text)
+        hits.sort(key=lambda h: (-h[3], h[0] - h[1], h[0], h[2]))
+        out: list[tuple[int, int, str, float]] = []  # disjoint, in order
         for h in hits:
-            if all(h[1] <= o[0] or o[1] <= h[0] for o in out):
-                out.append(h)
-        return sorted(out)
+            at = bisect_left(out, h[:2])
+            if (not at or out[at - 1][1] <= h[0]) and (at == len(out) or h[1] <= out[at][0]):
+                out.insert(at, h)
+        return out
+
+    def runs(self, text: str) -> list[tuple[int, int, str, float]]:
+        """Matching runs of consecutive pieces (lines, sentences), over line breaks and blank lines.
+
+        Only templates of which the text holds enough bigrams are tried.  A run
+        begins and ends in a piece with a bigram of the template, as any other
+        one is better without that piece.  It is grown piece by piece, its shared
+        bigrams counted on, until it has more bigrams than the template allows.
+        """
+        found = list(_WORD.finditer(text))
+        words = [m[0].lower().replace("licence", "license") for m in found]
+        if len(words) < 2:
+            return []
+        grams = list(zip(words, words[1:], strict=False))
+        shared: Counter = Counter()
+        for g, c in Counter(grams).items():
+            for n, own in self.by_gram.get(g, ()):
+                shared[n] += min(c, own)
+        tried = [n for n, s in shared.items() if s * (2 - self.dice) >= self.dice * self.templates[n][2] - 1e-9]
+        if not tried:
+            return []
+        # pieces as (first word, past the last word, start, end); those without a word are part of no match
+        pieces, at, k = [], 0, 0
+        for end, after in [*((m.start(), m.end()) for m in _PIECE.finditer(text)), (len(text), len(text))]:
+            first = k
+            while k < len(found) and found[k].start() < end:
+                k += 1
+            if k > first:
+                at += len(text[at:end]) - len(text[at:end].lstrip())
+                pieces.append((first, k, at, at + len(text[at:end].rstrip())))
+            at = after
+        hits = []
+        for n in tried:
+            name, own, size = self.templates[n]
+            most = size * (2 - self.dice) / self.dice + 1e-9
+            part = [any(grams[g] in own for g in range(max(a - 1, 0), min(b, len(grams)))) for a, b, *_ in pieces]
+            for i, (begin, *_, start, _) in enumerate(pieces):
+                if not part[i]:
+                    continue
+                seen: Counter = Counter()
+                common, g = 0, begin
+                for j in range(i, len(pieces)):
+                    _, past, _, end = pieces[j]
+                    if past - 1 - begin > most:
+                        break
+                    while g < past - 1:
+                        if (c := own.get(grams[g], 0)) and seen[grams[g]] < c:
+                            seen[grams[g]] += 1
+                            common += 1
+                        g += 1
+                    if part[j] and (d := 2 * common / (past - 1 - begin + size)) >= self.dice:
+                        hits.append((start, end, name, d))
+        return hits
 
     def _possible(self, text: str) -> bool:
         """Whether some word that a match cannot do without stands in the text."""
@@ -182,7 +240,8 @@ class Matcher:
 def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, dice: float = DICE) -> DataFrame:
     """``(doc_id, start, end, license, dice)``: one row per licence text or notice in a document.
 
-    A text is compared as a whole and by paragraph, line and sentence, with
+    A text is compared as a whole, by paragraph, line and sentence, and by runs
+    of consecutive lines and sentences (over line breaks and blank lines), with
     words normalised.  A segment whose number of bigrams lies outside of what
     any template allows at this coefficient is never scored, and only templates
     that share a bigram with it are.  Places count code points, end exclusive.

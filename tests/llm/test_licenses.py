@@ -36,3 +36,17 @@ def test_edges(documents):
     assert got == sorted((n, *h) for n in [*range(len(texts)), 6] for h in plain(texts[n]))
     assert {(n, name) for n, *_, name, _ in got} >= {(3, "MIT"), (4, "MIT"), (5, "MIT"), (6, "MIT"), (7, "CC-BY-4.0"), (7, "all-rights-reserved")}
     assert licenses.find_licenses(documents([])).count() == 0
+
+
+def test_runs_of_paragraphs_and_wrapped_sentences():
+    mit = licenses.TEMPLATES[4][1]
+    a, b = mit.index("The above copyright"), mit.index("THE SOFTWARE IS")
+    three = "\n\n".join("\n".join(part[i : i + 72] for i in range(0, len(part), 72)) for part in (mit[:a].strip(), mit[a:b].strip(), mit[b:]))
+    matcher = licenses.Matcher()
+    before, after = "A tool to sort files.\n\nCopyright (c) 2020 Some One\n\n", "\n\nimport os\nprint(os.name)\n"
+    ((start, end, name, dice),) = matcher.scan(before + three + after)
+    assert (name, start, end) == ("MIT", len(before), len(before) + len(three)) and dice > 0.9
+    notice = "This work is licensed under the GNU\nGeneral Public License, version 3."
+    text = f"We wrote this over years. {notice} Please read\non from here to the end of it."
+    assert [h[:3] for h in matcher.scan(text)] == [(26, 26 + len(notice), "GPL-3.0")]
+    assert [h[2] for h in matcher.scan(f"{three}\n\n{'Other words stand here. ' * 300}\n\n{three}")] == ["MIT", "MIT"]
