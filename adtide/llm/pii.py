@@ -24,7 +24,6 @@ FORMS = {
     "card": r"d between 13 and 19 and m rlike '^[0-9][0-9 ./-]+[0-9]$'",
     "phone": r"d between 7 and 15 and m rlike '^[(+]?[0-9][0-9 ().-]+$' and m rlike '[ ().-]'",
 }
-ROUNDS = 2
 #: A pattern is trusted with at least this many different known instances, making up at least this share of all its instances.
 MIN_KNOWN = 3
 MIN_CONFIDENCE = 0.6
@@ -80,7 +79,7 @@ def _occurrences(docs: DataFrame, text: str) -> DataFrame:
     return rows.select("doc", "kind", "a", "b", "m", d, F.array_compact(F.array(*valid)).alias("patterns"))
 
 
-def discover(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def discover(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc, kind, a, b, m)``: identifiers that contexts of known ones give away; ``doc`` is ``xxhash64(text)``.
 
     The fixed patterns' matches are the seeds.  The words around an identifier
@@ -89,14 +88,14 @@ def discover(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataF
     instances among all its different instances, trusts those with enough of
     both, and accepts a candidate of the kind's form whose trusted patterns
     together (noisy or) reach ``MIN_SCORE``; accepted ones are known in the next
-    round.  Scores are aggregates over the pattern-instance links of the whole
+    round.  Rounds go on until one accepts nothing.  Scores are aggregates over the pattern-instance links of the whole
     table, counted per distinct instance, so copies of a document add nothing.
     """
     seen = settle(_occurrences(docs, text), "identifiers")
     links = seen.select("m", "d", "kind", F.explode("patterns").alias("pattern")).distinct()
     links = settle(links, "patterns")
     accepted = None
-    for _ in range(rounds):
+    while True:
         now = links if accepted is None else links.join(accepted, "m", "left").select("m", "d", F.coalesce("kind", "new_kind").alias("kind"), "pattern")
         counts = now.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
         best = F.array_max(F.array(*[F.struct(F.col(k).alias("known"), F.lit(k).alias("k")) for k in KINDS]))
@@ -105,18 +104,22 @@ def discover(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataF
         form = F.expr("case k " + " ".join(f"when '{k}' then {f}" for k, f in FORMS.items()) + " end")
         votes = now.filter("kind is null").join(trusted, "pattern").filter(form).groupBy("m", "k").agg((1 - F.product(1 - F.col("conf") + 1e-9)).alias("score"))
         fresh = votes.filter(F.col("score") >= MIN_SCORE).groupBy("m").agg(F.max_by("k", F.struct("score", "k")).alias("new_kind"))
-        accepted = settle(fresh if accepted is None else accepted.unionByName(fresh), "accepted")
+        fresh = settle(fresh, "accepted")
+        if fresh.isEmpty():
+            break
+        accepted = fresh if accepted is None else accepted.unionByName(fresh)
+    accepted = fresh if accepted is None else accepted
     return seen.filter("kind is null").join(accepted, "m").select("doc", F.col("new_kind").alias("kind"), "a", "b", "m")
 
 
-def find_pii(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add arrays ``pii_<kind>`` (fixed patterns) and ``pii_more_<kind>`` (found by context) of (a, b, m) to each row.
 
     A null text counts as empty and has no spans.  Columns with these names are
     replaced, others stay.  Equal texts (repeated rows among them) get equal
     spans; an empty table stays empty.
     """
-    extra = discover(docs, text, rounds).distinct().groupBy("doc").agg(
+    extra = discover(docs, text).distinct().groupBy("doc").agg(
         *[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("a", "b", "m")))).alias("pii_more_" + k) for k in KINDS]
     ).withColumnRenamed("doc", "pii_doc")
     base = find_base(docs.drop(*["pii_more_" + k for k in KINDS]), text).withColumn("pii_doc_own", F.xxhash64(text))

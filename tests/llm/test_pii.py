@@ -57,3 +57,15 @@ def test_context_gives_away_unseen_identifiers(documents):
     found = {r.doc_id: r for r in pii.find_pii(docs).collect()}
     assert [s.m for s in found[50].pii_more_phone] == ["(310) 555-9999"]
     assert not found[51].pii_more_phone and not found[0].pii_more_phone and len(found[0].pii_phone) == 1
+
+
+def test_rounds_go_on_until_nothing_is_new(documents):
+    # each level shares a context with the one before it only, and is found a round later
+    rows, at = [], 0
+    for depth, (count, left, right) in enumerate([(125, "desk alpha", "red zero"), (25, "desk alpha", "red one"), (5, "desk beta", "red one"), (1, "desk beta", "red two")]):
+        for n in range(count):
+            number = f"+1 (310) 555-{at:04d}" if not depth else f"(310) 555-{at:04d}"
+            rows.append((at, f"Some text here {left} {number} {right} and more text"))
+            at += 1
+    found = {r.doc_id: [s.m for s in r.pii_more_phone] for r in pii.find_pii(documents(rows)).collect()}
+    assert all(found[n] == [f"(310) 555-{n:04d}"] for n in range(125, at))
