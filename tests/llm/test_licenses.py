@@ -50,3 +50,16 @@ def test_runs_of_paragraphs_and_wrapped_sentences():
     text = f"We wrote this over years. {notice} Please read\non from here to the end of it."
     assert [h[:3] for h in matcher.scan(text)] == [(26, 26 + len(notice), "GPL-3.0")]
     assert [h[2] for h in matcher.scan(f"{three}\n\n{'Other words stand here. ' * 300}\n\n{three}")] == ["MIT", "MIT"]
+
+
+def test_whole_bsd_texts():
+    by_size = sorted((len(t), name, t) for name, t in licenses.TEMPLATES if name.startswith("BSD"))
+    matcher = licenses.Matcher()
+    for _, name, text in by_size[-2:]:
+        lines = "\n".join(text[i : i + 75] for i in range(0, len(text), 75))
+        ((start, end, found, dice),) = matcher.scan(f"Copyright (c) 2020, Some One\n\n{text}\n\nint main() {{}}")
+        assert found == name and dice == 1.0 and end - start == len(text)
+        assert [h[2] for h in matcher.scan(lines)] == [name]
+    assert by_size[-1][1] == "BSD-3-Clause" and by_size[-2][1] == "BSD-2-Clause"
+    conditions = by_size[-1][2].split(" THIS SOFTWARE")[0]
+    assert [h[2] for h in matcher.scan(conditions.replace(" 2. ", "\n2. ").replace(" 3. ", "\n3. "))] == ["BSD-3-Clause"]
