@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtide.llm import decontamination, html, language, licenses, near_dup, packing, pii, secrets, sharding, vectors
+from adtide.llm import decontamination, html, language, licenses, near_dup, packing, pii, quality, secrets, sharding, vectors
+from adtide.llm.staging import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -105,3 +106,47 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    signals = quality.measure(docs).select(F.struct("doc.doc_id", "doc.lang", "doc.source").alias("doc"), "signals")
+    judged = quality.judge(settle(signals, "signals"))  # the texts are measured once
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc.doc_id", *["signals." + c for c in columns], "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
+
+
+ORACLE["op11_quality"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, regexp_extract_all(text, '[^ 	-]+') AS w FROM d),
+word AS (SELECT k, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+win AS (SELECT a.k, a.i, a.x AS x, b.x AS y, c.x AS z FROM word a JOIN word b ON b.k = a.k AND b.i = a.i + 1 JOIN word c ON c.k = a.k AND c.i = a.i + 2),
+rep AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, x, y, z) AS c FROM win) WHERE c > 1),
+hit AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, i + unnest([0, 1, 2]) AS j FROM rep) GROUP BY k),
+line AS (SELECT k, unnest(string_split(text, chr(10))) AS x FROM d),
+lines AS (SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM line WHERE regexp_matches(x, '[^ 	-]') GROUP BY k),
+words AS (SELECT k, count(*) AS n_words, sum(length(x)) AS word_chars FROM word GROUP BY k),
+s AS (SELECT d.k, doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, coalesce(n_lines, 0)::BIGINT AS n_lines,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN words ON words.k = d.k LEFT JOIN lines ON lines.k = d.k LEFT JOIN hit ON hit.k = d.k),
+m AS (SELECT k, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS rule,
+    unnest([word_chars * 100 // n_words, n_symbols * 1000 // n_words, n_dup_lines * 1000 // greatest(n_lines, 1), n_repeat_words * 1000 // n_words]) AS v FROM s WHERE n_words > 0),
+b AS (SELECT *, CASE WHEN v < 128 THEN v ELSE 64 * (length(bin(v)) - 7) + (v >> (length(bin(v)) - 7)) END AS bin FROM m),
+own AS (SELECT lang, source, rule, bin, count(*) AS n FROM b GROUP BY ALL),
+lang_bins AS (SELECT lang, rule, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, rule) AS total FROM own GROUP BY lang, rule, bin),
+mixed AS (SELECT lang, source, rule, bin, sum(weight) AS weight FROM (
+    SELECT own.lang, own.source, own.rule, own.bin, own.n * t.total AS weight FROM own JOIN (SELECT DISTINCT lang, rule, total FROM lang_bins) t ON t.lang = own.lang AND t.rule = own.rule
+    UNION ALL SELECT l.lang, g.source, l.rule, l.bin, l.n * {quality.PRIOR} FROM lang_bins l JOIN (SELECT DISTINCT lang, source FROM own) g ON g.lang = l.lang) GROUP BY lang, source, rule, bin),
+ranked AS (SELECT *, sum(weight) OVER (PARTITION BY lang, source, rule ORDER BY bin) AS upto, sum(weight) OVER (PARTITION BY lang, source, rule) AS total FROM mixed),
+q AS (SELECT lang, source, rule, min(bin) FILTER (WHERE upto * 4 >= total) AS q1, min(bin) FILTER (WHERE upto * 4 >= total * 3) + 1 AS q3 FROM ranked GROUP BY lang, source, rule),
+e AS (SELECT lang, source, rule, CASE WHEN q1 < 128 THEN q1 ELSE (q1 - 64 * (q1 // 64 - 1)) << (q1 // 64 - 1) END AS low,
+    CASE WHEN q3 < 128 THEN q3 ELSE (q3 - 64 * (q3 // 64 - 1)) << (q3 // 64 - 1) END - 1 AS high FROM q),
+fence AS (SELECT lang, source, rule, low - spread AS low, high + spread AS high FROM (SELECT *, {quality.REACH} * greatest(high - low,
+    CASE rule {" ".join(f"WHEN '{r.name}' THEN {r.spread}" for r in quality.RULES)} END) AS spread FROM e)),
+bad AS (SELECT k, string_agg(m.rule, ',' ORDER BY CASE m.rule {" ".join(f"WHEN '{r.name}' THEN {i}" for i, r in enumerate(quality.RULES))} END) AS failed
+  FROM m JOIN fence f ON f.lang = m.lang AND f.source = m.source AND f.rule = m.rule WHERE v > high OR (m.rule = 'word_length' AND v < low) GROUP BY k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AND failed IS NULL AS kept, coalesce(failed, '') AS failed
+FROM s LEFT JOIN bad ON bad.k = s.k
+"""
