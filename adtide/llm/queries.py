@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtide.llm import decontamination, html, language, licenses, near_dup, packing, pii, quality, secrets, sharding, vectors
+from adtide.llm import decontamination, divergence, html, language, licenses, near_dup, packing, pii, quality, secrets, sharding, vectors
 from adtide.llm.staging import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,13 +119,15 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op11_quality"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT k, regexp_extract_all(text, '[^ 	-]+') AS w FROM d),
+w AS (SELECT k, regexp_extract_all(text, '[^ 	-
+]+') AS w FROM d),
 word AS (SELECT k, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
 win AS (SELECT a.k, a.i, a.x AS x, b.x AS y, c.x AS z FROM word a JOIN word b ON b.k = a.k AND b.i = a.i + 1 JOIN word c ON c.k = a.k AND c.i = a.i + 2),
 rep AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, x, y, z) AS c FROM win) WHERE c > 1),
 hit AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, i + unnest([0, 1, 2]) AS j FROM rep) GROUP BY k),
 line AS (SELECT k, unnest(string_split(text, chr(10))) AS x FROM d),
-lines AS (SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM line WHERE regexp_matches(x, '[^ 	-]') GROUP BY k),
+lines AS (SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM line WHERE regexp_matches(x, '[^ 	-
+]') GROUP BY k),
 words AS (SELECT k, count(*) AS n_words, sum(length(x)) AS word_chars FROM word GROUP BY k),
 s AS (SELECT d.k, doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, coalesce(n_lines, 0)::BIGINT AS n_lines,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
@@ -150,3 +152,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AND failed IS NULL AS kept, coalesce(failed, '') AS failed
 FROM s LEFT JOIN bad ON bad.k = s.k
 """
+
+
+@_query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_divergence"] = r"""
+WITH w AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM w),
+t AS (SELECT k, lang, source, unnest(w) AS term FROM w),
+kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+lang_sum AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+own AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN kept ON kept.lang = t.lang AND kept.term = t.term GROUP BY t.lang, t.source, t.term),
+own_sum AS (SELECT lang, source, sum(c) AS n FROM own GROUP BY lang, source),
+grid AS (SELECT g.lang, g.source, kept.term, coalesce(own.c, 0) AS c,
+    1 + (1000000000 * (coalesce(own.c, 0) + 2)::HUGEINT) // (coalesce(s.n, 0) + 2 * l.v) AS p, 1 + (1000000000 * (kept.c + 2)::HUGEINT) // (l.n + 2 * l.v) AS q
+  FROM g JOIN kept ON kept.lang = g.lang JOIN lang_sum l ON l.lang = g.lang LEFT JOIN own_sum s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = kept.term),
+pair_sum AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM grid a JOIN grid b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN pair_sum s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM grid WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10
+"""
