@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtide.llm import decontamination, divergence, html, language, licenses, near_dup, packing, pii, quality, secrets, sharding, vectors
+from adtide.llm import decontamination, divergence, html, language, licenses, near_dup, packing, pii, quality, secrets, sharding, vectors, whitening
 from adtide.llm.staging import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,8 @@ term AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q))
 SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
 QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10
 """
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
