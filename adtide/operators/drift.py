@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from adtide.functions.quantiles import percentiles
 from adtide.operators.baseline import baseline_stats, metric_rows, number, read_baseline, write_baseline
+from adtide.plans.staging import settle
 from adtide.schema import CRITICAL_DROP, DRIFT_DROP_LIMITS, OUTLIER_WARNING_PCT, OUTLIER_Z
 
 ALERT_COLUMNS = (
@@ -71,7 +72,7 @@ def _alert(metric, kind, severity, baseline, current, change, affected, message,
 def _drift_alert(m: str, limit: float, medians: bool) -> Column:
     base_mean = F.col("_b")[f"{m}_mean"]
     now = F.col(f"{m}_mean")
-    change = F.try_divide(now - base_mean, base_mean)
+    change = _change(m)
     drop, rise = change < -limit, change > 2 * limit
     severity = (
         F.when(drop & (F.abs(change) > CRITICAL_DROP), "CRITICAL").when(drop | rise, "WARNING")
@@ -106,11 +107,21 @@ def _outlier_alert(m: str) -> Column:
     return _alert(m, "outlier", severity, F.col("_b")[f"{m}_mean"], mean, F.lit(0.0), count, message, details)
 
 
-def _with_medians(
-    wide: DataFrame, current: DataFrame, baseline: DataFrame, metrics: list[str], approx: bool
-) -> DataFrame:
-    """Add the baseline and current medians as the struct ``_m``."""
-    halves = percentiles(metric_rows(current, metrics), "value", [0.5], ["metric"], approx, few_groups=True)
+def _change(m: str) -> Column:
+    base = F.col("_b")[f"{m}_mean"]
+    return F.try_divide(F.col(f"{m}_mean") - base, base)
+
+
+def _with_medians(wide: DataFrame, current: DataFrame, baseline: DataFrame, limits: dict[str, float], metrics: list[str], approx: bool) -> DataFrame:
+    """Add the baseline and current medians as the struct ``_m``, of the metrics that dropped:
+    no other alert tells them, and without a drop the table is not read for them."""
+    wide = settle(wide)
+    fallen = wide.select(*[(_change(m) < -limits[m]).alias(m) for m in metrics]).first()  # one row
+    dropped = [m for m in metrics if fallen[m]]
+    none = F.lit(None).cast("double")
+    if not dropped:
+        return wide.withColumn("_m", F.struct(*[none.alias(f"{m}_{side}") for m in metrics for side in ("baseline", "current")]))
+    halves = percentiles(metric_rows(current, dropped), "value", [0.5], ["metric"], approx, few_groups=True)
     both = halves.select("metric", F.col("q0").alias("v"), F.lit("current").alias("side")).unionByName(
         baseline.select("metric", F.col("median").alias("v"), F.lit("baseline").alias("side"))
     )
@@ -139,11 +150,11 @@ def metric_drift(
     number of rows under the limit) or rose by more than twice of it.
 
     A metric whose baseline mean is missing or 0 gives no alert.  ``medians``
-    adds the current median to the details at the price of two more scans.
+    adds the medians of metrics that fell to the details, at the price of three more scans if one did.
     """
     wide, metrics = _scan(current, baseline, limits, OUTLIER_Z)
     if medians:
-        wide = _with_medians(wide, current, baseline, metrics, approx)
+        wide = _with_medians(wide, current, baseline, limits, metrics, approx)
     return _alerts(wide, [_drift_alert(m, limits[m], medians) for m in metrics])
 
 
@@ -189,7 +200,7 @@ def detect_drift(
     """Drift alerts followed by outlier alerts, from one scan (plus medians)."""
     wide, metrics = _scan(current, baseline, limits, z)
     if medians:
-        wide = _with_medians(wide, current, baseline, metrics, approx)
+        wide = _with_medians(wide, current, baseline, limits, metrics, approx)
     drifted = [_drift_alert(m, limits[m], medians) for m in metrics]
     return _alerts(wide, drifted + [_outlier_alert(m) for m in metrics])
 
@@ -221,4 +232,4 @@ def check_or_create_baseline(df: DataFrame, path: str, created_at: str | None =
         return DriftCheck(False, stored, detect_drift(df, stored, **options))
     write_baseline(baseline_stats(df, created_at=created_at), path)
     fresh = read_baseline(df.sparkSession, path)
-    return DriftCheck(True, fresh, detect_drift(df, fresh, **options).where(F.lit(False)))
+    return DriftCheck(True, fresh, detect_drift(df, fresh, medians=False).where(F.lit(False)))

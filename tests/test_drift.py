@@ -54,6 +54,66 @@ def test_unreadable_store_counts_as_none(spark, tmp_path):
     assert baseline.read_baseline(spark, str(tmp_path / "base")) is None
 
 
+def test_damaged_and_unfinished_versions_are_passed_over(spark, tmp_path):
+    path = str(tmp_path / "base")
+    states = lambda: [r.state for r in baseline.baseline_versions(spark, path).collect()]
+    assert states() == []
+    first = drift.check_or_create_baseline(drift_frame(spark), path, created_at=BASE)
+    baseline.update_baseline(drift_frame(spark, roas=0.4), path, created_at="2025-02-01 00:00:00")
+    newest, older = sorted(p.name for p in (tmp_path / "base").iterdir()), None
+    by_age = [r.version for r in baseline.baseline_versions(spark, path).collect()]
+    assert sorted(by_age) == newest and states() == ["whole", "whole"]
+    older = tmp_path / "base" / by_age[1]
+    (tmp_path / "base" / by_age[0] / "data" / "baseline" / "part-x.parquet").write_text("garbage")
+    assert states() == ["damaged", "whole"]
+    again = drift.check_or_create_baseline(drift_frame(spark), path)
+    assert not again.created and again.alerts.where("kind = 'drift'").count() == 0  # compared with the first version
+    assert {tuple(r) for r in again.baseline.collect()} == {tuple(r) for r in first.baseline.collect()}
+    for file in (older / "manifest").glob("part-*"):
+        file.write_text("{ no json")
+    assert sorted(states()) == ["damaged", "unfinished"]
+    assert baseline.read_baseline(spark, path) is None
+    fresh = drift.check_or_create_baseline(drift_frame(spark), path)  # a store without a whole version gets one
+    assert fresh.created and fresh.baseline.count() == 4 and fresh.alerts.count() == 0
+    assert not drift.check_or_create_baseline(drift_frame(spark), path).created
+
+
+def test_a_version_that_lost_rows_is_damaged(spark, tmp_path):
+    path = str(tmp_path / "base")
+    baseline.update_baseline(drift_frame(spark), path, created_at=BASE)
+    (version,) = (tmp_path / "base").iterdir()
+    for file in (version / "data" / "baseline").glob("part-*.parquet"):
+        file.unlink()
+    assert [r.state for r in baseline.baseline_versions(spark, path).collect()] == ["damaged"]
+    assert baseline.read_baseline(spark, path) is None
+
+
+def test_baseline_from_days_equals_baseline_of_all_rows(spark, tmp_path):
+    path = str(tmp_path / "days")
+    rows = [*drift_rows(), (None, "x", 9.0, None, float("nan"), 1.0)]
+    facts = spark.createDataFrame(rows, DRIFT_SCHEMA)
+    baseline.add_days(facts.where("date < '2025-02-01' or date is null"), path)
+    baseline.add_days(facts.where("date >= '2025-01-20'"), path)  # overlaps
+    got = {r.metric: r for r in baseline.baseline_from_days(spark, path, created_at=BASE).collect()}
+    for want in baseline.baseline_stats(facts, created_at=BASE).collect():
+        for name, value in want.asDict().items():
+            same = got[want.metric][name]
+            assert same == value or math.isclose(same, value, rel_tol=1e-12), (want.metric, name)
+    baseline.add_days(facts.where("date = '2025-01-05'").withColumn("roas", F.lit(1.0)), path)
+    changed = facts.withColumn("roas", F.expr("if(date = '2025-01-05', 1D, roas)"))
+    got = {r.metric: (r.cnt, r.median, r.p25) for r in baseline.baseline_from_days(spark, path).collect()}
+    assert got == {r.metric: (r.cnt, r.median, r.p25) for r in baseline.baseline_stats(changed).collect()}
+
+
+def test_infinite_and_no_values(spark):
+    df = spark.createDataFrame([(1.0, None), (float("inf"), None), (2.0, None)], "roas double, ctr double")
+    got = {r.metric: r for r in baseline.baseline_stats(df, ["roas", "ctr", "cvr"]).collect()}
+    assert set(got) == {"roas", "ctr"} and got["roas"].median == 2.0 and got["roas"]["max"] == float("inf")
+    assert (got["ctr"].cnt, got["ctr"].total_rows, got["ctr"].median, got["ctr"]["mean"]) == (0, 3, None, None)
+    none = baseline.baseline_stats(df.limit(0), ["roas", "ctr"]).collect()
+    assert [(r.cnt, r.total_rows, r.median) for r in none] == [(0, 0, None)] * 2
+
+
 def test_roas_drop_is_critical(spark):
     (a,) = drift.metric_drift(drift_frame(spark, roas=0.4), _base(spark)).collect()
     assert (a.metric, a.severity) == ("roas", "CRITICAL") and abs(a.change_pct + 60) < 1e-9

@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from adtide.functions import quantiles
 from adtide.functions.quantiles import percentiles
 from adtide.functions.ratios import pct_change, trend_label, with_ratio_metrics
 from adtide.functions.text import clean_campaign_name
@@ -88,3 +90,40 @@ def test_percentiles_property(spark, values, p):
     want = lo if lo == hi else lo + (hi - lo) * (pos - math.floor(pos))
     assert got.n == len(values)
     assert got.q0 == want or math.isclose(got.q0, want, rel_tol=1e-9) or math.isinf(want)
+
+
+def test_order_key_is_the_bits_of_the_double(spark):
+    rng = random.Random(9)
+    edges = [2.0**e for e in range(-1074, 1024, 3)]
+    values = [0.0, -0.0, 5e-324, 2.2250738585072014e-308, math.nextafter(2.2250738585072014e-308, 0), 1.7976931348623157e308, math.inf]
+    values += edges + [math.nextafter(v, 0) for v in edges] + [math.nextafter(v, math.inf) for v in edges]
+    values += [v for _ in range(3000) if math.isfinite(v := struct.unpack("<d", rng.randbytes(8))[0])]
+    values += [1.7e12 + k for k in range(50)] + [1000 / k for k in range(1, 500)] + [math.exp(rng.uniform(-700, 700)) for _ in range(500)]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in quantiles.with_order_key(df, "v", "k").collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+        assert r.k == (-bits if r.v < 0 else bits), r
+
+
+def test_windows_stay_small_whatever_the_values(spark, monkeypatch):
+    """Values near 1.7e12 lie in one cell of the first pass and in many of the next ones."""
+    values = [1.7e12 + k / 8 for k in range(30000)]
+    df = spark.createDataFrame([("m", v) for v in values], "k string, v double").repartition(4)
+    seen = []
+    plain = quantiles._running
+
+    def watched(cells, group, cell, carried):
+        seen.append(cells.groupBy(*group).count().agg(F.max("count")).first()[0])
+        return plain(cells, group, cell, carried)
+
+    monkeypatch.setattr(quantiles, "_running", watched)
+    got = percentiles(df, "v", [0.25, 0.5], ["k"], few_groups=True).first()
+    assert (got.q0, got.q1) == tuple(np.quantile(values, [0.25, 0.5]))
+    assert len(seen) == 6 and max(seen) <= 2048 <= quantiles.CELLS
+
+
+def test_percentiles_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BROADCAST_CELLS", 0)
+    rng = random.Random(2)
+    _check(spark, {f"g{k}": [rng.gauss(0, 1) for _ in range(20)] for k in range(30)}, [0.3, 0.5], False)

@@ -530,6 +530,47 @@ def _(spark, d):
     return rounded(stored.select("metric", "cnt", "mean", "median"), 9, "mean", "median")
 
 
+@query(
+    "stored_baseline_damaged",
+    ADS + f"SELECT metric, cnt, round(mean, 9) AS mean, round(median, 9) AS median, 'damaged,unfinished,whole,whole' AS states FROM ({_baseline_sql()})",
+)
+def _(spark, d):
+    """Four versions, of which the newest is damaged and one is unfinished: the newest whole one counts."""
+    path = f"{staging_dir(spark)}/baseline-{uuid.uuid4().hex}"
+    facts = t.ads(spark, d, _BASE_COLUMNS)
+    old = baseline.baseline_stats(facts.where("date < '1995-01-01'"), created_at="2024-01-01 00:00:00")
+    baseline.write_baseline(old, path)
+    baseline.update_baseline(facts, path, created_at=CREATED)
+    baseline.write_baseline(old.withColumn("created_at", F.lit("2024-05-01").cast("timestamp")), path)
+    newest = baseline.baseline_versions(spark, path).orderBy(F.desc("created_at")).first().version
+    spark.range(1).select(F.lit("no table").alias("value")).write.mode("append").text(f"{path}/{newest}/data/baseline")
+    old.write.parquet(f"{path}/v-{uuid.uuid4().hex}/data/baseline")
+    stored = rounded(baseline.read_baseline(spark, path).select("metric", "cnt", "mean", "median"), 9, "mean", "median")
+    states = baseline.baseline_versions(spark, path).agg(F.array_join(F.array_sort(F.collect_list("state")), ","))
+    return stored.withColumn("states", states.scalar())
+
+
+@query(
+    "baseline_from_days",
+    ADS
+    + "SELECT metric, start_date, end_date, total_rows, cnt, "
+    + ", ".join(f"round({s}, 6) AS {s}" for s in _STATS)
+    + f" FROM ({_baseline_sql()})",
+)
+def _(spark, d):
+    """Days added in three parts, one of them twice; the facts are not read again for the baseline."""
+    path = f"{staging_dir(spark)}/baseline-days-{uuid.uuid4().hex}"
+    facts = t.ads(spark, d, _BASE_COLUMNS)
+    first, second = "date < '1994-06-01'", "date >= '1994-06-01' and date < '1996-01-01'"
+    baseline.add_days(facts.where(first), path)
+    baseline.add_days(facts.where(second).where("roas < 1"), path)
+    baseline.add_days(facts.where(second), path)
+    baseline.add_days(facts.where(f"not ({first}) and not ({second}) or date is null"), path)
+    out = baseline.baseline_from_days(spark, path, created_at=CREATED).drop("created_at")
+    out = out.withColumns({"start_date": day("start_date"), "end_date": day("end_date")})
+    return rounded(out, 6, *_STATS)
+
+
 def _drift_rows_sql(factors: dict[str, float], known: str = "true") -> str:
     """Drift and outlier alerts of ``ads`` with scaled metrics against ``ads``; metrics count where ``known``."""
     now = "now AS (SELECT " + ", ".join(f"CASE WHEN {known} THEN {m} * {factors.get(m, 1.0)} END AS {m}" for m in ("roas", "ctr", "cvr")) + " FROM ads)"
