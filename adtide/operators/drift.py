@@ -37,15 +37,11 @@ def _zscore(value: Column, metric: str, base: Column) -> Column:
     return (value - base[f"{metric}_mean"]) / F.when(std != 0, std)
 
 
-def _scan(current: DataFrame, baseline: DataFrame, limits: dict[str, float], z: float) -> tuple[DataFrame, list[str]]:
-    """One row with every number the alerts need.  Parts an alert kind does not
-    use are pruned from the aggregate by the optimizer."""
-    metrics = [m for m in limits if m in current.columns]
-    base, packed = F.col("_b"), _baseline_struct(baseline, metrics)
-    facts = current.select(*[number(current, m).alias(m) for m in metrics]).withColumn("_b", packed)
+def scan_columns(current: DataFrame, metrics: Sequence[str], base: Column, limits: dict[str, float], z: float = OUTLIER_Z) -> list[Column]:
+    """Aggregates of one scan with every number the alerts need; ``base`` is the baseline as a struct."""
     aggs = [F.count("*").alias("total_rows")]
     for m in metrics:
-        x = F.col(m)
+        x = number(current, m)
         score = F.abs(_zscore(x, m, base))
         out = F.when(score > z, x)
         aggs += [
@@ -57,7 +53,43 @@ def _scan(current: DataFrame, baseline: DataFrame, limits: dict[str, float], z:
             F.stddev_samp(out).alias(f"{m}_out_std"),
             F.max(score).alias(f"{m}_max_z"),
         ]
-    return facts.agg(*aggs).withColumn("_b", packed), metrics
+    return aggs
+
+
+def _scan(current: DataFrame, baseline: DataFrame, limits: dict[str, float], z: float) -> tuple[DataFrame, list[str]]:
+    """One row of the numbers above.  Parts an alert kind does not use are pruned
+    from the aggregate by the optimizer."""
+    metrics = [m for m in limits if m in current.columns]
+    packed = _baseline_struct(baseline, metrics)
+    facts = current.select(*[number(current, m).alias(m) for m in metrics]).withColumn("_b", packed)
+    return facts.agg(*scan_columns(facts, metrics, F.col("_b"), limits, z)).withColumn("_b", packed), metrics
+
+
+class Scan(NamedTuple):
+    """The aggregates of a drift check, to be gathered in a scan that is made anyway."""
+
+    metrics: list[str]
+    columns: list[Column]
+    base: Column
+
+
+def prepare_scan(current: DataFrame, baseline: DataFrame, limits: dict[str, float] = DRIFT_DROP_LIMITS, z: float = OUTLIER_Z) -> Scan:
+    """What ``alerts_from_scan`` needs of ``current``: aggregates against the baseline's numbers (a row per metric, read now)."""
+    metrics = [m for m in limits if m in current.columns]
+    known = {r["metric"]: r for r in baseline.where(F.col("metric").isin(metrics)).select("metric", "mean", "std").collect()}
+    fields = [F.lit(known[m][s] if m in known else None).cast("double").alias(f"{m}_{s}") for m in metrics for s in ("mean", "std")]
+    base = F.struct(*fields)
+    return Scan(metrics, scan_columns(current, metrics, base, limits, z), base)
+
+
+def alerts_from_scan(
+    scan: Scan, row: DataFrame, current: DataFrame, baseline: DataFrame, limits: dict[str, float] = DRIFT_DROP_LIMITS, medians: bool = True, approx: bool = False
+) -> DataFrame:
+    """As ``detect_drift``, from the gathered ``row``."""
+    wide = row.withColumn("_b", scan.base)
+    if medians:
+        wide = _with_medians(wide, current, baseline, limits, scan.metrics, approx)
+    return _alerts(wide, [_drift_alert(m, limits[m], medians) for m in scan.metrics] + [_outlier_alert(m) for m in scan.metrics])
 
 
 def _number_map(pairs: dict[str, Column]) -> Column:

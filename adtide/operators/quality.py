@@ -29,9 +29,9 @@ LIMITS = QualityLimits()
 
 
 # --- the shared scan -----------------------------------------------------------
-def quality_scan(df: DataFrame, rules: Rules = ADS_COLUMNS) -> DataFrame:
-    """One row: row count, NULLs per column, rule violations per column, date
-    range and the extreme values the health checks look at."""
+def scan_columns(df: DataFrame, rules: Rules = ADS_COLUMNS) -> list[Column]:
+    """Aggregates of one scan: row count, NULLs per column, rule violations per column,
+    date range and the extreme values the health checks look at."""
     have = set(df.columns)
     aggs = [F.count("*").alias("total_rows")]
     aggs += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{c}") for c in df.columns]
@@ -52,7 +52,12 @@ def quality_scan(df: DataFrame, rules: Rules = ADS_COLUMNS) -> DataFrame:
     aggs.append(unshown.alias("unshown_spend"))
     for name in ("roas", "ctr", "spend"):
         aggs.append((F.max(F.col(name).cast("double")) if name in have else none.cast("double")).alias(f"max_{name}"))
-    return df.agg(*aggs)
+    return aggs
+
+
+def quality_scan(df: DataFrame, rules: Rules = ADS_COLUMNS) -> DataFrame:
+    """The aggregates of ``scan_columns`` as one row."""
+    return df.agg(*scan_columns(df, rules))
 
 
 def _unfold(wide: DataFrame, structs: list[Column], schema: str) -> DataFrame:
@@ -467,8 +472,9 @@ def run_health_checks(
     as_of: str | None = None,
     limits: QualityLimits = LIMITS,
     required: Sequence[str] | None = None,
+    scan: DataFrame | None = None,
 ) -> DataFrame:
-    """All five health checks, one row each, from a single scan."""
+    """All five health checks, one row each, from a single scan; ``scan`` is its row where it has been made."""
     checks = [
         _freshness(as_of, limits),
         _completeness(df, limits),
@@ -476,7 +482,7 @@ def run_health_checks(
         _consistency(df, required or required_names()),
         _metric_ranges(limits),
     ]
-    return _unfold(quality_scan(df), checks, _HEALTH)
+    return _unfold(quality_scan(df) if scan is None else scan, checks, _HEALTH)
 
 
 def failed_checks(results: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adtide.operators.alerts import drift_digest
+
 
 def _text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("N/A"))
@@ -93,13 +95,34 @@ def quality_section(report: DataFrame) -> DataFrame:
     )
 
 
+def drift_sections(drift: DataFrame) -> DataFrame:
+    """A row per drift or outlier alert, the most severe first."""
+    text = drift_digest(drift)
+    key = F.concat_ws(" ", F.col("rank").cast("string"), F.col("metric"), F.col("kind"))
+    return text.select(F.lit(4).alias("section_order"), F.lit("drift").alias("section"), key.alias("key"), F.concat(F.lit("- "), F.col("text")).alias("body"))
+
+
+def _headings(df: DataFrame, title: str, drift: bool) -> DataFrame:
+    """The title and the heading of each part; their empty key sorts them before the part's rows."""
+    parts = [(0, "title", f"# {title}"), (1, "heading", "## Insights"), (2, "heading", "## Creatives")]
+    if drift:
+        parts.append((4, "heading", "## Drift"))
+    rows = F.array(*[F.struct(F.lit(o).alias("section_order"), F.lit(s).alias("section"), F.lit("").alias("key"), F.lit(b).alias("body")) for o, s, b in parts])
+    return df.sparkSession.range(1).select(F.inline(rows))
+
+
 def report_sections(
-    insights: DataFrame, creatives: DataFrame | None = None, evaluation: DataFrame | None = None
+    insights: DataFrame, creatives: DataFrame | None = None, evaluation: DataFrame | None = None, drift: DataFrame | None = None, title: str | None = None
 ) -> DataFrame:
-    """(section_order, section, key, body) rows of the whole report."""
+    """(section_order, section, key, body) rows of the whole report; with a ``title``,
+    it and the parts' headings are rows too."""
     out = insight_sections(insights)
     if creatives is not None:
         out = out.unionByName(creative_sections(creatives))
     if evaluation is not None:
         out = out.unionByName(quality_section(evaluation))
+    if drift is not None:
+        out = out.unionByName(drift_sections(drift))
+    if title is not None:
+        out = out.unionByName(_headings(insights, title, drift is not None))
     return out

@@ -123,3 +123,26 @@ def daily_metric(df: DataFrame, metric: str) -> DataFrame:
     """(date, value) of one metric per day; reads only the columns it needs."""
     known = df.where(F.col("date").isNotNull()).groupBy("date").agg(*base_sums())
     return known.select("date", metric_value(metric).alias("value"))
+
+
+def shared_rollup(df: DataFrame, key_sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Roll-ups by several sets of keys in one scan: ``key_set`` (its place in the list), the keys,
+    row count, sums of the base metrics and means of the row ratios.
+
+    The rows of one set, read with ``key_set_rows``, serve every operator that groups by these keys
+    in place of the facts: a group of them has one row.
+    """
+    keys = list(dict.fromkeys(k for keys in key_sets for k in keys))
+    sums = [F.sum(c).alias(c) for c in BASE_METRICS if c in df.columns]
+    means = [F.avg(c).alias(c) for c in ("ctr", "roas") if c in df.columns]
+    # one number per set: the bit of a key is set where the set lacks it
+    number = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in own): place for place, own in enumerate(key_sets)}
+    place = F.element_at(F.create_map(*[F.lit(x) for pair in number.items() for x in pair]), F.col("_id").cast("int"))
+    grouped = df.groupingSets([[F.col(k) for k in own] for own in key_sets], *keys)
+    return grouped.agg(F.grouping_id().alias("_id"), F.count(F.lit(1)).alias("row_count"), *sums, *means).withColumn("key_set", place).drop("_id")
+
+
+def key_set_rows(shared: DataFrame, place: int, keys: Sequence[str]) -> DataFrame:
+    """The rows of one key set of a ``shared_rollup``, with the columns of facts."""
+    values = [c for c in (*BASE_METRICS, "ctr", "roas") if c in shared.columns]
+    return shared.where(F.col("key_set") == place).select(*keys, *values)

@@ -191,14 +191,15 @@ def _with_mean_cv(wide: DataFrame, present: Sequence[str]) -> DataFrame:
     return wide.withColumn("avg_cv", F.try_divide(total, known))
 
 
-def assess_data_quality(
-    df: DataFrame, config: ThresholdConfig = ThresholdConfig(), metrics: Sequence[str] = ("ctr", "roas", "cvr")
-) -> DataFrame:
-    """One row: CV per metric, mean CV, campaign count, variance and quality level."""
+def variation_columns(df: DataFrame, metrics: Sequence[str] = ("ctr", "roas", "cvr")) -> list[Column]:
+    """Aggregates of one scan: ``<metric>_cv`` per present metric."""
     present = [m for m in metrics if m in df.columns]
-    cvs = [F.try_divide(F.stddev_samp(number(df, m)), F.avg(number(df, m))).alias(f"{m}_cv") for m in present]
-    size = F.count_distinct("campaign_name") if "campaign_name" in df.columns else F.lit(0).cast("long")
-    wide = _with_mean_cv(df.agg(size.alias("sample_size"), *cvs), present)
+    return [F.try_divide(F.stddev_samp(number(df, m)), F.avg(number(df, m))).alias(f"{m}_cv") for m in present]
+
+
+def quality_levels(wide: DataFrame, config: ThresholdConfig = ThresholdConfig(), metrics: Sequence[str] = ("ctr", "roas", "cvr")) -> DataFrame:
+    """Mean CV, variance and quality level of a row with ``sample_size`` (campaigns) and ``<metric>_cv`` columns."""
+    wide = _with_mean_cv(wide, [m for m in metrics if f"{m}_cv" in wide.columns])
     cv = F.nullif(F.col("avg_cv"), F.lit(float("nan")))  # an infinite value leaves no usable variation: medium
     variance = F.when(cv > config.high_variance_cv, "high").when(cv < config.low_variance_cv, "low").otherwise("medium")
     return wide.withColumn("variance_level", variance).withColumn(
@@ -206,6 +207,14 @@ def assess_data_quality(
     )
 
 
+def assess_data_quality(
+    df: DataFrame, config: ThresholdConfig = ThresholdConfig(), metrics: Sequence[str] = ("ctr", "roas", "cvr")
+) -> DataFrame:
+    """One row: CV per metric, mean CV, campaign count, variance and quality level."""
+    size = F.count_distinct("campaign_name") if "campaign_name" in df.columns else F.lit(0).cast("long")
+    return quality_levels(df.agg(size.alias("sample_size"), *variation_columns(df, metrics)), config, metrics)
+
+
 def assess_quality_from_summary(summary: DataFrame, config: ThresholdConfig = ThresholdConfig()) -> DataFrame:
     """The same levels from a dataset summary alone (no row data): few campaigns
     or an implausible mean ROAS count as high variance."""

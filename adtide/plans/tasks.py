@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from adtide.operators import rank, rollups, trends
 from adtide.operators.requests import DEFAULT_TREND_DAYS
 from adtide.operators.thresholds import threshold_for
+from adtide.plans.staging import settle
 from adtide.schema import METRIC_ALIASES, METRICS, TASK_DEFAULT_METRIC, ThresholdConfig
 
 
@@ -66,26 +67,38 @@ def _threshold(value: Any, metric: str, config: ThresholdConfig) -> float:
     return number if number == number else default
 
 
-def _trend(df: DataFrame, params: dict, config: ThresholdConfig) -> Trend:
+#: The table that has a group of the given keys in each row (or is the facts themselves).
+Source = Callable[[tuple[str, ...]], DataFrame]
+_PAIR = ("campaign_name", "adset_name")
+_CREATIVE = ("creative_type", "creative_message")
+
+
+def _trend(source: Source, params: dict, config: ThresholdConfig) -> Trend:
     metric, days = _metric(params, "analyze_metric_trend"), _days(params)
-    return Trend(trends.metric_trend(df, metric, days), trends.daily_values(df, metric, days))
+    daily = source(("date",))
+    return Trend(trends.metric_trend(daily, metric, days), trends.daily_values(daily, metric, days))
 
 
-def _underperformers(df: DataFrame, params: dict, config: ThresholdConfig) -> rank.Underperformers:
+def _underperformers(source: Source, params: dict, config: ThresholdConfig) -> rank.Underperformers:
     metric = _metric(params, "identify_underperformers")
-    return rank.underperformers(df, metric, _threshold(params.get("threshold"), metric, config))
+    return rank.underperformers(source(_PAIR), metric, _threshold(params.get("threshold"), metric, config))
+
+
+def _dimension(params: dict) -> str:
+    return params.get("dimension", "creative_type")
 
 
-def _segments(df: DataFrame, params: dict, config: ThresholdConfig) -> Segments:
-    dimension = params.get("dimension", "creative_type")
-    return Segments(dimension, rank.segment_analysis(df, dimension, _metric(params, "segment_analysis")))
+def _segments(source: Source, params: dict, config: ThresholdConfig) -> Segments:
+    dimension = _dimension(params)
+    return Segments(dimension, rank.segment_analysis(source((dimension,)), dimension, _metric(params, "segment_analysis")))
 
 
-def _creatives(df: DataFrame, params: dict, config: ThresholdConfig) -> Creatives:
-    return Creatives(rollups.creative_variant_count(df), rank.creative_analysis(df), rollups.creative_type_ctr(df))
+def _creatives(source: Source, params: dict, config: ThresholdConfig) -> Creatives:
+    each = source(_CREATIVE)
+    return Creatives(rollups.creative_variant_count(each), rank.creative_analysis(each), rollups.creative_type_ctr(source(("creative_type",))))
 
 
-TASKS: dict[str, Callable[[DataFrame, dict, ThresholdConfig], Any]] = {
+TASKS: dict[str, Callable[[Source, dict, ThresholdConfig], Any]] = {
     "analyze_metric_trend": _trend,
     "identify_underperformers": _underperformers,
     "segment_analysis": _segments,
@@ -93,13 +106,43 @@ TASKS: dict[str, Callable[[DataFrame, dict, ThresholdConfig], Any]] = {
 }
 
 
+def task_keys(tasks: Sequence[dict]) -> list[tuple[str, ...]]:
+    """The sets of keys the tasks group by, each once."""
+    out: list[tuple[str, ...]] = []
+    for task in tasks:
+        params = task.get("parameters") or {}
+        sets = {
+            "analyze_metric_trend": [("date",)],
+            "identify_underperformers": [_PAIR],
+            "segment_analysis": [(_dimension(params),)],
+            "creative_analysis": [_CREATIVE, ("creative_type",)],
+        }
+        out += sets.get(str(task.get("task_type")), [])
+    return list(dict.fromkeys(out))
+
+
+def shared_source(df: DataFrame, key_sets: Sequence[tuple[str, ...]]) -> Source:
+    """All roll-ups over the key sets the table has columns for, computed now in one scan of it.
+    Other keys are answered from the table itself."""
+    known = [keys for keys in key_sets if set(keys) <= set(df.columns)]
+    if not known:
+        return lambda keys: df
+    shared = settle(rollups.shared_rollup(df, known))
+    return lambda keys: rollups.key_set_rows(shared, known.index(keys), keys) if keys in known else df
+
+
 def run_tasks(
-    df: DataFrame, tasks: Sequence[dict], config: ThresholdConfig = ThresholdConfig()
+    df: DataFrame, tasks: Sequence[dict], config: ThresholdConfig = ThresholdConfig(), source: Source | None = None
 ) -> list[TaskResult]:
     """Build the result of every task; an unknown type gives an error entry.
 
-    Nothing runs until one of the returned DataFrames is used.
+    Several tasks share one scan of the table, which runs now and keeps the roll-ups they ask for
+    (``shared_source``; or give a ``source`` that has them).  Nothing else runs until one of the
+    returned DataFrames is used.
     """
+    if source is None:
+        keys = task_keys(tasks)
+        source = shared_source(df, keys) if len(keys) > 1 else lambda keys: df
     out = []
     for i, task in enumerate(tasks, 1):
         kind, task_id = str(task.get("task_type")), str(task.get("task_id", i))
@@ -107,7 +150,7 @@ def run_tasks(
         if build is None:
             out.append(TaskResult(task_id, kind, None, f"unknown task type: {kind}"))
         else:
-            out.append(TaskResult(task_id, kind, build(df, task.get("parameters") or {}, config)))
+            out.append(TaskResult(task_id, kind, build(source, task.get("parameters") or {}, config)))
     return out
 
 

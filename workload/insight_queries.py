@@ -12,10 +12,11 @@ from adtide.operators import logs as log_ops
 from adtide.operators.thresholds import assess_data_quality
 from adtide.plans.analyze import analyze
 from adtide.plans.staging import staging_dir
+from adtide.plans.tasks import insight_context
 from adtide.sources import files
 from workload import quality_queries as qq
 from workload import tables as t
-from workload.metric_queries import _CV, ADS, BASES, PAIRS, _trend_sql
+from workload.metric_queries import _CV, ADS, BASES, PAIRS, _drift_inputs, _drift_rows_sql, _trend_sql
 from workload.registry import query, rounded
 
 _DIGIT = "[\\p{Nd}\\x{00B2}\\x{00B3}\\x{00B9}\\x{2070}\\x{2074}-\\x{2079}\\x{2080}-\\x{2089}]"
@@ -402,19 +403,22 @@ def _(spark, d):
     return report.report_sections(rows, None, insights.evaluate(rows, t.results(spark, d)).report)
 
 
+_CREATIVE_BODY = _NL.join(
+    [
+        "'### ' || campaign_name", "''", "printf('**Problem:** click-through rate of %.2f%%', ctr * 100)", "''", "'**Proposed creatives:**'", "''",
+        "'#### Variation fallback_1'", "''", "'- **Type:** UGC'", "'- **Headline:** See what customers pick first'",
+        "'- **Message:** Rated by people who wear it every day'", "'- **CTA:** Shop Now'",
+        "'- **Rationale:** Template text, to be adapted to the product by hand'", "'- **Expected effect:** Not estimated'", "''",
+        "'**How to test:** Run next to the current creative with an even split'", "''", "'---'",
+    ]
+)
+
+
 @query(
     "creative_sections",
     ADS
     + "SELECT 2 AS section_order, 'creative' AS section, concat(campaign_name, ' / ', adset_name) AS key, "
-    + _NL.join(
-        [
-            "'### ' || campaign_name", "''", "printf('**Problem:** click-through rate of %.2f%%', ctr * 100)", "''", "'**Proposed creatives:**'", "''",
-            "'#### Variation fallback_1'", "''", "'- **Type:** UGC'", "'- **Headline:** See what customers pick first'",
-            "'- **Message:** Rated by people who wear it every day'", "'- **CTA:** Shop Now'",
-            "'- **Rationale:** Template text, to be adapted to the product by hand'", "'- **Expected effect:** Not estimated'", "''",
-            "'**How to test:** Run next to the current creative with an even split'", "''", "'---'",
-        ]
-    )
+    + _CREATIVE_BODY
     + f" AS body FROM (SELECT * FROM ({PAIRS}) WHERE ctr < 0.0195 ORDER BY ctr, campaign_name, adset_name LIMIT 3)",
 )
 def _(spark, d):
@@ -456,3 +460,118 @@ def _(spark, d):
     ]
     out = analyze(t.ads(spark, d), tasks=tasks, as_of=qq.AS_OF).report
     return out.select("section_order", "key", F.substring_index("body", "\n", 1).alias("headline"))
+
+
+_FACTORS = {"roas": 2.5, "ctr": 0.6, "cvr": 1.7}
+_SHOWN = "printf(chr(10) || '   Baseline: %.3f' || chr(10) || '   Current: %.3f' || chr(10) || '   Change: %+.1f%%', baseline_value, current_value, change_pct)"
+_DRIFT_MESSAGE = (
+    "CASE WHEN kind = 'outlier' THEN printf('%d rows (%.1f%%) have outlier %s values', affected_rows, f, upper(metric)) "
+    "WHEN change_pct < 0 THEN printf('%s dropped %.1f%%', upper(metric), -change_pct) ELSE printf('%s increased %.1f%% - verify data quality', upper(metric), change_pct) END"
+)
+_DRIFT_LINES = (
+    f"{_DRIFT_MESSAGE} || CASE WHEN kind = 'drift' THEN {_SHOWN} || CASE WHEN severity = 'CRITICAL' THEN printf(chr(10) || '   Affected: %d rows' || chr(10) || "
+    "'   Baseline median: %.3f' || chr(10) || '   Current median: %.3f', affected_rows, e, f) ELSE '' END "
+    "WHEN severity = 'INFO' THEN '' ELSE printf(chr(10) || '   Affected: %d rows', affected_rows) END"
+)
+_HOURS = qq._AGE
+
+
+@query(
+    "analyze_with_drift",
+    _drift_rows_sql(_FACTORS)
+    + ", t_roas AS (WITH "
+    + _trend_sql("roas", 7).replace(ADS, "", 1).lstrip(", ")
+    + f"), worst AS (SELECT * FROM ({PAIRS}) WHERE ctr < 0.0195 ORDER BY ctr, campaign_name, adset_name LIMIT 3) "
+    "SELECT 'report' AS part, 'title' AS name, '' AS key, '# Ad performance' AS body UNION ALL SELECT 'report', 'heading', '', unnest(['## Insights', '## Creatives', '## Drift']) UNION ALL "
+    "SELECT 'report', 'insight', 'fallback_1', "
+    + _NL.join(
+        [
+            "printf('### roas moved by %.1f%% against the days before', change_pct)", "''", "'**Confidence:** 50%'", "'**Category:** metric_change'", "''", "'**Evidence:**'",
+            "printf('- mean of the recent days %.2f', recent_avg)", "''", "'**Reasoning:** Taken from the period comparison alone'", "''",
+            "'**Recommendation:** Break the change down by campaign and creative'", "''", "'---'",
+        ]
+    )
+    + f" FROM t_roas UNION ALL SELECT 'report', 'creative', concat(campaign_name, ' / ', adset_name), {_CREATIVE_BODY} FROM worst UNION ALL SELECT 'report', 'quality', '', "
+    + _NL.join(["'## Quality of the insights'", "''", "'- **Insights:** 1'", "'- **Accepted:** 0'", "'- **Mean quality:** 0.00/1.00'", "'- **Result:** Below the bar'"])
+    + " UNION ALL SELECT 'report', 'drift', concat(CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, ' ', metric, ' ', kind), "
+    f"'- ' || {_DRIFT_LINES} FROM alerts UNION ALL "
+    "SELECT 'alert', source, alert_id, concat(severity, ': ', message, ' > ', coalesce(advice, '-')) FROM ("
+    f"SELECT 'drift_detector' AS source, concat(kind, '_', metric) AS alert_id, severity, {_DRIFT_MESSAGE} AS message, CASE severity "
+    "WHEN 'CRITICAL' THEN 'Find the cause, and store a new baseline once the change is meant to stay' WHEN 'WARNING' THEN 'Check the data of this metric' END AS advice FROM alerts UNION ALL "
+    "SELECT 'evaluator', 'quality_below_threshold', 'CRITICAL', 'Mean insight quality 0.00 is under 0.60', 'Look at why insights were rejected, or lower the bar on purpose' UNION ALL "
+    f"SELECT 'health_checker', 'missing_data', 'CRITICAL', concat('The newest row is older than ', CAST(floor({_HOURS} / 24) AS BIGINT), ' days'), "
+    f"'Find out why the load brings no new days' FROM ads HAVING floor({_HOURS} / 24) >= 7 UNION ALL "
+    f"SELECT 'health_checker', 'data_freshness', 'WARNING', printf('data is %.1f hours old (limit 24)', {_HOURS}), 'Load newer data or allow an older state' FROM ads HAVING {_HOURS} > 24)",
+)
+def _(spark, d):
+    """The flagship with a stored baseline: the whole report and all alerts."""
+    _, base = _drift_inputs(spark, d)
+    tasks = [
+        {"task_type": "analyze_metric_trend", "parameters": {"metric": "roas", "timeframe": "last_7_days"}},
+        {"task_type": "identify_underperformers", "parameters": {"metric": "ctr", "threshold": "0.0195"}},
+    ]
+    facts = t.ads(spark, d, **{m: f"{m} * {f}" for m, f in _FACTORS.items()})
+    out = analyze(facts, base, tasks, as_of=qq.AS_OF, title="Ad performance")
+    rows = out.report.select(F.lit("report").alias("part"), F.col("section").alias("name"), "key", "body")
+    body = F.concat("severity", F.lit(": "), "message", F.lit(" > "), F.coalesce("recommendation", F.lit("-")))
+    return rows.unionByName(out.alerts.select(F.lit("alert").alias("part"), F.col("source").alias("name"), F.col("alert_id").alias("key"), body.alias("body")))
+
+
+# --- sinks, context and fallbacks -----------------------------------------------------------------------
+@query(
+    "creatives_written",
+    ADS
+    + "SELECT campaign_name AS campaign, adset_name AS adset, printf('click-through rate of %.2f%%', ctr * 100) AS current_issue, "
+    "'See what customers pick first' AS headline, 'Run next to the current creative with an even split' AS testing_strategy "
+    f"FROM (SELECT * FROM ({PAIRS}) WHERE ctr < 0.0195 ORDER BY ctr, campaign_name, adset_name LIMIT 3)",
+)
+def _(spark, d):
+    path = f"{staging_dir(spark)}/creatives-{uuid.uuid4().hex}"
+    top = rank.underperformers(t.ads(spark, d, ["campaign_name", "adset_name", *BASES]), "ctr", 0.0195).top
+    files.write_creatives(insights.fallback_creatives(top), path)
+    out = files.read_creatives(spark, path)
+    return out.select("campaign", "adset", "current_issue", F.col("creative_variations")[0]["headline"].alias("headline"), "testing_strategy")
+
+
+@query(
+    "insight_context",
+    ADS
+    + "SELECT 'summary' AS part, 'rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM ads UNION ALL SELECT 'summary', 'spend', CAST(sum(spend) AS DOUBLE) FROM ads UNION ALL "
+    "SELECT 'summary', 'campaigns', CAST(count(DISTINCT campaign_name) AS DOUBLE) FROM ads UNION ALL SELECT 'summary', 'roas', round(avg(roas), 9) FROM ads UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT '{c}', {c}, CAST(count(*) AS DOUBLE) FROM ads WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("creative_type", "platform", "country", "audience_type")
+    )
+    + " UNION ALL SELECT 'time_series', x.name, x.value FROM (SELECT unnest([{'name': 'recent', 'value': recent_avg}, {'name': 'previous', 'value': previous_avg}]) AS x FROM (WITH "
+    + _trend_sql("roas", 7, zero=True).replace(ADS, "", 1).lstrip(", ")
+    + "))",
+)
+def _(spark, d):
+    context = insight_context(t.ads(spark, d))
+    named = lambda part, df, **cols: df.select(F.inline(F.array(*[F.struct(F.lit(part).alias("part"), F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in cols.items()])))
+    summary = named("summary", context.summary, rows=F.col("total_rows"), spend=F.col("total_spend"), campaigns=F.col("campaign_count"), roas=F.round("avg_roas", 9))
+    series = named("time_series", context.time_series, recent=F.round("recent_avg", 9), previous=F.round("previous_avg", 9))
+    counts = context.dimensions.select(F.col("dimension").alias("part"), F.col("value").alias("name"), F.col("cnt").cast("double").alias("value"))
+    return summary.unionByName(series).unionByName(counts)
+
+
+@query(
+    "fallback_generic",
+    ADS
+    + ", t_roas AS (WITH "
+    + _trend_sql("roas", 100000).replace(ADS, "", 1).lstrip(", ")
+    + ") SELECT 'fallback_generic' AS id, 'No metric could be compared between periods' AS hypothesis, CAST(0.3 AS DOUBLE) AS confidence FROM t_roas WHERE change_pct IS NULL",
+)
+def _(spark, d):
+    """A period longer than the data leaves nothing to compare with."""
+    rows = trends.metric_trend(t.ads(spark, d, ["date", *BASES]), "roas", 100000)
+    return insights.fallback_insights(rows).select("id", "hypothesis", "confidence")
+
+
+@query(
+    "required_columns_missing",
+    ADS
+    + "SELECT 'schema_consistency' AS check_name, count(*) < 0 AS passed, 'CRITICAL' AS severity, 'missing required columns: campaign, audience' AS message, 'campaign, audience' AS missing FROM ads",
+)
+def _(spark, d):
+    out = quality.check_required(t.ads(spark, d, ["date", "campaign_name", "spend"]), ["date", "campaign", "audience", "spend"])
+    return out.select("check_name", "passed", "severity", "message", F.col("details")["missing"].alias("missing"))
