@@ -29,7 +29,8 @@ _BITS = 21
 CELLS = 1 << (64 - 2 * _BITS)
 #: Cells that have one running count.
 _TOGETHER = 11
-#: Cells with a wanted rank that may be sent to all tasks; more are joined by shuffle.
+#: Cells with a wanted rank that are sent to all tasks from the driver, and from a table; more are joined by shuffle.
+COLLECTED_CELLS = 1_000
 BROADCAST_CELLS = 200_000
 
 _LEAST_NORMAL = "2.2250738585072014E-308D"
@@ -49,8 +50,9 @@ def with_order_key(df: DataFrame, value: str, key: str) -> DataFrame:
         f"case when {size} = double('infinity') then shiftleft(2047L, 52) "
         f"when {size} < {_LEAST_NORMAL} then cast({size} / 4.9E-324D as bigint) else {normal} end"
     )
-    steps = df.withColumn("_near", F.expr(near)).withColumn("_exp", F.expr(exponent))
-    return steps.withColumn(key, F.expr(f"if({value} < 0, -({bits}), {bits})")).drop("_near", "_exp")
+    steps = df.withColumn("_near", F.expr(near)).withColumn("_exp", F.expr(exponent)).withColumn("_bits", F.expr(bits))
+    # as the result of a generator the key is worked out once, however often it is used
+    return steps.select(*df.columns, F.expr(f"stack(1, if({value} < 0, -_bits, _bits)) as ({key})"))
 
 
 def _digit(level: int) -> Column:
@@ -74,17 +76,25 @@ def _running(cells: DataFrame, group: list[str], cell: str, carried: Sequence[st
     return held.where("size(_held) > 0").selectExpr(*group, cell, *carried, "_end - _n AS _base", "_held AS _ranks")
 
 
-def _holding(cells: DataFrame, wanted: DataFrame, group: list[str]) -> DataFrame:
-    """The cells (``group``, ``_cell``, ``_n`` and values) that hold a rank wanted in their group (``_base``, ``_ranks``, ``_total``)."""
+def _holding(cells: DataFrame, group: list[str], wanted: DataFrame | None, ranks: str = "") -> DataFrame:
+    """The cells (``group``, ``_cell``, ``_n`` and values) that hold a rank wanted in their group
+    (``_total``, ``_base``, ``_ranks``); without ``wanted``, one of ``ranks`` of a group's total."""
     cells = cells.withColumn("_many", F.shiftright("_cell", _TOGETHER))
-    many = cells.groupBy(*group, "_many").agg(F.sum("_n").alias("_n")).join(wanted, group)
+    many = cells.groupBy(*group, "_many").agg(F.sum("_n").alias("_n"))
+    if wanted is None:
+        many = many.withColumn("_total", F.sum("_n").over(Window.partitionBy(*group))).selectExpr("*", "0L AS _base", f"{ranks} AS _ranks")
+    else:
+        many = many.join(wanted, group)
     inside = _running(many, group, "_many", ["_total"])
-    near = cells.join(_sent(inside), [*group, "_many"])
+    near = cells.join(inside, [*group, "_many"])
     return _running(near, [*group, "_many"], "_cell", [c for c in near.columns if c in ("_total", "_v")]).drop("_many")
 
 
 def _sent(hits: DataFrame) -> DataFrame:
     """Few rows as a table that goes to all tasks; many as a table that is joined by shuffle."""
+    rows = hits.limit(COLLECTED_CELLS + 1).collect()
+    if len(rows) <= COLLECTED_CELLS:
+        return F.broadcast(hits.sparkSession.createDataFrame(rows, hits.schema))
     hits = settle(hits)
     return F.broadcast(hits) if hits.count() <= BROADCAST_CELLS else hits
 
@@ -97,10 +107,8 @@ def select_ranks(rows: DataFrame, cells: DataFrame, value: str, probs: Sequence[
     last = "(_total - 1)"
     ranks = ", ".join(f"cast({f}({last} * {p}D) as bigint)" for p in probs for f in ("floor", "ceil"))
     cells = cells.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*by, "_cell"))).select(*by, "_cell", "_n")
-    totals = cells.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    wanted = _sent(totals.selectExpr(*by, "_total", "0L AS _base", f"array_distinct(array({ranks})) AS _ranks"))
     group = by
-    hits = _holding(cells, wanted, group)
+    hits = _holding(cells, group, None, f"array_distinct(array({ranks}))")
     base = rows.selectExpr(*by, f"cast({weight} as bigint) AS _w", f"cast({value} as double) AS _v").where("not isnan(_v)")
     base = with_order_key(base, "_v", "_key").withColumns({f"_digit{level}": _digit(level) for level in (0, 1, 2)})
     for level in (1, 2):
@@ -109,7 +117,7 @@ def select_ranks(rows: DataFrame, cells: DataFrame, value: str, probs: Sequence[
         found = base.join(wanted.select(*group), group).groupBy(*group, F.col(f"_digit{level}").alias("_cell"))
         # with its last digit a cell is one value
         cells = settle(found.agg(F.sum("_w").alias("_n"), *([F.max("_v").alias("_v")] if level == 2 else [])))
-        hits = _holding(cells, wanted, group)
+        hits = _holding(cells, group, wanted)
     at = hits.selectExpr(*by, "_total", "_v", "explode(_ranks) AS _rank")
     ends = []
     for i, p in enumerate(probs):

@@ -124,6 +124,9 @@ def test_windows_stay_small_whatever_the_values(spark, monkeypatch):
 
 
 def test_percentiles_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "BROADCAST_CELLS", 0)
     rng = random.Random(2)
-    _check(spark, {f"g{k}": [rng.gauss(0, 1) for _ in range(20)] for k in range(30)}, [0.3, 0.5], False)
+    groups = {f"g{k}": [rng.gauss(0, 1) for _ in range(20)] for k in range(30)}
+    monkeypatch.setattr(quantiles, "COLLECTED_CELLS", 0)
+    _check(spark, groups, [0.3, 0.5], False)
+    monkeypatch.setattr(quantiles, "BROADCAST_CELLS", 0)
+    _check(spark, groups, [0.3, 0.5], False)
