@@ -94,8 +94,69 @@ def test_csv_headers_are_not_mixed_up(spark, tmp_path):
     one, two = (str(tmp_path / f"{n}.csv") for n in "ab")
     rows = {r.campaign_name: (float(r.spend), float(r.revenue)) for r in ads.read_ads(spark, [one, two]).collect()}
     assert rows == {"x": (1.0, 2.0), "y\nz": (1.0, 2.0)}
-    with pytest.raises(Exception, match="header"):
-        ads.read_ads(spark, str(tmp_path / "*.csv")).collect()
+    both = ads.read_ads(spark, str(tmp_path / "*.csv")).collect()  # each file by its own header
+    assert {r.campaign_name: (float(r.spend), float(r.revenue)) for r in both} == rows
+
+
+def test_a_folder_of_files_with_headers_of_their_own(spark, tmp_path):
+    folder = tmp_path / "in put"
+    folder.mkdir()
+    texts = {
+        "a b.csv": "\ufeffdate,campaign_name,spend\n2025-01-01,x,1\n2025-01-02,y,2\n",
+        "c.csv": 'campaign_name,"spend",date,spend,\n"p\nq",3,2025-01-03,9,z\n',
+        "d%20.csv": "\n\nspend,campaign_name\n4,r\n",
+        "only-header.csv": "spend,impressions\n",
+        "empty.csv": "",
+        "broken-name.csv": '"camp\naign",spend\nu,6\n',
+    }
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+    df = ads.read_ads(spark, str(tmp_path / "in put*"))
+    got = {(str(r.date), r.campaign_name, float(r.spend)) for r in df.collect()}
+    assert got == {("2025-01-01", "x", 1.0), ("2025-01-02", "y", 2.0), ("2025-01-03", "p\nq", 3.0), ("None", "r", 4.0), ("None", None, 6.0)}
+    assert {"spend3", "_c4", "impressions", "camp\naign"} <= set(df.columns)
+
+
+def test_files_without_quotes_are_split(spark, tmp_path):
+    rows = "".join(f"2025-01-01,c{k},{k}\n" for k in range(5000))
+    (tmp_path / "plain.csv").write_text("date,campaign_name,spend\n" + rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = ads.read_ads(spark, str(tmp_path / "plain.csv"))
+        assert df.rdd.getNumPartitions() > 2 and df.count() == 5000
+        assert df.agg(F.sum("spend")).first()[0] == sum(range(5000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+WIDE = "date,campaign_name,spend,revenue,impressions,clicks\n2025-01-01,a,1e30,0.00000000001,9223372036854775808,5\n2025-01-02,b,2.5,abc,7,9223372036854775807\n"
+
+
+def test_numbers_that_do_not_fit_are_kept(spark, tmp_path):
+    (tmp_path / "w.csv").write_text(WIDE)
+    rows = {r.campaign_name: r for r in ads.read_ads(spark, str(tmp_path / "w.csv")).collect()}
+    assert (rows["a"].spend, rows["a"].revenue, rows["a"].impressions, rows["a"].clicks) == (1e30, 1e-11, 2.0**63, 5)
+    assert (rows["b"].spend, rows["b"].revenue, rows["b"].impressions, rows["b"].clicks) == (2.5, 0.0, 7.0, 2**63 - 1)
+    strict = {r.campaign_name: r for r in ads.read_ads(spark, str(tmp_path / "w.csv"), exact=True).collect()}
+    assert (strict["a"].spend, strict["a"].revenue, strict["a"].impressions) == (None, None, None)  # missing, not 0
+    assert (float(strict["b"].spend), float(strict["b"].revenue), strict["b"].impressions) == (2.5, 0.0, 7)
+    loose = ads.read_ads(spark, str(tmp_path / "w.csv"), exact=False)
+    assert dict(loose.dtypes)["clicks"] == "double"
+    (tmp_path / "fits.csv").write_text("spend,impressions\n0.1234567891234,1e3\n-1.5,2.7\n,\n")
+    fits = ads.read_ads(spark, str(tmp_path / "fits.csv"))
+    assert dict(fits.dtypes) == {"spend": "decimal(38,10)", "impressions": "bigint"}
+    assert sorted((float(r.spend), r.impressions) for r in fits.collect()) == [(-1.5, 2), (0.0, 0), (0.1234567891, 1000)]
+
+
+def test_sample_of_large_and_equal_cells(spark, monkeypatch):
+    monkeypatch.setattr(ads, "_SAMPLE_ROWS", 3)
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, F.col("id")).otherwise(-1).alias("v"))
+    for n in (1, 10, 500, 2500, 2999, 3000, 5000):
+        got = [r.v for r in ads.sample_rows(df.repartition(5), n).collect()]
+        assert len(got) == min(n, 3000)
+        whole = sorted((r.h, r.v) for r in df.select(F.md5(F.concat_ws("|", F.lit("42"), F.col("v").cast("string")).cast("binary")).alias("h"), "v").collect())
+        assert sorted(got) == sorted(v for _, v in whole[:n])
 
 
 def test_wide_numbers_dates_and_cvr(spark):

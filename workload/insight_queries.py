@@ -212,6 +212,67 @@ def _(spark, d):
     return rounded(out, 9, "confidence")
 
 
+_ODD = "CASE conv_id % 4 WHEN 0 THEN 'nan' WHEN 1 THEN 'twice' WHEN 2 THEN 'text' ELSE 'cut' END"
+
+
+def _odd_responses(spark, d, key, item):
+    """Responses of four kinds around a JSON ``item`` with the place @ for a number: the number is
+    NaN, the list and the field come twice, the number is text, or the response is cut short."""
+    shape = F.expr(_ODD)
+    number = F.format_string("%.2f", F.col("conv_id") % 100 / 100.0)
+    fill = lambda value: F.replace(item, F.lit("@"), value)
+    listed = lambda x: F.concat(F.lit(f'{{"{key}": ['), x, F.lit("]}"))
+    response = (
+        F.when(shape == "nan", listed(fill(F.lit("NaN"))))
+        .when(shape == "twice", F.concat(F.lit(f'{{"{key}": [{{"task_id": 1}}], "{key}": ['), fill(F.concat(F.lit("0, \"confidence\": "), number)), F.lit(', "odd"]}')))
+        .when(shape == "text", listed(fill(F.concat(F.lit('"'), number, F.lit('"')))))
+        .otherwise(F.substring_index(listed(fill(number)), "]", 1))
+    )
+    return t.table(spark, d, "conversations").select("conv_id", "turn", response.alias("response"))
+
+
+_KEY_SQL = "concat(conv_id, '-', turn)"
+_KEY = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+
+@query(
+    "parsed_responses_odd",
+    f"SELECT conv_id, turn, o = 'cut' AS is_fallback, CASE WHEN o <> 'cut' THEN {_KEY_SQL} END AS id, CASE WHEN o <> 'cut' THEN role END AS evidence, "
+    f"CASE WHEN o IN ('twice', 'text') THEN CAST(conv_id % 100 AS DOUBLE) / 100 END AS confidence FROM (SELECT *, {_ODD} AS o FROM conversations)",
+)
+def _(spark, d):
+    """NaN, repeated keys, numbers and single items given as text."""
+    item = F.concat(F.lit('{"id": "'), _KEY, F.lit('", "evidence": "'), F.col("role"), F.lit('", "confidence": @}'))
+    out = insights.response_items(_odd_responses(spark, d, "insights", item), "response")
+    return out.select("conv_id", "turn", "is_fallback", "id", F.array_join("evidence", "|").alias("evidence"), "confidence")
+
+
+@query(
+    "parsed_recommendations_odd",
+    f"SELECT conv_id, turn, o = 'cut' AS is_fallback, CASE WHEN o <> 'cut' THEN {_KEY_SQL} END AS campaign, CASE WHEN o <> 'cut' THEN role END AS headline, "
+    "CASE o WHEN 'nan' THEN 'NaN' WHEN 'twice' THEN '0' WHEN 'text' THEN printf('%.2f', CAST(conv_id % 100 AS DOUBLE) / 100) END AS variation_id "
+    f"FROM (SELECT *, {_ODD} AS o FROM conversations)",
+)
+def _(spark, d):
+    """A single variation in place of a list, with a number for its name."""
+    item = F.concat(F.lit('{"campaign": "'), _KEY, F.lit('", "creative_variations": {"headline": "x", "headline": "'), F.col("role"), F.lit('", "variation_id": @}}'))
+    out = insights.response_items(_odd_responses(spark, d, "recommendations", item), "response", "recommendations")
+    first = F.col("creative_variations")[0]
+    return out.select("conv_id", "turn", "is_fallback", "campaign", first["headline"].alias("headline"), first["variation_id"].alias("variation_id"))
+
+
+@query(
+    "parsed_subtasks_odd",
+    f"SELECT conv_id, turn, o = 'cut' AS is_fallback, CASE WHEN o <> 'cut' THEN {_KEY_SQL} END AS task_id, CASE WHEN o <> 'cut' THEN role END AS metric, "
+    "CASE o WHEN 'nan' THEN 'NaN' WHEN 'twice' THEN '0' WHEN 'text' THEN printf('%.2f', CAST(conv_id % 100 AS DOUBLE) / 100) END AS threshold "
+    f"FROM (SELECT *, {_ODD} AS o FROM conversations)",
+)
+def _(spark, d):
+    item = F.concat(F.lit('{"task_id": "'), _KEY, F.lit('", "parameters": {"metric": 5, "metric": "'), F.col("role"), F.lit('", "threshold": @}}'))
+    out = insights.response_items(_odd_responses(spark, d, "subtasks", item), "response", "subtasks")
+    return out.select("conv_id", "turn", "is_fallback", "task_id", F.col("parameters")["metric"].alias("metric"), F.col("parameters")["threshold"].alias("threshold"))
+
+
 # --- contracts -----------------------------------------------------------------------------------
 _ITEM_SQL = "SELECT id, unnest(evidence) AS item, generate_subscripts(evidence, 1) - 1 AS pos FROM insights"
 _CONTRACT_PARTS = [

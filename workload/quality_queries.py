@@ -69,6 +69,58 @@ def _(spark, d):
     return rounded(out, 9, "cvr")
 
 
+@query(
+    "read_ads_headers",
+    t.ads_sql()
+    + "SELECT campaign_name, count(*) AS row_count, count(*) FILTER (WHERE clicks % 3 <> 2) AS with_adset, CAST(sum(spend) AS DOUBLE) AS spend, "
+    "CAST(sum(CASE WHEN clicks % 3 = 1 THEN 0 ELSE revenue END) AS DOUBLE) AS revenue, CAST(sum(clicks) AS BIGINT) AS clicks FROM ads GROUP BY 1",
+)
+def _(spark, d):
+    """One folder of CSV files with three column orders, two of which lack a column."""
+    facts = t.ads(spark, d, ["date", "campaign_name", "adset_name", "spend", "clicks", "revenue"])
+    folder = f"{staging_dir(spark)}/csv-{uuid.uuid4().hex}"
+    orders = (
+        ["date", "campaign_name", "adset_name", "spend", "clicks", "revenue"],
+        ["clicks", "adset_name", "spend", "campaign_name", "date"],
+        ["revenue", "spend", "campaign_name", "clicks"],
+    )
+    for kind, columns in enumerate(orders):
+        facts.where(f"clicks % 3 = {kind}").select(*columns).write.mode("append").option("header", True).csv(folder)
+    ads = source.read_ads(spark, folder)
+    return ads.groupBy("campaign_name").agg(
+        F.count("*").alias("row_count"), F.count("adset_name").alias("with_adset"), F.sum("spend").cast("double").alias("spend"),
+        F.sum("revenue").cast("double").alias("revenue"), F.sum("clicks").alias("clicks"),
+    )
+
+
+@query(
+    "read_ads_wide",
+    t.ads_sql()
+    + "SELECT campaign_name, count(*) FILTER (WHERE k = 0) AS huge, count(*) FILTER (WHERE k = 1) AS tiny, CAST(sum(CASE WHEN k > 1 THEN spend ELSE 0 END) AS DOUBLE) AS spend, "
+    "max(CASE WHEN k = 2 THEN CAST(9223372036854775808 AS DOUBLE) ELSE CAST(impressions AS DOUBLE) END) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks "
+    "FROM (SELECT *, impressions % 7 AS k FROM ads) GROUP BY 1",
+)
+def _(spark, d):
+    """Numbers that neither the decimal nor the whole number type can hold stay what they are."""
+    facts = t.ads(spark, d, ["campaign_name", "spend", "impressions", "clicks"]).withColumn("k", F.col("impressions") % 7)
+    text = facts.select(
+        "campaign_name",
+        F.expr("CASE k WHEN 0 THEN '1e30' WHEN 1 THEN '0.00000000001' ELSE cast(spend AS string) END").alias("spend"),
+        F.expr("CASE k WHEN 2 THEN '9223372036854775808' ELSE cast(impressions AS string) END").alias("impressions"),
+        "clicks",
+    )
+    folder = f"{staging_dir(spark)}/csv-{uuid.uuid4().hex}"
+    text.write.option("header", True).csv(folder)
+    ads = source.read_ads(spark, folder)
+    usual = ~F.col("spend").isin(1e30, 1e-11)
+    # exact again: the doubles stand for decimals of four places
+    spend = F.sum(F.when(usual, F.col("spend").cast("decimal(18,4)")).otherwise(F.lit(0).cast("decimal(18,4)"))).cast("double")
+    return ads.groupBy("campaign_name").agg(
+        F.count_if(F.col("spend") == 1e30).alias("huge"), F.count_if(F.col("spend") == 1e-11).alias("tiny"), spend.alias("spend"),
+        F.max("impressions").alias("impressions"), F.sum("clicks").alias("clicks"),
+    )
+
+
 @query("coerce_numeric", TEXT + f"SELECT row_key, {', '.join(_PARSED)} FROM text_ads")
 def _(spark, d):
     raw = t.text_ads(spark, d, ["row_key", *_LONGS, *_MONEY, "ctr", "roas"])
