@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adtide.plans.staging import settle
 from adtide.schema import (
     ADS_COLUMNS,
     RENAME_KEYWORD_SCORE,
@@ -131,6 +132,48 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
+#: Size of a stored distinct-count sketch (2 to this power registers) and the relative error its estimates keep to
+#: in all but very rare cases: three times 1.04 over the root of the number of registers.
+SKETCH_BITS = 12
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def profile_sketches(df: DataFrame, day: str = "date") -> DataFrame:
+    """Per day and column: (day, column_name, column_type, non_null_count, null_count, sketch), from one scan.
+
+    The sketch of distinct values has a bounded size and can be merged, so profiles of days add up
+    to the profile of any period without reading its rows again.
+    """
+    names = [c for c in df.columns if c != day]
+    aggs = []
+    for i, c in enumerate(names):
+        col = F.col(f"`{c}`").cast("string")
+        aggs += [F.count(col).alias(f"set_{i}"), F.count_if(col.isNull()).alias(f"null_{i}"), F.hll_sketch_agg(col, SKETCH_BITS).alias(f"sketch_{i}")]
+    rows = [
+        _named(
+            column_name=F.lit(c),
+            column_type=F.lit(df.schema[c].dataType.simpleString()),
+            non_null_count=F.col(f"set_{i}"),
+            null_count=F.col(f"null_{i}"),
+            sketch=F.col(f"sketch_{i}"),
+        )
+        for i, c in enumerate(names)
+    ]
+    return df.groupBy(F.col(f"`{day}`").cast("string").alias("day")).agg(*aggs).select("day", F.inline(F.array(*rows)))
+
+
+def merged_profile(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The column profile of the days in ``sketches``; distinct counts are within ``SKETCH_ERROR`` of the exact ones.
+    A column whose type changed has the types in order, joined by a bar."""
+    types = F.array_join(F.array_sort(F.collect_set("column_type")), "|")
+    return sketches.groupBy(*by, "column_name").agg(
+        types.alias("column_type"),
+        F.sum("non_null_count").alias("non_null_count"),
+        F.sum("null_count").alias("null_count"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_count"),
+    )
+
+
 # --- schema checks ----------------------------------------------------------------
 def missing_required_columns(df: DataFrame, rules: Rules = ADS_COLUMNS) -> list[str]:
     return [r.name for r in rules if r.required and r.name not in df.columns]
@@ -204,6 +247,50 @@ def rename_candidates(
     return known.agg(*best).select(F.inline(F.array(*rows))).where(F.col("candidate").isNotNull())
 
 
+def _grams(name: Column, q: int) -> Column:
+    """The q-grams of a name with marks at both ends, as hashes; one that comes again is told apart by its number."""
+    framed = F.concat(F.lit("\x01" * (q - 1)), name, F.lit("\x02" * (q - 1)))
+    grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.char_length(framed) - (q - 1)), lambda i: F.substring(framed, i, q)))
+    return F.transform(grams, lambda g, i: F.xxhash64(g, i - F.array_position(grams, g)))
+
+
+def similar_names(left: DataFrame, right: DataFrame, name: str = "name", min_similarity: float = 0.8, q: int = 2) -> DataFrame:
+    """All pairs of different names of two tables that are at least so similar (one minus the edit distance over
+    the longer length): (``left``, ``right``, distance, score).  Names are compared in lower case;
+    equal ones have distance 0.  For similarities over one half.
+
+    Names within so many edits share a number of q-grams that follows from their lengths, and so one of
+    the rarest few of each: only these are entered in the inverted lists, a list per gram and length of name, so
+    common grams hardly form lists.  Candidates are filtered by length and by the number of grams they
+    share before any edit distance is worked out, and that stops at the greatest distance allowed.
+    """
+    if not min_similarity > 0.5:
+        raise ValueError("similarities of one half or less leave names without a shared gram")
+    spare = f"cast(floor((1 - {min_similarity}D) * {{0}} + 1e-9) as int)"  # edits that a longer length allows
+    shared = f"{{0}} + {q - 1} - {q} * {spare}"  # grams that two names then share
+
+    def distinct(df: DataFrame, side: str) -> DataFrame:
+        known = df.select(F.lower(F.col(f"`{name}`").cast("string")).alias("name")).where(F.col("name").isNotNull()).distinct()
+        return known.select("name", F.char_length("name").alias("size"), _grams(F.col("name"), q).alias("grams"), F.lit(side).alias("side"))
+
+    names = settle(distinct(left, "l").unionByName(distinct(right, "r")))
+    each = names.select("name", "size", "side", F.explode("grams").alias("gram"))
+    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, "gram").groupBy("side", "name", "size").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("grams"))  # as long as a name
+    longest = f"cast(floor(size / {min_similarity}D + 1e-9) as int)"
+    least = f"array_min(transform(sequence(size, {longest}), m -> {shared.format('m')}))"
+    ranked = ranked.select("side", "name", "size", F.col("grams.gram").alias("grams"), F.expr(f"slice(grams.gram, 1, size(grams) - greatest({least}, 1) + 1)").alias("rare"))
+    entries = settle(ranked.select("*", F.explode("rare").alias("gram")))
+    left_, right_ = (entries.where(F.col("side") == side).select("gram", "size", *[F.col(c).alias(f"{c}_{side}") for c in ("name", "grams", "rare", "size")]) for side in ("l", "r"))
+    sizes = F.expr(f"sequence(cast(ceil(size_l * {min_similarity}D - 1e-9) as int), cast(floor(size_l / {min_similarity}D + 1e-9) as int))")
+    met = left_.withColumn("size", F.explode(sizes)).join(right_, ["gram", "size"])
+    met = met.where(F.array_intersect("rare_l", "rare_r")[0] == F.col("gram"))  # a pair counts in the rarest list it meets in
+    met = met.withColumn("longer", F.greatest("size_l", "size_r")).where(F.size(F.array_intersect("grams_l", "grams_r")) >= F.expr(shared.format("longer")))
+    near = met.withColumn("distance", F.expr(f"levenshtein(name_l, name_r, {spare.format('longer')})")).where("distance >= 0")
+    score = F.when(F.col("longer") == 0, F.lit(1.0)).otherwise(1 - F.col("distance") / F.col("longer"))
+    return near.select(F.col("name_l").alias("left"), F.col("name_r").alias("right"), "distance", score.alias("score"))
+
+
 def _type_fits(kind: str, actual: T.DataType) -> bool:
     if kind == "date":
         return isinstance(actual, (T.DateType, T.TimestampType, T.TimestampNTZType))

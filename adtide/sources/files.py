@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtide.operators.quality import column_profile
+from adtide.operators.quality import column_profile, profile_sketches
 from adtide.schema import CREATIVE_TYPE, INSIGHT_TYPE, LOG_SCHEMA
 
 
@@ -45,3 +45,14 @@ def write_report(sections: DataFrame, path: str, mode: str = "overwrite") -> Non
 def write_schema_snapshot(df: DataFrame, path: str, approx: bool = True, mode: str = "overwrite") -> None:
     """The table's column profile as JSON lines."""
     column_profile(df, approx).write.mode(mode).json(path)
+
+
+def write_profile_sketches(df: DataFrame, path: str, day: str = "date") -> None:
+    """Mergeable profiles of the table's days, a folder per day; days that are there already are replaced."""
+    sketches = profile_sketches(df, day)
+    sketches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def read_profile_sketches(spark: SparkSession, path: str) -> DataFrame:
+    kinds = "column_name string, column_type string, non_null_count bigint, null_count bigint, sketch binary, day string"
+    return spark.read.schema(kinds).parquet(path)

@@ -1,9 +1,12 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from adtide.operators import quality
 from adtide.schema import QualityLimits
+from adtide.sources import files
 from tests.frames import DAY, task_frame
 
 AS_OF = "2025-01-06 06:00:00"
@@ -94,3 +97,45 @@ def test_type_mismatches_on_text(spark):
     raw = spark.createDataFrame([("2025-01-01", "1", "x"), ("nope", "1.5e2", None), (None, "abc", "2")], "date string, spend string, clicks string")
     got = {r.column_name: r.bad_values for r in quality.type_mismatches(raw).collect()}
     assert got == {"date": 1, "spend": 1, "clicks": 1}
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [0.55, 0.8, 1.0])
+def test_similar_names_are_all_found(spark, least):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcä ") for _ in range(n))
+    left = [word(rng.randrange(12)) for _ in range(80)] + ["aaaaaaaa", "", None, "Sale Campaign", "sale campaign"]
+    right = [word(rng.randrange(12)) for _ in range(60)] + ["aaaaaaa", "aaaabaaaa", "", None, "SALE campaing", *left[:10]]
+    make = lambda names: spark.createDataFrame([(n, 1) for n in names], "name string, size int")
+    got = {(r.left, r.right): (r.distance, round(r.score, 9)) for r in quality.similar_names(make(left), make(right), min_similarity=least).collect()}
+    want = {}
+    for a in {n.lower() for n in left if n is not None}:
+        for b in {n.lower() for n in right if n is not None}:
+            longer, edits = max(len(a), len(b)), _distance(a, b)
+            if longer == 0 or edits <= (1 - least) * longer + 1e-9:
+                want[a, b] = (edits, round(1 - edits / longer if longer else 1.0, 9))
+    assert got == want
+    assert quality.similar_names(make([]), make(right)).count() == 0
+
+
+def test_profiles_of_days_merge(spark, tmp_path):
+    rows = [(f"2025-01-0{1 + k % 3}", k % 700, f"n{k % 40}" if k % 5 else None) for k in range(6000)]
+    df = spark.createDataFrame(rows, "date string, `a.b` int, s string")
+    path = str(tmp_path / "sketches")
+    files.write_profile_sketches(df.where("date < '2025-01-03'"), path)
+    files.write_profile_sketches(df.where("date >= '2025-01-02'"), path)  # one day twice
+    merged = {r.column_name: r for r in quality.merged_profile(files.read_profile_sketches(spark, path)).collect()}
+    whole = {r.column_name: r for r in quality.merged_profile(quality.profile_sketches(df)).collect()}
+    assert {c: tuple(r) for c, r in merged.items()} == {c: tuple(r) for c, r in whole.items()}
+    assert (merged["s"].non_null_count, merged["s"].null_count, merged["s"].unique_count) == (4800, 1200, 32)
+    assert abs(merged["a.b"].unique_count - 700) <= quality.SKETCH_ERROR * 700
+    first = quality.merged_profile(quality.profile_sketches(df), ["day"]).where("day = '2025-01-01' and column_name = 's'").first()
+    assert first.non_null_count + first.null_count == 2000

@@ -10,8 +10,9 @@ from adtide.operators import quality
 from adtide.plans.staging import staging_dir
 from adtide.schema import RENAME_KEYWORDS
 from adtide.sources import ads as source
+from adtide.sources import files
 from workload import tables as t
-from workload.registry import day, query, rounded
+from workload.registry import ORACLE, day, query, rounded
 
 TEXT = t.text_ads_sql()
 
@@ -416,3 +417,50 @@ def _(spark, d):
         .unionByName(t.table(spark, d, "customer").selectExpr("c_mktsegment AS column_name"))
     )
     return rounded(quality.rename_candidates(names, expected=_EXPECTED), 9, "score")
+
+
+_NAME = "concat(p_name, ' ', p_brand, ' ', p_type)"
+_TYPED = "CASE p_partkey % 4 WHEN 0 THEN concat(substr(p_name, 1, 3), substr(p_name, 5), ' ', lower(p_brand), ' ', p_type) WHEN 1 THEN concat(p_type, ' ', p_name, ' ', p_brand) " \
+    "WHEN 2 THEN concat(p_name, 's  ', replace(p_brand, '#', '-'), ' ', substr(p_type, 1, 4)) ELSE concat(p_name, p_brand, ' ', upper(p_type)) END"
+
+
+@query(
+    "similar_campaign_names",
+    f"WITH l AS (SELECT DISTINCT lower({_NAME}) AS a FROM part), r AS (SELECT DISTINCT lower({_TYPED}) AS b FROM part) "
+    "SELECT a AS \"left\", b AS \"right\", CAST(levenshtein(a, b) AS INTEGER) AS distance, round(1 - CAST(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b)), 9) AS score "
+    "FROM l, r WHERE 1 - CAST(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b)) >= 0.8 - 1e-9",
+)
+def _(spark, d):
+    """Campaign names against names typed by hand: all pairs at least 0.8 alike."""
+    part = t.table(spark, d, "part")
+    out = quality.similar_names(part.selectExpr(f"{_NAME} AS name"), part.selectExpr(f"{_TYPED} AS name"))
+    return rounded(out, 9, "score")
+
+
+@query("schema_snapshot", ORACLE["column_profile"])
+def _(spark, d):
+    """The profile written as JSON lines and read back."""
+    path = f"{staging_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    files.write_schema_snapshot(t.ads(spark, d, **{c: GAPS[c] for c in ("country", "roas", "platform")}), path, approx=False)
+    return spark.read.schema("column_name string, column_type string, non_null_count bigint, null_count bigint, unique_count bigint").json(path)
+
+
+_SKETCHED = ("campaign_name", "adset_name", "spend", "clicks", "country")
+
+
+@query(
+    "profile_sketches_merged",
+    t.ads_sql(**{"country": GAPS["country"]})
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS non_null_count, count(*) - count({c}) AS null_count, true AS within_error FROM ads" for c in _SKETCHED),
+)
+def _(spark, d):
+    """Sketches of days stored in two parts, merged: counts are exact, distinct counts within the stated error."""
+    path = f"{staging_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    facts = t.ads(spark, d, ["date", *_SKETCHED], country=GAPS["country"])
+    month = facts.withColumn("date", F.trunc("date", "month"))
+    files.write_profile_sketches(month.where("date < '1995-01-01'"), path)
+    files.write_profile_sketches(month.where("date >= '1995-01-01' or date is null"), path)
+    merged = quality.merged_profile(files.read_profile_sketches(spark, path))
+    exact = quality.column_profile(facts.drop("date")).select("column_name", F.col("unique_count").alias("exact"))
+    within = F.abs(F.col("unique_count") - F.col("exact")) <= F.lit(quality.SKETCH_ERROR) * F.col("exact")
+    return merged.join(exact, "column_name").select("column_name", "non_null_count", "null_count", within.alias("within_error"))
