@@ -52,6 +52,21 @@ def test_edges(documents):
     assert packing.pack_documents(documents([]), queries.tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("run", ["a" + " " * 1_000_000, "\n" * 1_000_000, " \t" * 500_000 + "x", "q" * 300_000, " " * packing.LONG_SPACE + "end", "x" + "\u3000" * 20_000 + "y z"])
+def test_very_long_runs(documents, run):
+    rows = packing.pack_documents(documents([(1, run), (2, "other")]), queries.tokenizer_path()).collect()
+    check(rows, {1: run, 2: "other"})
+
+
+def test_exchange_reaches_the_bound_of_the_whole(spark):
+    sizes = np.random.default_rng(5).integers(1, 700, 4000)
+    table = spark.createDataFrame([(int(n), int(n), 0, 0, int(s), 0) for n, s in enumerate(sizes)], packing.PIECES)
+    got = packing.pack(table, group=200).collect()
+    used = len({r.sequence_id for r in got})
+    assert {r.least_sequences for r in got} == {packing.lower_bound(sizes)}
+    assert packing.lower_bound(sizes) <= used <= len(set(packing.best_fit(sizes).tolist())) + 1
+
+
 def test_exchange_between_groups(spark):
     sizes = np.random.default_rng(3).integers(1, 1024, 600)
     rows = [(int(n), int(n), 0, 0, int(s), 0) for n, s in enumerate(sizes)]
