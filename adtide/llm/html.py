@@ -9,8 +9,9 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adtide.llm.staging import settle, ship
 
@@ -35,12 +36,21 @@ MAIN_WORDS = re.compile(r"(^|[^a-z])(article|post|entry|story|main|content)([^a-
 TEMPLATE_SHARE = 0.5
 TEMPLATE_PAGES = 2
 CLASS_WORDS = 3
+#: A template text in a container that also holds texts of single pages stands on so many pages at least, which
+#: have so many words of their own there for each of its words.
+BESIDE_PAGES = 5
+OWN_BESIDE = 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[\u3040-\u9fff\uac00-\ud7af]|[^\W\u3040-\u9fff\uac00-\ud7af]+")
 _WITH = re.compile(r"\b(has|with|without|no|is)-[\w-]+")
+#: Words that also inside of a main part name what is no text of it; others there may well name sections of an article.
+_NOT_OF_MAIN = re.compile(
+    r"(^|[^a-z])(ad|ads|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumb\w*|sidebar|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|signup|login"
+    r"|share|sharing|comments?|disqus|pagination|pager|toolbar)([^a-z]|$)"
+)
 _NO_ARTICLE = re.compile(r"(^|[^a-z])(ad|ads|advert\w*|sponsor\w*|promo\w*|comment\w*|reply|related|teaser)([^a-z]|$)")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 
@@ -52,9 +62,10 @@ def _mark(name: str, names: str, stack: list[str]) -> str:
     names = _WITH.sub("", names)
     if name in MAIN:
         return "-" if _NO_ARTICLE.search(names) else "+"
-    if OUTSIDE_WORDS.search(names):
+    inside = any(s[0] == "+" for s in stack)
+    if (_NOT_OF_MAIN if inside else OUTSIDE_WORDS).search(names):
         return "-"
-    if name == "header" and any(s[0] == "+" for s in stack):
+    if name == "header" and inside:
         return ""  # it heads the article
     return "-" if name in OUTSIDE else "+" if MAIN_WORDS.search(names) else ""
 
@@ -122,14 +133,14 @@ def blocks(page: str) -> Iterator[tuple[str, str]]:
                 tags.append(name)
                 stack.append(mark + name + ("." + names.replace(" ", ".") if names else ""))
             path = ">".join(stack)
-        elif name in BLOCKS and names and OUTSIDE_WORDS.search(_WITH.sub("", names)):
+        elif name in BLOCKS and names and (_NOT_OF_MAIN if any(s[0] == "+" for s in stack) else OUTSIDE_WORDS).search(_WITH.sub("", names)):
             own = f">-{name}"  # this block alone
     if out := flush():
         yield path + own, out
 
 
 def _host(url: str) -> Column:
-    return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
+    return F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
 def _hash(text: str) -> int:
@@ -208,17 +219,21 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
     Hosts of one different page are taken together with those of the same
     layout (set of container paths), and "host" means this group below.  A token's occurrence vector says how often it stands on each page of the
     host.  Tokens with equal vectors form an equivalence class; vectors are
-    compared by a sum of page hashes times counts, so a class is a group of an
+    compared by two hashes of all pages and counts, so a class is a group of an
     aggregate and no vector is ever built.  A class is valid if it has enough
     words, stands on enough different pages, has its tokens in one order on all
     of them, and is nested: where two classes meet, one stands in the same gap of
     the other each time; else the rarer, then smaller one is left out.  Valid
     classes make up the template; what it does not hold are its slots.
 
-    Names only break ties: a class on two pages may be a quoted passage as well
-    as a template, so there its texts inside of a main part are not taken.
     Every page of every host is counted.  Pages with one main text (copies)
-    count once.
+    count once.  Near copies would make a template of the article they share, so a text
+    is template only if the pages it stands on have as many words in texts of
+    their own (that no other page of the host has) in all, and if its own container holds
+    such texts, ``OWN_BESIDE`` times as many there on ``BESIDE_PAGES`` pages.  Inside of an article no text is template; in
+    another main part only one that all pages have, of three on.  The number of a
+    host's template texts is at most about twice the mean number of texts on its
+    pages, as each stands on half of them.
     """
     rows = settle(_tokens(pages, url, page), "pages")
     groups = rows.groupBy("host").agg(F.count(F.lit(1)).alias("all"), F.min("layout").alias("layout"))
@@ -227,11 +242,20 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
     rows = rows.join(groups, "host").select(F.col("group").alias("host"), "alone", "page", "tokens", "seq")
     mirrors = rows.filter("alone").groupBy("host", "page").agg(F.min(F.struct("tokens", "seq")).alias("one")).select("host", "page", "one.*")
     rows = settle(rows.filter("not alone").select("host", "page", "tokens", "seq").unionByName(mirrors), "grouped-pages")
-    number = rows.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     each = rows.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
-    vector = F.sum(F.xxhash64("page").bitwiseAND(F.lit((1 << 40) - 1)) * F.col("times"))
-    seen = each.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.max("words").alias("words"), vector.alias("vector")).filter(F.col("pages") >= TEMPLATE_PAGES)
-    often = settle(seen.join(number, "host").filter(F.col("pages") >= TEMPLATE_SHARE * F.col("all")).drop("all"), "tokens")
+    number = rows.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    marks = [F.bit_xor(F.xxhash64("page", "times", F.lit(n))).alias(f"mark{n}") for n in (1, 2)]
+    seen = settle(each.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.max("words").alias("words"), F.sum(F.col("words") * F.col("times")).alias("sum"), F.min("page").alias("page"), *marks), "page-tokens")
+    path = F.regexp_replace("token", r"\|[^|]*$", "")
+    alone = seen.filter((F.col("pages") == 1) & ~F.col("token").rlike(r"(^|>)-")).groupBy("host", "page", path.alias("path")).agg(F.sum("sum").alias("own"))
+    alone = settle(alone.withColumn("any", F.sum("own").over(Window.partitionBy("host", "page"))), "own-words")  # a row per container of a page
+    often = seen.filter(F.col("pages") >= TEMPLATE_PAGES).join(number, "host").filter(F.col("pages") >= TEMPLATE_SHARE * F.col("all"))
+    often = settle(often.select("host", "token", "pages", "words", (F.col("pages") == F.col("all")).alias("everywhere"), F.xxhash64("mark1", "mark2").alias("vector")), "often")
+    own = each.select("host", "page", "token").join(often.select("host", "token"), ["host", "token"]).withColumn("path", path)
+    around = own.join(alone.select("host", "page", "path", "own"), ["host", "page", "path"], "left").join(alone.groupBy("host", "page").agg(F.max("any").alias("any")), ["host", "page"], "left")
+    around = around.groupBy("host", "token").agg(F.coalesce(F.sum("own"), F.lit(0)).alias("beside"), F.coalesce(F.sum("any"), F.lit(0)).alias("around"))
+    mixed = (F.col("beside") > 0) & ((F.col("pages") < BESIDE_PAGES) | (F.col("beside") < OWN_BESIDE * F.col("words")))
+    often = settle(often.join(around, ["host", "token"]).filter((F.col("around") >= F.col("words")) & ~mixed), "tokens")
     sizes = often.groupBy("host", "vector").agg(F.max("pages").alias("support"), F.sum("words").alias("size")).filter(F.col("size") >= CLASS_WORDS)
     classes = settle(often.join(sizes, ["host", "vector"]), "classes")
     places = _places(rows, classes).groupBy("host", "a", "b").agg(*[f(c).alias(f"{n}_{c}") for c in ("low", "high") for n, f in (("min", F.min), ("max", F.max))])
@@ -242,23 +266,21 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
     pairs = pairs.select("host", F.least("rank_a", "rank_b").alias("less"), F.greatest("rank_a", "rank_b").alias("more"), "steady")
     crossed = pairs.groupBy("host", "less", "more").agg(F.max("steady").alias("nested")).filter(~F.col("nested")).select("host", F.col("less.vector").alias("vector")).distinct()
     valid = ordered.select("host", "vector").join(crossed, ["host", "vector"], "left_anti")
-    sure = (F.col("pages") > 2) | ~F.col("token").rlike(r"(^|>)\+")
+    article, main = (F.col("token").rlike(r"(^|>)\+" + part) for part in (r"article[.>|]", ""))
+    sure = ~main | (~article & F.col("everywhere") & (F.col("pages") > 2))
     fixed = classes.join(valid, ["host", "vector"]).filter(sure).groupBy("host").agg(F.collect_set("token").alias("fixed"))
     return groups.join(settle(fixed, "fixed").withColumnRenamed("host", "group"), "group").select("host", "fixed")
 
 
-def main_text(page: str, fixed: frozenset[str] | set[str], deduced: bool | None) -> str:
+def main_text(page: str, fixed: frozenset[str] | set[str]) -> str:
     """Blocks of the page's main slots, joined by line breaks.
 
-    With a template ``deduced``, main is every slot it leaves that is not outside
-    by name: all containers with text of their own, on pages of other layouts of
-    the host too.  Without one, names decide: the parts marked as main, or else
-    all that is not outside.
+    What the template ``fixed`` leaves are slots.  Where the page has a main part,
+    its slots are the main text; else all that are not outside by name.
     """
     found = [(p, t) for p, t in blocks(page) if "-" not in _marks(p)]
     found = [(p, t) for p, t in found if not fixed or f"{p}|{_text_token(t)}" not in fixed]
-    main = [] if deduced else [t for p, t in found if "+" in _marks(p)]
-    return "\n".join(main or [t for _, t in found])
+    return "\n".join([t for p, t in found if "+" in _marks(p)] or [t for _, t in found])
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -268,21 +290,19 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     pages of a host with a third of all rows are split by adaptive execution or
     not moved at all.  A null or empty page has an empty text; pages with a null
     or odd url share the template of the host ``''``; repeated rows get equal
-    results; an empty table stays empty.
+    results; an empty table stays empty.  The row travels as one struct, so no name can clash.
     """
     ship(pages.sparkSession)
-    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     table = settle(templates(pages, url, page), "templates")
-    rows = pages.select(*kept, _host(url).alias("host_")).join(table.withColumnRenamed("host", "host_"), "host_", "left")
-    rows = rows.select(*kept, F.col(page).alias("html_"), "fixed")
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("doc"), _host(url).alias("host")).join(table, "host", "left").select("doc", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body, fixed = (batch.column(batch.num_columns - n).to_pylist() for n in (2, 1))
-            texts = [main_text(b, set(f or ()), bool(f)) if b else "" for b, f in zip(body, fixed, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64(), size=len(texts))], names=[*batch.schema.names[:-2], "text", "n_chars"]
-            )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema.fields)
-    return rows.mapInArrow(run, f"{fields}, text string, n_chars long")
+            bodies, fixed = batch.column(0).field(page), batch.column(1)
+            texts = [main_text(bodies[i].as_py() or "", frozenset(fixed[i].as_py() or ())) for i in range(batch.num_rows)]
+            columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64(), size=len(texts))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "text", "n_chars"])
+
+    schema = T.StructType([rows.schema["doc"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    found = rows.mapInArrow(run, schema)
+    return found.select(*[F.col("doc")[c].alias(c) for c in pages.columns if c not in ("text", "n_chars")], "text", "n_chars")

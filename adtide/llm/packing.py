@@ -212,14 +212,16 @@ def pack(table: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
     return short_rows.unionByName(full_rows).drop("tie").withColumn("least_sequences", F.lit(bound + whole).cast("long"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Pack whole documents; one row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, least_sequences``.
+def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_bound: bool = False) -> DataFrame:
+    """Pack whole documents; one row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``,
+    and ``least_sequences`` if asked for.
 
     A null text is empty and still has its end id; a null key stays null;
     repeated rows are packed one by one; an empty table gives no rows; other
     columns are ignored.  A document longer than a sequence is cut into whole
     sequences, its first piece taking the rest.
     """
+    more = ["least_sequences"] if with_bound else []
     return pack(pieces(docs, tokenizer, key, text, length), length).select(
-        F.col("doc_id").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "least_sequences"
+        F.col("doc_id").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *more
     )

@@ -85,7 +85,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), with_bound=True)
 
 
 @_query

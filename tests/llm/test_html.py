@@ -18,7 +18,7 @@ def test_query_equals_article(spark, sf_dir):
 
 
 def one(page):
-    return html.main_text(page, set(), None)
+    return html.main_text(page, set())
 
 
 def test_parts_that_are_left_out():
@@ -80,3 +80,57 @@ def test_templates_of_few_pages_and_of_layouts(spark):
     assert [got[n] for n in (0, 1, 10, 11, 12)] == [f"Own words {n} of page {n}" for n in (0, 1, 10, 11, 12)]
     assert got[20] == "Quoted by both of these pages\nPage 0"  # two pages tell no quote from a template: the name does
     assert got[30] == got[31] == "Read our house rules before you write"
+
+
+def texts(spark, rows):
+    pages = spark.createDataFrame([(n, u, h, "x", "y", "z") for n, u, h in rows], "page_id long, url string, html string, fixed string, host_ string, doc string")
+    out = html.extract(pages)
+    assert out.columns == [*pages.columns, "text", "n_chars"] and out.select("fixed", "host_", "doc").distinct().count() == 1
+    return {r.page_id: r.text for r in out.collect()}
+
+
+def words(seed, n=30):
+    return " ".join(f"{seed}{k}" for k in range(n))
+
+
+def test_revisions_of_one_article_stay_whole(spark):
+    def pages(first, host, frame):
+        parts = [[words("a"), words("b"), words("c"), words(f"changed{r}-")] for r in range(3)]
+        return [(first + r, f"http://{host}/{r}", frame.format("".join(f"<p>{x}</p>" for x in parts[r]))) for r in range(3)], parts
+
+    rows, want = [], {}
+    frames = ("<article>{}</article>", "<main>{}</main>", "<div class=box9>{}</div>", "<body>{}</body>")
+    for n, frame in enumerate(frames):
+        made, parts = pages(10 * n, f"h{n}.example", frame)
+        rows += made
+        want |= {10 * n + r: "\n".join(parts[r]) for r in range(3)}
+    rows += [(100 + r, "http://two.example/", f"<div><p>{words('a')}</p><p>{words('b')}</p><p>new {r}</p></div>") for r in range(2)]
+    want |= {100 + r: f"{words('a')}\n{words('b')}\nnew {r}" for r in range(2)}
+    rows += [(110 + r, "http://dates.example/", f"<div class=when>Day {r}</div><div class=what><p>{words('a')}</p><p>{words('b')}</p></div>") for r in range(2)]
+    want |= {110 + r: f"Day {r}\n{words('a')}\n{words('b')}" for r in range(2)}
+    assert texts(spark, rows) == want
+
+
+def test_main_parts_keep_adverts_out_and_sections_in(spark):
+    body = "<div>Menu of this little site</div><div class=box9>Buy {0} good things now</div><article><p>Common opening of the whole series</p><p>Part {0} {1}</p></article>"
+    rows = [(n, f"http://h.example/{n}", body.format(n, words(f"w{n}-"))) for n in range(6)]
+    paper = "<article><section id=related-work><p>Others did this</p></section><section id=discussion><p>We think so</p></section><div class=social><p>On social life</p></div><div class=ad>Buy</div></article>"
+    rows += [(50, "http://paper.example/", paper)]
+    want = {n: f"Common opening of the whole series\nPart {n} {words(f'w{n}-')}" for n in range(6)}
+    assert texts(spark, rows) == want | {50: "Others did this\nWe think so\nOn social life"}
+
+
+def test_pages_that_only_the_template_solves(spark):
+    """No name tells anything: containers are numbered, and numbers mean other parts on other hosts."""
+    rows, want = [], {}
+    for h in range(4):
+        order = [f"<div class=c{(k + h) % 4}>{{{k}}}</div>" for k in range(4)]
+        for n in range(8):
+            story = f"{words(f's{h}-{n}-')}"
+            parts = [f"Welcome to house number {h} here", f"<p>{story}</p><p>End {h} {n}</p>", f"Written for you by host {h}", f"All rights stay with {h} forever"]
+            turn = h % 2 * 2
+            rows.append((100 * h + n, f"http://h{h}.example/{n}", "".join(order[(k + turn) % 4] for k in range(4)).format(*parts)))
+            want[100 * h + n] = f"{story}\nEnd {h} {n}"
+    assert texts(spark, rows) == want
+    one_page_each = [(n, f"http://single{n}.example/", h) for n, _, h in rows if n < 4]  # the same layout on hosts of one page
+    assert texts(spark, one_page_each) == {n: want[n] for n in range(4)}
