@@ -20,9 +20,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told (operator 3); those without a
     letter, or with no text, are rejected.  A missing ``lang`` is filled in."""
-    found = language.identify(docs, docs.filter(~held_out()))
-    found = found.filter(F.col("lang_pred") != language.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    # the other columns under names that the operator's own cannot clash with
+    others = {c: f"column_{n}" for n, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
+    named = docs.select("doc_id", "text", "lang", *[F.col(f"`{c}`").alias(v) for c, v in others.items()])
+    found = language.identify(named, docs.filter(~held_out())).filter(F.col("lang_pred") != language.UNKNOWN)
+    found = found.withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return found.select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
 
 
 def leave_out_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
