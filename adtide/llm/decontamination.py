@@ -83,7 +83,9 @@ def contaminated(
     Words are lower-case runs of letters and digits.  An item of fewer than
     ``words`` words is one shingle of its own length, searched among the
     documents' shingles of that length.  Null or empty texts hold nothing and
-    are held by nothing.  Rows with equal key and equal text count once; a null
+    are held by nothing.  Rows with equal key and equal text count once; of rows with
+    equal key and different texts, documents or items, each is held against the others by itself and the pair
+    of keys has the numbers of the pair of texts with the highest containment (then most shared shingles); a null
     key is kept as null.  Empty tables give no rows; other columns are ignored.
     """
     table = settle(signatures(items, item_key, item_text, words), "items")
@@ -122,8 +124,8 @@ def contaminated(
         out = out.union(more)
     share = F.col("n_shared") / F.col("size")
     return out.filter(F.col("n_shared") >= F.ceil(F.lit(containment) * F.col("size") - 1e-9)).groupBy("doc", "item").agg(
-        F.max("size").cast("long").alias("n_item"), F.max("n_shared").alias("n_shared"), F.max(share).alias("containment")
-    ).withColumnsRenamed({"doc": key, "item": item_key})
+        F.max(F.struct(share.alias("containment"), "n_shared", F.col("size").cast("long").alias("n_item"))).alias("best")
+    ).select(F.col("doc").alias(key), F.col("item").alias(item_key), "best.n_item", "best.n_shared", "best.containment")
 
 
 def _empty(docs: DataFrame, items: DataFrame, key: str, item_key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adtide.llm.spans import SPAN, bound, found
+from adtide.llm.spans import SPAN, bound, found, free_name
 from adtide.llm.staging import settle
 
 #: Fixed patterns.  Possessive runs and look-behinds only save backtracking; the matches are those of the plain forms.
@@ -51,10 +51,11 @@ def find_base(docs: DataFrame, text: str = "text", prefix: str = "pii_") -> Data
 
     A null text counts as empty.  One projection without a shuffle.
     """
-    body = docs.withColumn("pii_text", F.coalesce(F.col(text), F.lit("")))
-    parts = _base("pii_text")
+    own = free_name("pii_text", docs.columns)
+    body = docs.withColumn(own, F.coalesce(F.col(text), F.lit("")))
+    parts = _base(own)
     body = body.withColumns({prefix + k: col for k, (col, _) in parts.items()})
-    return body.withColumns({prefix + k: F.expr(f"filter({prefix}{k}, x -> {keep})") for k, (_, keep) in parts.items()}).drop("pii_text")
+    return body.withColumns({prefix + k: F.expr(f"filter({prefix}{k}, x -> {keep})") for k, (_, keep) in parts.items()}).drop(own)
 
 
 def _occurrences(docs: DataFrame, text: str) -> DataFrame:
@@ -119,9 +120,10 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     replaced, others stay.  Equal texts (repeated rows among them) get equal
     spans; an empty table stays empty.
     """
+    mine, other = free_name("pii_doc_own", docs.columns), free_name("pii_doc", docs.columns)
     extra = discover(docs, text).distinct().groupBy("doc").agg(
         *[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("a", "b", "m")))).alias("pii_more_" + k) for k in KINDS]
-    ).withColumnRenamed("doc", "pii_doc")
-    base = find_base(docs.drop(*["pii_more_" + k for k in KINDS]), text).withColumn("pii_doc_own", F.xxhash64(text))
-    both = base.join(extra, F.col("pii_doc_own") == F.col("pii_doc"), "left").drop("pii_doc", "pii_doc_own")
+    ).withColumnRenamed("doc", other)
+    base = find_base(docs.drop(*["pii_more_" + k for k in KINDS]), text).withColumn(mine, F.xxhash64(text))
+    both = base.join(extra, F.col(mine) == F.col(other), "left").drop(mine, other)
     return both.withColumns({"pii_more_" + k: F.coalesce("pii_more_" + k, F.expr(f"cast(array() as array<{SPAN}>)")) for k in KINDS})

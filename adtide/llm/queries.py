@@ -44,15 +44,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op6_decontamination"] = r"""
-WITH item_words AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL),
-item_grams AS (SELECT DISTINCT item_id, width, array_to_string(w[i:i + width - 1], ' ') AS g
-  FROM (SELECT item_id, w, least(len(w), 5) AS width, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM item_words WHERE len(w) > 0)),
-sizes AS (SELECT item_id, count(*) AS n_item FROM item_grams GROUP BY item_id),
-doc_words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
-doc_grams AS (SELECT DISTINCT doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS g
-  FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM doc_words, (SELECT DISTINCT width FROM item_grams) WHERE len(w) >= width)),
-shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_grams JOIN item_grams USING (width, g) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM shared JOIN sizes USING (item_id) WHERE n_shared >= ceil(0.8 * n_item - 1e-9)
+WITH item_words AS (SELECT row_number() OVER () AS item_row, item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+item_grams AS (SELECT DISTINCT item_row, item_id, width, array_to_string(w[i:i + width - 1], ' ') AS g
+  FROM (SELECT item_row, item_id, w, least(len(w), 5) AS width, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM item_words WHERE len(w) > 0)),
+sizes AS (SELECT item_row, count(*) AS n_item FROM item_grams GROUP BY item_row),
+doc_words AS (SELECT row_number() OVER () AS doc_row, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+doc_grams AS (SELECT DISTINCT doc_row, doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS g
+  FROM (SELECT doc_row, doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM doc_words, (SELECT DISTINCT width FROM item_grams) WHERE len(w) >= width)),
+shared AS (SELECT doc_row, doc_id, item_row, item_id, count(*) AS n_shared FROM doc_grams JOIN item_grams USING (width, g) GROUP BY doc_row, doc_id, item_row, item_id)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM shared JOIN sizes USING (item_row) WHERE n_shared >= ceil(0.8 * n_item - 1e-9)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_shared / n_item DESC, n_shared DESC, n_item DESC) = 1
 """
 
 

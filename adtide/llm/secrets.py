@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adtide.llm.spans import SPAN, bound, found
+from adtide.llm.spans import SPAN, bound, found, free_name
 
 #: Fixed patterns.  A run that ends a pattern is possessive, so long runs need no stack; matches are the same.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["\x27]?\x20*[:=]\x20*["\x27]?[A-Za-z0-9+/_.=-]++"""
@@ -76,17 +76,18 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     A column of ``docs`` named as one of the four is replaced.  Repeated rows
     give the same spans each; an empty table stays empty.
     """
-    body = docs.withColumn("secret_text", F.coalesce(F.col(text), F.lit("")))
-    low = "secret_text rlike '(?i)(?:pass|secret|token|api_?key)'"
+    own = free_name("secret_text", docs.columns)
+    body = docs.withColumn(own, F.coalesce(F.col(text), F.lit("")))
+    low = f"{own} rlike '(?i)(?:pass|secret|token|api_?key)'"
     value = f"length(regexp_extract(x.m, {_sql(ASSIGN_VALUE)}, 1)) >= 8"
     spans = body.withColumns({
-        "secret_assign": found("secret_text", ASSIGN, low),
-        "secret_access": found("secret_text", ACCESS, "contains(secret_text, 'AKIA')"),
-        "secret_hex": found("secret_text", HEX),
-        "secret_entropy": found("secret_text", TOKEN),
+        "secret_assign": found(own, ASSIGN, low),
+        "secret_access": found(own, ACCESS, f"contains({own}, 'AKIA')"),
+        "secret_hex": found(own, HEX),
+        "secret_entropy": found(own, TOKEN),
     }).withColumn("secret_assign", F.expr(f"filter(secret_assign, x -> {value})"))
     taken = "concat(secret_assign, secret_access, secret_hex)"
-    return spans.withColumn("secret_entropy", _entropy_spans("secret_entropy", taken)).drop("secret_text")
+    return spans.withColumn("secret_entropy", _entropy_spans("secret_entropy", taken)).drop(own)
 
 
 def _sql(pattern: str) -> str:
@@ -108,18 +109,21 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", n_chars:
     is set to its new length.
     """
     columns = docs.columns
-    marked = find_secrets(docs, text)
+    # the row travels as one struct, so no column can clash with the spans
+    marked = find_secrets(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text")), "text")
     spans = "array_sort(concat(secret_assign, secret_access, secret_hex, secret_entropy))"
     # walk the spans by start: copy the text before each, skip what a former span has covered
     walk = f"""aggregate({spans}, named_struct('at', 0, 'out', ''), (s, x) -> if(x.a < s.at,
         named_struct('at', greatest(s.at, x.b), 'out', s.out),
-        named_struct('at', x.b, 'out', concat(s.out, substring({text}, s.at + 1, x.a - s.at), '{mask}'))),
-      s -> concat(s.out, substring({text}, s.at + 1)))"""
-    any_ = "size(secret_assign) + size(secret_access) + size(secret_hex) + size(secret_entropy) > 0"
-    out = marked.withColumn("secret_new", F.expr(f"if({any_}, {walk}, {text})"))
+        named_struct('at', x.b, 'out', concat(s.out, substring(text, s.at + 1, x.a - s.at), '{mask}'))),
+      s -> concat(s.out, substring(text, s.at + 1)))"""
+    any_ = F.expr("size(secret_assign) + size(secret_access) + size(secret_hex) + size(secret_entropy) > 0")
+    out = marked.select("row", any_.alias("any"), F.when(any_, F.expr(walk)).otherwise(F.col("text")).alias("new"))
+    changed = {text: F.col("new")}
     if n_chars in columns:
-        out = out.withColumn(n_chars, F.expr(f"if({any_}, cast(length(secret_new) as long), {n_chars})"))
-    return out.withColumn(text, F.col("secret_new")).select(*columns)
+        kind = docs.schema[n_chars].dataType
+        changed[n_chars] = F.when(F.col("any"), F.char_length("new").cast(kind)).otherwise(F.col("row")[n_chars])
+    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in columns])
 
 
 __all__ = ["KINDS", "SPAN", "find_secrets", "redact", "spans_text", "window_entropy"]

@@ -37,3 +37,11 @@ def found(text: str, pattern: str, hint: str = "true") -> Column:
         if(x.`1` is null, s.out, concat(s.out, array(named_struct('a', {at}, 'b', {at} + length(x.`1`), 'm', x.`1`))))),
       s -> s.out)"""
     return F.expr(f"case when ({hint}) and {text} rlike {p} then {walk} else cast(array() as array<{SPAN}>) end")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with marks at its end until no column of ``taken`` has it (in any case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

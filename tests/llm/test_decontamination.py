@@ -38,3 +38,16 @@ def test_empty(spark, documents):
     docs = documents([(1, ITEM)])
     assert decontamination.contaminated(docs, items(spark, [])).count() == 0
     assert decontamination.contaminated(documents([]), items(spark, [(1, ITEM)])).count() == 0
+
+
+def test_repeated_keys_with_other_texts_equal_sql(spark, documents):
+    other = " ".join(f"x{n}" for n in range(8))
+    docs = documents([(1, ITEM), (1, other), (2, f"{ITEM} {other}"), (3, other)])
+    bench = items(spark, [(1, ITEM), (1, other), (1, f"{ITEM} {other}"), (2, f"{other} more")])
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.toPandas())
+    twin = con.sql(queries.ORACLE["op6_decontamination"])
+    got = sorted(tuple(r[c] for c in twin.columns) for r in decontamination.contaminated(docs, bench).collect())
+    assert got == sorted(twin.fetchall())
+    assert [(d, i, n, m) for d, i, n, m, _ in got] == [(1, 1, 6, 6), (1, 2, 5, 4), (2, 1, 14, 14), (2, 2, 5, 4), (3, 1, 4, 4), (3, 2, 5, 4)]

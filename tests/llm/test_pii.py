@@ -69,3 +69,9 @@ def test_rounds_go_on_until_nothing_is_new(documents):
             at += 1
     found = {r.doc_id: [s.m for s in r.pii_more_phone] for r in pii.find_pii(documents(rows)).collect()}
     assert all(found[n] == [f"(310) 555-{n:04d}"] for n in range(125, at))
+
+
+def test_columns_with_the_operators_names(spark):
+    docs = spark.createDataFrame([(1, "me@x.org", "a", "b", "c")], "doc_id long, text string, pii_text string, pii_doc string, pii_doc_own string")
+    row = pii.find_pii(docs).first()
+    assert (row.pii_text, row.pii_doc, row.pii_doc_own) == ("a", "b", "c") and row.pii_email[0].m == "me@x.org"

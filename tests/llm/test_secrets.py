@@ -58,3 +58,11 @@ def test_redact_masks_and_keeps(spark):
     got = [tuple(r) for r in secrets.redact(docs).orderBy("doc_id", "n_chars").collect()]
     assert got == [(1, "clean", 5), (1, 'x [SECRET]" y', 13), (2, None, None)]
     assert secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_columns_with_the_operators_names(spark):
+    text = 'token = "0123456789abcdef0123" x'
+    docs = spark.createDataFrame([(1, text, "a", "b", 5, "c")], "doc_id long, text string, secret_text string, secret_assign string, n_chars int, row string")
+    assert secrets.find_secrets(docs).first().secret_text == "a"
+    row = secrets.redact(docs).first()
+    assert (row.secret_text, row.secret_assign, row.row) == ("a", "b", "c") and row.text == "[SECRET]\" x" and row.n_chars == len(row.text)
