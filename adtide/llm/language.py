@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtide.llm.staging import settle, ship
+from adtide.llm.staging import hold, settle, ship
 
 #: Bound of the fitted sample: of each language at most so many texts (one per cell of their hash), together
 #: at most so many characters.  Prediction reads whole texts, and every row.
@@ -169,15 +169,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     return {k: v for k, v in out.items() if any(c.isalpha() for c in v)}
 
 
-_models: dict[int, Model] = {}
-
-
 def _model(key: int, texts: dict[str, str]) -> Model:
     """The automata are built once per worker process from the sample texts."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(texts)
-    return _models[key]
+    return hold(("language", key), lambda: Model(texts))
 
 
 def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adtide.llm.components import components
-from adtide.llm.staging import BROADCAST_KEYS, leave_out, settle, ship
+from adtide.llm.staging import BROADCAST_KEYS, leave_out, let_go, settle, ship
 
 WORDS = 4
 #: Links have 100 * shared >= PERCENT * union.
@@ -73,6 +73,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int = WORDS, size: int
     """``(doc, n, f1, f2, sketch)``: size of each document's set, a 128-bit fingerprint of it, its smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen = _Words()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -100,6 +101,7 @@ def _full_sets(docs: DataFrame, key: str, text: str, ids: DataFrame, words: int)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("txt")).join(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen = _Words()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):

@@ -6,7 +6,6 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtide.llm.staging import settle, ship
+from adtide.llm.staging import hold, settle, ship
 
 LENGTH = 1024
 END_ID = 2
@@ -22,14 +21,14 @@ END_ID = 2
 GROUP = 20_000
 #: White space in one run from which on a text is encoded by ``tokenizers``: the pattern of the split looks back
 #: over such a run, for which the faster encoder has a bounded stack (400,000 pass, a million do not).
-LONG_SPACE = 10_000
+LONG_SPACE = 100_000
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
-_encoders: dict[object, Any] = {}
 
 
 def _encoder(path: str):
     """The byte-level vocabulary at ``path``, loaded once per worker process."""
-    if path not in _encoders:
+
+    def load():
         import json
 
         import tiktoken
@@ -41,8 +40,9 @@ def _encoder(path: str):
         special = {t["content"]: t["id"] for t in table["added_tokens"]}
         ranks = {bytes(chars[c] for c in word): n for word, n in table["model"]["vocab"].items() if word not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the byte-level split
-        _encoders[path] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return _encoders[path]
+        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    return hold(("vocabulary", path), load)
 
 
 _LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
@@ -51,11 +51,10 @@ _LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 def encode(path: str, text: str) -> np.ndarray:
     """The ids of a whole text, as both encoders give them."""
     if len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
-        if (path, "whole") not in _encoders:
-            import tokenizers
+        import tokenizers
 
-            _encoders[path, "whole"] = tokenizers.Tokenizer.from_file(path)
-        return np.array(_encoders[path, "whole"].encode(text, add_special_tokens=False).ids, np.uint32)
+        # such a text is rare and long: the tokenizer is not held besides the faster encoder
+        return np.array(tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, np.uint32)
     return _encoder(path).encode_to_numpy(text, allowed_special="all")
 
 

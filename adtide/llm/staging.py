@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +75,24 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(package)))
     context.addPyFile(path)  # Spark serves the file to executors
     _shipped.add(context.applicationId)
+
+
+_held: dict[object, Any] = {}
+
+
+def hold(key: object, make: Callable[[], Any]) -> Any:
+    """``make()``, once per worker process.  A worker serves one operator after the other and holds the
+    model of the last one only: what others left is let go first, and its memory given back."""
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Drop the models that former tasks left in this worker process."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
