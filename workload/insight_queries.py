@@ -232,7 +232,10 @@ def _odd_responses(spark, d, key, item):
 
 
 _KEY_SQL = "concat(conv_id, '-', turn)"
-_KEY = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+
+def _key():
+    return F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
 
 
 @query(
@@ -242,7 +245,7 @@ _KEY = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("str
 )
 def _(spark, d):
     """NaN, repeated keys, numbers and single items given as text."""
-    item = F.concat(F.lit('{"id": "'), _KEY, F.lit('", "evidence": "'), F.col("role"), F.lit('", "confidence": @}'))
+    item = F.concat(F.lit('{"id": "'), _key(), F.lit('", "evidence": "'), F.col("role"), F.lit('", "confidence": @}'))
     out = insights.response_items(_odd_responses(spark, d, "insights", item), "response")
     return out.select("conv_id", "turn", "is_fallback", "id", F.array_join("evidence", "|").alias("evidence"), "confidence")
 
@@ -255,7 +258,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """A single variation in place of a list, with a number for its name."""
-    item = F.concat(F.lit('{"campaign": "'), _KEY, F.lit('", "creative_variations": {"headline": "x", "headline": "'), F.col("role"), F.lit('", "variation_id": @}}'))
+    item = F.concat(F.lit('{"campaign": "'), _key(), F.lit('", "creative_variations": {"headline": "x", "headline": "'), F.col("role"), F.lit('", "variation_id": @}}'))
     out = insights.response_items(_odd_responses(spark, d, "recommendations", item), "response", "recommendations")
     first = F.col("creative_variations")[0]
     return out.select("conv_id", "turn", "is_fallback", "campaign", first["headline"].alias("headline"), first["variation_id"].alias("variation_id"))
@@ -268,7 +271,7 @@ def _(spark, d):
     f"FROM (SELECT *, {_ODD} AS o FROM conversations)",
 )
 def _(spark, d):
-    item = F.concat(F.lit('{"task_id": "'), _KEY, F.lit('", "parameters": {"metric": 5, "metric": "'), F.col("role"), F.lit('", "threshold": @}}'))
+    item = F.concat(F.lit('{"task_id": "'), _key(), F.lit('", "parameters": {"metric": 5, "metric": "'), F.col("role"), F.lit('", "threshold": @}}'))
     out = insights.response_items(_odd_responses(spark, d, "subtasks", item), "response", "subtasks")
     return out.select("conv_id", "turn", "is_fallback", "task_id", F.col("parameters")["metric"].alias("metric"), F.col("parameters")["threshold"].alias("threshold"))
 
