@@ -193,18 +193,19 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
     key = hash(tuple(sorted(texts.items())))
     shared = docs.sparkSession.sparkContext.broadcast(texts)  # bounded by SAMPLE_CHARS per language
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*kept, F.col(text).alias("lang_text_"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
+    place = kept.index(text)  # the text goes to the workers once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(key, shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found = model.predict(batch.column(batch.num_columns - 1).to_pylist())
+                found = model.predict(batch.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(found.lang_pred, pa.string()), pa.array(found.score, pa.float64())],
-                    names=[*batch.schema.names[:-1], "lang_pred", "score"],
+                    [*batch.columns, pa.array(found.lang_pred, pa.string()), pa.array(found.score, pa.float64())],
+                    names=[*batch.schema.names, "lang_pred", "score"],
                 )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
