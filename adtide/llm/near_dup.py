@@ -132,20 +132,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
     return settle(both.filter(F.expr(f"100 * both >= {PERCENT} * (sum - both)")).select("a", "b").distinct(), "verified")
 
 
-def _hot_links(lists: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+def _rare_lists(sets: DataFrame) -> DataFrame:
+    """``(v, cid, comp)``: lists of the rarest shingles of each set, as many as two linked sets must share one of.
+
+    ``sets`` has ``cid, comp, hashes``.  All sets put their shingles in the same
+    order, rare ones first.  A link shares ``PERCENT`` of the larger set at
+    least, so it has a shingle among the first n - ceil(PERCENT * n / 100) + 1
+    of either set.  What a passage adds to many texts stands at the end and is
+    in no list, unless it is most of a text.
+
+    Counts above ``total / BROADCAST_KEYS`` belong to fewer than
+    ``BROADCAST_KEYS`` shingles and are sent to all tasks; the others are joined
+    by shuffle, where no key has more rows than that.
+    """
+    every = sets.select("cid", "comp", F.size("hashes").alias("n"), F.explode("hashes").alias("v"))
+    counts = settle(every.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shingle-counts")
+    total = sets.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    most = max(HOT, total // BROADCAST_KEYS)
+    common, other = F.broadcast(counts.filter(F.col("df") > most)), counts.filter(F.col("df") <= most)
+    marked = every.join(common, "v").unionByName(every.join(common, "v", "left_anti").join(other, "v", "left"))
+    place = F.row_number().over(Window.partitionBy("cid").orderBy(F.coalesce("df", F.lit(1)), "v"))
+    return marked.withColumn("at", place).filter(F.expr(f"at <= n - ceil({PERCENT} * n / 100) + 1 and df > 1")).select("v", "cid", "comp")
+
+
+def _hot_links(hot: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """Links inside hot lists between members in different components.
 
-    ``lists`` has ``v, cid, comp``.  Of each list the members outside of its
-    largest component are compared with all its members, on full sets and in
-    blocks, so that a task holds two blocks whatever the length of the list.
-    A task gives one link per document and component, not all pairs.
+    ``hot`` has ``v, cid, comp``.  The members of lists with several components
+    meet again in lists of their rarest shingles.  Of each such list the members
+    outside of its largest component are compared with all its members, on full
+    sets and in blocks, so that a task holds two blocks whatever the length of
+    the list.  A task gives one link per document and component, not all pairs.
     """
+    several = hot.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("v")
+    members = settle(hot.join(several, "v").select("cid", "comp").distinct(), "hot-members")
+    sets = settle(_full_sets(docs, key, text, members.select(F.col("cid").alias("id")), words).dropDuplicates(["id"]).withColumnRenamed("id", "cid"), "sets")
+    lists = settle(_rare_lists(sets.join(members, "cid")), "rare-lists")
     comps = lists.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("size"))
     main = settle(comps.groupBy("v").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most")).filter("all > most"), "hot-main")
-    lists = settle(lists.join(main, "v").withColumns({"m_blocks": F.expr(f"cast(ceil(all / {BLOCK}) as int)"), "r_blocks": F.expr(f"cast(ceil((all - most) / {BLOCK}) as int)")}), "hot-lists")
-    ids = settle(lists.select(F.col("cid").alias("id")).distinct(), "ids")
-    sets = settle(_full_sets(docs, key, text, ids, words).dropDuplicates(["id"]), "sets")
-    lists = lists.join(sets.withColumnRenamed("id", "cid"), "cid")
+    lists = lists.join(main, "v").withColumns({"m_blocks": F.expr(f"cast(ceil(all / {BLOCK}) as int)"), "r_blocks": F.expr(f"cast(ceil((all - most) / {BLOCK}) as int)")})
+    lists = settle(lists, "hot-lists").join(sets, "cid")
     own = "cast(pmod(xxhash64(cid), {0}) as int)".format
     one = lists.select("v", "cid", "comp", "hashes", F.lit(False).alias("rest"), F.expr(own("m_blocks")).alias("mb"), F.explode(F.expr("sequence(0, r_blocks - 1)")).alias("rb"))
     two = lists.filter("comp <> main").select("v", "cid", "comp", "hashes", F.lit(True).alias("rest"), F.explode(F.expr("sequence(0, m_blocks - 1)")).alias("mb"), F.expr(own("r_blocks")).alias("rb"))
@@ -185,8 +211,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     4. A class with half its sketch hot meets its like in hot lists.  Each list
        has a few leaders; members are verified against them.
     5. Exact Jaccard on full sets verifies: first one pair per class and the
-       leaders' pairs, then only pairs still in different components.  Of hot
-       lists with several components, all members outside of the largest are
+       leaders' pairs, then only pairs still in different components.  Members
+       of hot lists with several components meet in lists of their rarest
+       shingles; of these, all members outside of the largest component are
        compared with all members in blocks.  So every link between different
        sets that could join two components is tested, but pairs inside a
        component are not all listed.

@@ -65,6 +65,22 @@ def test_hot_groups_passages_and_short_texts(spark):
     same(spark, rows)
 
 
+def test_passage_that_is_most_of_many_short_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{n}" for n in range(5000)]
+    passage = rng.choices(words, k=60)
+    rows = [(n, " ".join(passage + rng.choices(words, k=25))) for n in range(500)]
+    for n in range(0, 60, 3):  # links among them: one word changed at the end, some twice
+        own = rows[n][1].split()
+        own[-1 - n % 5] = "other"
+        rows.append((600 + n, " ".join(own)))
+        own[60] = "another"
+        rows.append((601 + n, " ".join(own)))
+    rows += [(700 + n, " ".join(passage + rng.choices(words, k=k))) for n, k in enumerate((1, 2, 4, 8, 12, 14, 15, 16, 18))]  # most of these are linked by the passage alone
+    rng.shuffle(rows)
+    same(spark, rows)
+
+
 def test_null_and_repeated_keys(spark):
     rows = [(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (None, "alone text of no other row"), (2, None)]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
