@@ -15,8 +15,13 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-#: What may be an identifier the fixed patterns miss: a token with an at sign or a run with digits.
-CANDIDATE = r"(?:(?<!\S)|\G)[^\s@]{1,64}(?:@|\(at\)|\[at\])[^\s@]{3,255}|(?<![\S])[(+]?[0-9](?:[0-9().:/-]|\x20(?=[(0-9])){5,60}[0-9](?![^\s.,;!?\x22\x27)\]])"
+#: What may be an identifier the fixed patterns miss: a token with an at sign, or a run of seven or more characters
+#: from digit to digit.  Runs are of any length and possessive, so a text is read once.
+_JOIN = r"(?:[().:/-]|\x20(?=[(0-9]))*+"
+CANDIDATE = (
+    r"(?:(?<!\S)|\G)[^\s@]+(?:@|\(at\)|\[at\])[^\s@]{3,}+"
+    rf"|(?<!\S)(?=[(+]?[0-9](?:[0-9().:/-]|\x20(?=[(0-9])){{5}}{_JOIN}[0-9])[(+]?[0-9](?:{_JOIN}[0-9])++(?![^\s.,;!?\x22\x27)\]])"
+)
 #: The form a candidate needs for a kind (``m`` is its text, ``d`` its number of digits).
 FORMS = {
     "email": r"m rlike '(?i)(@|\\(at\\)|\\[at\\])[a-z0-9.-]+'",
@@ -29,7 +34,12 @@ MIN_KNOWN = 3
 MIN_CONFIDENCE = 0.6
 #: An instance is accepted when its trusted patterns fail to name it with at most 1 - this chance.
 MIN_SCORE = 0.8
-_SIDE = 80
+#: Characters beside an identifier in which its two words are sought first; where they do not end there, the next
+#: size is read, then the whole side of the text.  The words found are the same with any sizes.
+_SIDES = (80, 4096)
+#: Finds of up to so many bytes are sent to all tasks; more are joined by shuffle.
+SENT_BYTES = 16_000_000
+_WORD, _GAP = r"[^\s\pP\pS]", r"[\s\pP\pS]"
 
 
 def _base(text: str) -> dict[str, Column]:
@@ -58,9 +68,27 @@ def find_base(docs: DataFrame, text: str = "text", prefix: str = "pii_") -> Data
     return body.withColumns({prefix + k: F.expr(f"filter({prefix}{k}, x -> {keep})") for k, (_, keep) in parts.items()}).drop(own)
 
 
+def _text_key(text: str) -> Column:
+    """128 bits that stand for a text."""
+    return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), F.col(text)).alias("g"))
+
+
+def _beside(left: bool) -> tuple[Column, Column]:
+    """The nearest and the next word to one side of span ``s`` of ``txt``, lower case, empty where there is none."""
+    side = F.lower(F.expr("substring(txt, 1, s.a)" if left else "substring(txt, s.b + 1)"))
+    for n in reversed(_SIDES):
+        near = F.lower(F.expr(f"substring(txt, greatest(s.a - {n}, 0) + 1, least(s.a, {n}))" if left else f"substring(txt, s.b + 1, {n})"))
+        ended = near.rlike(f"{_GAP}{_WORD}++{_GAP}++{_WORD}++{_GAP}*+$" if left else f"^{_GAP}*+{_WORD}++{_GAP}++{_WORD}++{_GAP}")
+        side = F.when(ended, near).otherwise(side)
+    # read away from the span, so that a search ends at the second word
+    side = F.reverse(side) if left else side
+    words = [F.regexp_extract(side, p, 1) for p in (f"^{_GAP}*+({_WORD}++)", f"^{_GAP}*+{_WORD}++{_GAP}++({_WORD}++)")]
+    return tuple(F.reverse(w) for w in words) if left else tuple(words)
+
+
 def _occurrences(docs: DataFrame, text: str) -> DataFrame:
     """One row per known or possible identifier with its two words to either side."""
-    body = find_base(docs.select(F.xxhash64(text).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("txt")), "txt")
+    body = find_base(docs.select(_text_key(text).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("txt")), "txt")
     known = ", ".join(f"transform(pii_{k}, x -> named_struct('kind', '{k}', 'a', x.a, 'b', x.b, 'm', x.m))" for k in KINDS)
     body = body.withColumn("known", F.expr(f"concat({known})")).withColumn("cand", found("txt", CANDIDATE, "txt rlike '[0-9@]|\\\\(at\\\\)|\\\\[at\\\\]'"))
     free = "filter(cand, c -> not exists(own, k -> k.a < c.b and c.a < k.b))"
@@ -68,12 +96,9 @@ def _occurrences(docs: DataFrame, text: str) -> DataFrame:
     every = bound("known", "own", every, "array<struct<kind:string,a:int,b:int,m:string>>")
     # explode_outer: a filter on the array would be pushed below and find everything twice
     rows = body.select("doc", "txt", F.explode_outer(F.expr(every)).alias("s")).filter("s.m is not null")
-    left = F.lower(F.expr(f"substring(txt, greatest(s.a - {_SIDE}, 0) + 1, least(s.a, {_SIDE}))"))
-    right = F.lower(F.expr(f"substring(txt, s.b + 1, {_SIDE})"))
-    rows = rows.select("doc", "s.kind", "s.a", "s.b", "s.m", left.alias("l"), right.alias("r"))
-    word = r"[^\s\pP\pS]+"
-    l1, l2 = F.regexp_extract("l", rf"({word})[\s\pP\pS]*$", 1), F.regexp_extract("l", rf"({word})[\s\pP\pS]+{word}[\s\pP\pS]*$", 1)
-    r1, r2 = F.regexp_extract("r", rf"^[\s\pP\pS]*({word})", 1), F.regexp_extract("r", rf"^[\s\pP\pS]*{word}[\s\pP\pS]+({word})", 1)
+    (l1, l2), (r1, r2) = _beside(left=True), _beside(left=False)
+    rows = rows.select("doc", "s.kind", "s.a", "s.b", "s.m", l1.alias("l1"), l2.alias("l2"), r1.alias("r1"), r2.alias("r2"))
+    l1, l2, r1, r2 = (F.col(c) for c in ("l1", "l2", "r1", "r2"))
     pats = [F.concat_ws(" ", F.lit(tag), x, y) for tag, x, y in (("L", l2, l1), ("R", r1, r2), ("B", l1, r1))]
     valid = [F.when((x != "") & (y != ""), p) for p, (x, y) in zip(pats, ((l2, l1), (r1, r2), (l1, r1)), strict=True)]
     d = F.length(F.regexp_replace("m", "[^0-9]", "")).alias("d")
@@ -81,7 +106,7 @@ def _occurrences(docs: DataFrame, text: str) -> DataFrame:
 
 
 def discover(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc, kind, a, b, m)``: identifiers that contexts of known ones give away; ``doc`` is ``xxhash64(text)``.
+    """``(doc, kind, a, b, m)``: identifiers that contexts of known ones give away; ``doc`` is a 128-bit hash of the text.
 
     The fixed patterns' matches are the seeds.  The words around an identifier
     are its lexical patterns (two to the left, two to the right, one on either
@@ -121,9 +146,13 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     spans; an empty table stays empty.
     """
     mine, other = free_name("pii_doc_own", docs.columns), free_name("pii_doc", docs.columns)
-    extra = discover(docs, text).distinct().groupBy("doc").agg(
+    finds = settle(discover(docs, text).distinct(), "finds")
+    extra = finds.groupBy("doc").agg(
         *[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("a", "b", "m")))).alias("pii_more_" + k) for k in KINDS]
     ).withColumnRenamed("doc", other)
-    base = find_base(docs.drop(*["pii_more_" + k for k in KINDS]), text).withColumn(mine, F.xxhash64(text))
+    # copies of a text are not brought together for a few finds
+    if (finds.agg(F.sum(F.octet_length("m") + 64)).first()[0] or 0) <= SENT_BYTES:
+        extra = F.broadcast(extra)
+    base = find_base(docs.drop(*["pii_more_" + k for k in KINDS]), text).withColumn(mine, _text_key(text))
     both = base.join(extra, F.col(mine) == F.col(other), "left").drop(mine, other)
     return both.withColumns({"pii_more_" + k: F.coalesce("pii_more_" + k, F.expr(f"cast(array() as array<{SPAN}>)")) for k in KINDS})

@@ -71,6 +71,41 @@ def test_rounds_go_on_until_nothing_is_new(documents):
     assert all(found[n] == [f"(310) 555-{n:04d}"] for n in range(125, at))
 
 
+def test_identifiers_and_words_of_any_length(documents):
+    word = "w" * 120
+    known = [(n, f"mail {word} address user{n}@site.org {word} for details") for n in range(8)]
+    more = [f"{'n' * 70}@localhost", f"{'n' * 9}@{'h' * 400}"]
+    docs = documents([*known, *[(50 + n, f"{'- ' * 3000}{word} address {m} {word} for") for n, m in enumerate(more)], (60, f"{word[1:]} address other@localhost {word[1:]} for")])
+    found = {r.doc_id: [s.m for s in r.pii_more_email] for r in pii.find_pii(docs).collect()}
+    assert [found[50], found[51], found[60]] == [[more[0]], [more[1]], []]
+
+
+def test_runs_of_digits_and_words_without_end(documents):
+    texts = ["7 " * 100_000, "7" * 300_000, "(" * 100_000 + "1", "1-" * 100_000, "a" * 300_000 + " 1.2.3.4 " + "b" * 300_000, "x" * 200_000 + "(at)yyy", " " * 200_000 + "1-2-3-4"]
+    found = pii.find_pii(documents(list(enumerate(texts)))).orderBy("doc_id").select("pii_ip").collect()
+    assert [len(r.pii_ip) for r in found] == [0, 0, 0, 0, 1, 0, 0]
+
+
+def test_recall_and_precision_on_planted_contexts(documents):
+    contexts = {
+        "phone": ("call our office line {} during working hours", "+1 (310) 555-01{:02d}", "(310) 555-77{:02d}"),
+        "email": ("write to our contact {} for more details", "user{}@site.org", "name{}@localhost"),
+        "ip": ("the host with address {} did respond late", "10.0.0.{}", "10-0-7-{}"),
+    }
+    others = ("part list number {} from an old catalogue", "the {} was seen again")
+    rows, want, at = [], set(), 0
+    for kind, (context, known, unseen) in contexts.items():
+        for n in range(24):
+            rows.append((at := at + 1, "Some text. Please " + context.format(known.format(n)) + ". End."))
+        for n in range(8):
+            rows.append((at := at + 1, "Other words, " + context.format(unseen.format(n)) + " and so on"))
+            want.add((at, kind, unseen.format(n)))
+        for n in range(20, 40):  # the same forms where nothing is known
+            rows.append((at := at + 1, others[n % 2].format(unseen.format(n))))
+    got = {(r.doc_id, k, s.m) for r in pii.find_pii(documents(rows)).collect() for k in pii.KINDS for s in r["pii_more_" + k]}
+    assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.9
+
+
 def test_columns_with_the_operators_names(spark):
     docs = spark.createDataFrame([(1, "me@x.org", "a", "b", "c")], "doc_id long, text string, pii_text string, pii_doc string, pii_doc_own string")
     row = pii.find_pii(docs).first()
