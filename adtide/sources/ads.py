@@ -38,13 +38,14 @@ class MissingSourceError(FileNotFoundError):
     """The source path does not exist."""
 
 
-def _number(text: Column, target: T.DataType) -> Column:
+def _number(text: Column, target: T.DataType, wide: Column | None = None) -> Column:
     """Text to number; anything that is no number of the type is NULL.
 
     Whole numbers and decimals are read as such first and by way of a double
-    (exponents, fractions) only where that fails.
+    (exponents, fractions) only where that fails.  ``wide`` is the text as double, if there is
+    a column of it already.
     """
-    wide = text.try_cast("double")
+    wide = text.try_cast("double") if wide is None else wide
     if isinstance(target, T.DoubleType):
         return F.nullif(wide, F.lit(float("nan")))
     if isinstance(target, T.LongType):  # the double next to the largest whole number is beyond it
@@ -95,19 +96,41 @@ def clean_ads(df: DataFrame, wide: Sequence[str] = ()) -> DataFrame:
 
     Gaps in the base metrics become 0, but not a number that does not fit its column's type: it is
     NULL (see ``wide_columns`` for columns to read as double instead)."""
-    texts = [c for c in BASE_METRICS if c in df.columns and c not in wide and isinstance(df.schema[c].dataType, T.StringType)]
-    lost = {f"_lost_{c}": unfit_number(F.col(c), _NUMERIC[c]) for c in texts}
-    filled = fill_metrics(coerce_numeric(parse_dates(df.withColumns(lost) if lost else df), wide=wide))
-    kept = {c: F.when(~F.col(f"_lost_{c}"), F.col(c)) for c in texts}
-    return with_clean_campaign_name((filled.withColumns(kept) if kept else filled).drop(*lost))
+    texts = {c: _NUMERIC[c] for c in BASE_METRICS if c in df.columns and c not in wide and isinstance(df.schema[c].dataType, T.StringType)}
+    rest = [c for c in _NUMERIC if c not in texts]
+    read = _with_numbers(parse_dates(df), texts)
+    filled = fill_metrics(coerce_numeric(read.withColumns({c: F.col(f"_held_{c}") for c in texts}), rest, wide))
+    kept = {c: F.when(~n, F.col(c)) for c, n in _unfit_numbers(texts).items()}
+    return with_clean_campaign_name((filled.withColumns(kept) if kept else filled).drop("_wide", *[f"_held_{c}" for c in texts]))
+
+
+def _with_numbers(df: DataFrame, texts: dict[str, T.DataType]) -> DataFrame:
+    """Add the text columns as doubles (``_wide``, an array) and as their types (``_held_<c>``).
+
+    So each text is parsed once however often its number is used: one that is no number costs an exception
+    each time.  As an array the doubles are a step of their own, so that what stands before and after it
+    is compiled apart: in one piece it is too long for the JVM's compiler and runs several times slower."""
+    if not texts:
+        return df
+    doubles = df.withColumn("_wide", F.transform(F.array(*[F.col(c) for c in texts]), lambda x: x.try_cast("double")))
+    return doubles.withColumns({f"_held_{c}": _number(F.col(c), k, F.col("_wide")[i]) for i, (c, k) in enumerate(texts.items())})
+
+
+def _unfit_numbers(texts: dict[str, T.DataType]) -> dict[str, Column]:
+    """``unfit_number`` of the columns that ``_with_numbers`` has parsed."""
+    return {c: _unfit(F.col("_wide")[i], F.col(f"_held_{c}"), k) for i, (c, k) in enumerate(texts.items())}
 
 
 def unfit_number(text: Column, target: T.DataType) -> Column:
     """Whether a text is a finite number that ``target`` cannot hold: too large, or too small
     to be more than zero (or a fraction of it) there."""
-    wide = text.try_cast("double")
-    held = _number(text, target).cast("double")
-    near = F.abs(held - F.when(F.lit(isinstance(target, T.LongType)), F.signum(wide) * F.floor(F.abs(wide)).cast("double")).otherwise(wide)) <= F.abs(wide) * 1e-9
+    return _unfit(text.try_cast("double"), _number(text, target), target)
+
+
+def _unfit(wide: Column, held: Column, target: T.DataType) -> Column:
+    """As ``unfit_number``, of a text as double and as ``target``."""
+    whole = F.signum(wide) * F.floor(F.abs(wide)).cast("double") if isinstance(target, T.LongType) else wide
+    near = F.abs(held.cast("double") - whole) <= F.abs(wide) * 1e-9
     return F.coalesce((F.abs(wide) < float("inf")) & ~F.coalesce(near, F.lit(False)), F.lit(False))
 
 
@@ -116,7 +139,8 @@ def wide_columns(df: DataFrame) -> list[str]:
     kinds = {c: k for c, k in _NUMERIC.items() if c in df.columns and isinstance(df.schema[c].dataType, T.StringType) and not isinstance(k, T.DoubleType)}
     if not kinds:
         return []
-    found = df.agg(*[F.max(unfit_number(F.col(c), k)).alias(c) for c, k in kinds.items()]).first()
+    read = _with_numbers(df.select(*kinds), kinds)
+    found = read.agg(*[F.max(n).alias(c) for c, n in _unfit_numbers(kinds).items()]).first()
     return [c for c in kinds if found[c]]
 
 

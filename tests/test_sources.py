@@ -171,3 +171,21 @@ def test_wide_numbers_dates_and_cvr(spark):
 def test_sample_of_odd_column_names(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], ["cost.usd", "two words"])
     assert ads.sample_rows(df, 1).count() == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cleaning_is_compiled_in_pieces(spark):
+    texts = ["abc", "", " 1.5 ", "1e3", "n/a", "1e400", "0.00000000001", "9223372036854775808", "-12.7", "nan", "inf", None]
+    columns = ["spend", "revenue", "impressions", "clicks", "purchases", "ctr"]
+    raw = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.lit("2025-01-01").alias("date"), *[F.col("t").alias(c) for c in columns])
+    rows = {r.t: r for r in ads.clean_ads(raw).collect()}
+    got = {t: (r.spend if r.spend is None else float(r.spend), r.clicks) for t, r in rows.items()}
+    assert got == {
+        "abc": (0, 0), "": (0, 0), " 1.5 ": (1.5, 1), "1e3": (1000, 1000), "n/a": (0, 0), "1e400": (0, 0), "0.00000000001": (None, 0),
+        "9223372036854775808": (9223372036854775808, None), "-12.7": (-12.7, -12), "nan": (0, 0), "inf": (0, 0), None: (0, 0),
+    }
+    # every text is read as a double in a step of its own, once, and not in the step that uses the number
+    assert _plan(ads.clean_ads(raw)).count("as double") < 20 and "transform(" in _plan(ads.clean_ads(raw))
