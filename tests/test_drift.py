@@ -158,3 +158,30 @@ def test_drift_digest_orders_and_formats(spark):
     found = drift.detect_drift(drift_frame(spark, roas=0.4), _base(spark))
     lines = [r.text for r in alerts.drift_digest(found).orderBy("rank", "metric").collect()]
     assert lines[0].startswith("ROAS dropped 60.0%") and "Change: -60.0%" in lines[0] and "median" in lines[0]
+
+
+def test_medians_read_the_facts_once(spark):
+    facts = drift_frame(spark, roas=0.4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+
+    base = baseline.baseline_stats(drift_frame(spark), ["roas"], created_at=BASE)
+    base = spark.createDataFrame(base.collect(), base.schema)
+    watched = spark.createDataFrame(facts.rdd.mapPartitions(count), facts.schema)
+    (a,) = drift.metric_drift(watched, base).collect()
+    assert abs(a.details["current_median"] - 0.4 * a.details["baseline_median"]) < 1e-12
+    assert seen.value == 2 * facts.count()  # the drift numbers, then the values
+
+
+def test_versions_are_told_by_the_folder(spark, tmp_path):
+    path = str(tmp_path / "a store" / "v-0")
+    facts = drift_frame(spark)
+    baseline.add_days(facts, path)
+    baseline.add_days(facts.where("date >= '2025-02-01'").withColumn("roas", F.lit(1.0)), path)
+    out = baseline.baseline_from_days(spark, path, created_at=BASE)
+    want = baseline.baseline_stats(facts.withColumn("roas", F.expr("if(date >= '2025-02-01', 1D, roas)")), created_at=BASE)
+    assert {r.metric: (r.cnt, r.median) for r in out.collect()} == {r.metric: (r.cnt, r.median) for r in want.collect()}

@@ -2,12 +2,14 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from adtide.operators.logs import log_summary
 from adtide.schema import ADS_TEXT_SCHEMA
 from adtide.sources import ads, files
 from tests.frames import insight, task_frame
+from workload import tables
 
 HEADER = "date,campaign_name,adset_name,spend,impressions,clicks,ctr,purchases,revenue,roas,creative_type"
 
@@ -189,3 +191,38 @@ def test_cleaning_is_compiled_in_pieces(spark):
     }
     # every text is read as a double in a step of its own, once, and not in the step that uses the number
     assert _plan(ads.clean_ads(raw)).count("as double") < 20 and "transform(" in _plan(ads.clean_ads(raw))
+
+
+def test_headers_are_found_without_sorting_the_lines(spark, tmp_path):
+    for i in range(40):
+        body = "\n" * (i % 3) + ("a,b\n" if i % 2 else '"b",a\n') + "".join(f"{k},{i}\n" for k in range(50))
+        (tmp_path / f"{i:02}.csv").write_text(body)
+    found = ads._headers(spark, str(tmp_path))
+    assert "SortAggregate" not in _plan(found) and "ObjectHashAggregate" in _plan(found)
+    got = {r.file[-6:-4]: (r.header, r.quoted) for r in found.collect()}
+    assert got == {f"{i:02}": ("a,b", False) if i % 2 else ('"b",a', True) for i in range(40)}
+
+
+def test_what_hangs_on_a_dimension_is_joined_to_it(spark, tmp_path):
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    put("lineitem", [(1, 10), (2, 11), (None, None), (9, 10)], "l_orderkey long, l_partkey long")
+    put("orders", [(1, 5, "high"), (1, 6, "low"), (2, None, "x"), (None, 5, "y")], "o_orderkey long, o_custkey long, o_orderpriority string")
+    put("customer", [(5, 1, "a"), (5, 2, "b"), (None, 1, "c")], "c_custkey long, c_nationkey long, c_mktsegment string")
+    put("nation", [(1, "N")], "n_nationkey long, n_name string")
+    put("part", [(10, "p", "q", "r"), (10, "s", "t", "u")], "p_partkey long, p_brand string, p_type string, p_name string")
+    columns = ["l_orderkey", "o_orderpriority", "c_mktsegment", "n_name", "p_brand"]
+    out = tables._joined(spark, str(tmp_path), {"creative_type", "audience_type", "country", "campaign_name"}).select(*columns)
+    got = sorted(out.collect(), key=str)
+    first = [(1, "high", "a", "N"), (1, "high", "b", None), (1, "low", None, None), (9, None, None, None)]
+    want = [(*r, p) for r in first for p in ("p", "s")] + [(2, "x", None, None, None), (None, None, None, None, None)]
+    assert [tuple(r) for r in got] == sorted(want, key=lambda r: str(spark_row(columns, r)))
+    assert set(tables._joined(spark, str(tmp_path), {"creative_type"}).columns) == {"l_orderkey", "l_partkey", "o_orderkey", "o_custkey", "o_orderpriority"}
+    top = out._jdf.queryExecution().optimizedPlan().children().head()  # under the projection
+    left = top.left().toString()
+    assert "p_brand" not in left and "n_name" in left
+
+
+def spark_row(names, values):
+    return Row(**dict(zip(names, values, strict=True)))
