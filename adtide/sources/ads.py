@@ -158,13 +158,21 @@ def _names(header: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def _files(spark: SparkSession, path: str | list[str], options: dict) -> list[_File]:
-    """The header of each file that has one, and whether the file holds a quote, from one scan of its lines."""
+def _headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, header, quoted) of the files that have a header line, from one scan of the lines.
+
+    The set of at most two answers keeps the aggregate's state as objects, one per file: without it Spark
+    sorts all lines by file before it aggregates, as the state holds a text."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     lines = lines.withColumn("at", F.struct("block", F.monotonically_increasing_id())).where(F.trim("value") != "")
-    found = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.max(F.col("value").contains('"')).alias("quoted"))
+    quoted = F.array_contains(F.collect_set(F.col("value").contains('"')), True)
+    return lines.groupBy("file").agg(F.min_by("value", "at").alias("header"), quoted.alias("quoted"))
+
+
+def _files(spark: SparkSession, path: str | list[str], options: dict) -> list[_File]:
+    """The header of each file that has one, and whether the file holds a quote."""
     out = []
-    for r in found.orderBy("file").collect():  # a row per file, as many as the reader lists
+    for r in _headers(spark, path).orderBy("file").collect():  # a row per file, as many as the reader lists
         file = re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(r.file))
         if r.header.count('"') % 2:  # a name with a line break
             names = tuple(spark.read.options(**options, multiLine=True).csv(file).columns)
