@@ -142,13 +142,19 @@ def add_days(df: DataFrame, path: str, metrics: Sequence[str] = BASELINE_METRICS
     write_version(df.sparkSession, path, {"moments": moments, "values": values})
 
 
+def _folder(file: Column, up: int) -> Column:
+    """The folder ``up`` levels over a file; no pattern, as it is worked out for every row."""
+    return F.substring_index(F.substring_index(file, "/", -(up + 1)), "/", 1)
+
+
 def baseline_from_days(spark: SparkSession, path: str, metrics: Sequence[str] = BASELINE_METRICS, created_at: str | None = None) -> DataFrame:
     """The baseline of all days kept at ``path``: equal to ``baseline_stats`` over their rows, of which none is read.
 
     Of each day the newest version counts."""
     base = f"{path}/*/data"
-    version = F.regexp_extract(F.col("_metadata.file_path"), r"/(v-[0-9a-f]{32})/", 1)
-    made = spark.read.schema("created_at timestamp").json(f"{path}/*/manifest").select(version.alias("version"), "created_at")
+    file = F.col("_metadata.file_path")
+    made = spark.read.schema("created_at timestamp").json(f"{path}/*/manifest").select(_folder(file, 2).alias("version"), "created_at")
+    version = _folder(file, 3)
     moments = spark.read.schema(_DAY_MOMENTS).parquet(f"{base}/moments").select(version.alias("version"), "*").join(F.broadcast(made), "version")  # a row per version
     newest = moments.groupBy("date").agg(F.max(F.struct("created_at", "version")).alias("_newest")).select(F.col("date").alias("_date"), F.col("_newest.version").alias("_version"))
     newest = F.broadcast(newest)  # a row per day
